@@ -14,6 +14,9 @@ _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _BLANK = "\t-\r \x85\xa0"
 _SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+#: Byte-level BPE spells bytes that are not visible Latin-1 characters by characters from U+0100 on.
+_HIDDEN = [b for b in range(256) if b <= 32 or 127 <= b <= 160 or b == 173]
+_BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
 #: Words that a worker keeps at most; then it starts anew. About 150 bytes each.
 CACHE_WORDS = 500_000
 #: Longer words are encoded but not kept.
@@ -24,7 +27,7 @@ class Encoder(dict):
     """ids(text): the ids of Tokenizer.encode(text, add_special_tokens=False), as bytes of `dtype`.
 
     A byte-level BPE without normalizer encodes each pre-token on its own. So for texts in Latin-1 without special tokens,
-    pre-tokens are looked up here, and the library encodes those not met before; other texts go to the library whole.
+    pre-tokens are looked up here, and the library's model splits those not met before; other texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -43,7 +46,8 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
+        spelt = word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
