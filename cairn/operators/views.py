@@ -41,10 +41,10 @@ def shops(entries: DataFrame) -> DataFrame:
 
 def shop_stock(entries: DataFrame) -> DataFrame:
     """Priced entries with the shop feature at their spot; spots without coordinates meet each other."""
-    shop = entries.where("feat = 'enter_shop'").select(*PLACE, F.col("x").alias("_x"), F.col("y").alias("_y"), "shop_type")
-    stock = entries.where("cost is not null").drop("shop_type")
-    on = [stock[c] == shop[c] for c in PLACE] + [stock["x"].eqNullSafe(shop["_x"]), stock["y"].eqNullSafe(shop["_y"])]
-    return stock.join(shop, on, "left").select(stock["*"], shop["shop_type"])
+    shop = entries.where("feat = 'enter_shop'").select(*[F.col(c).alias(f"_{c}") for c in PLACE], F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("shop_type").alias("_type"))
+    stock = entries.where("cost is not null")
+    on = [F.col(c) == F.col(f"_{c}") for c in PLACE] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("x", "y")]
+    return stock.drop("shop_type").join(shop, on, "left").withColumn("shop_type", F.col("_type")).select(*stock.columns)
 
 
 def place_sections(entries: DataFrame) -> DataFrame:

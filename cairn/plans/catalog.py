@@ -292,10 +292,12 @@ def Q5_search_many(spark, d):
 
 
 def _heat(spark, d):
-    e, lv, fl, sp = A.entries(spark, d), A.levels(spark, d), A.fills(spark, d), A.spell_levels(spark)
+    """Entries, places and fills, each written once: the score reads them several times."""
     from ..sources.tables import written
 
-    return e, written(lv, "levels"), written(fl, "fills"), sp
+    e = written(A.entries(spark, d).drop("props", "name", "ego"), "entries")
+    lv = written(A.levels_of(e), "levels")
+    return e, lv, written(A.fills_of(lv), "fills"), A.spell_levels(spark)
 
 
 @query("SELECT version, base_type, sub_type, count, round(tail_p, 9) AS tail_p FROM tails", HEAT)
@@ -567,7 +569,7 @@ def D7_undeclared(spark, d):
     return audit.undeclared(seen, spark.createDataFrame([("P0",), ("P1",), ("P2",)], "prop string"))
 
 
-@query("SELECT bucket, count(*) AS runs, round(count(*) * 60 / sum(value), 6) AS per_min FROM (SELECT CAST(floor((at - lo) / ((hi - lo + 1) / 10)) AS INTEGER) AS bucket, value FROM (SELECT CAST(epoch(ts) AS BIGINT) AS at, value FROM events), (SELECT min(CAST(epoch(ts) AS BIGINT)) AS lo, max(CAST(epoch(ts) AS BIGINT)) AS hi FROM events)) GROUP BY bucket")
+@query("SELECT bucket, count(*) AS runs, round(count(*) * 60 / sum(value), 6) AS per_min FROM (SELECT CAST(floor((moment - lo) / ((hi - lo + 1) / 10)) AS INTEGER) AS bucket, value FROM (SELECT CAST(epoch(ts) AS BIGINT) AS moment, value FROM events), (SELECT min(CAST(epoch(ts) AS BIGINT)) AS lo, max(CAST(epoch(ts) AS BIGINT)) AS hi FROM events)) GROUP BY bucket")
 def D8_rate_curve(spark, d):
     log = A._table(spark, d, "events").selectExpr("unix_timestamp(cast(ts as timestamp)) as at", "1 as seeds", "value as secs")
     return audit.rate_curve(log, 10).withColumn("per_min", F.round("per_min", 6))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.places import is_portal, reach_of
-
 PLACE = "case when l_suppkey % 10 = 0 then 'Sewer' when l_suppkey % 10 = 1 then concat('Lair:', cast(least(l_linenumber, 5) as string)) when l_suppkey % 10 = 2 then 'Temple' else concat('D:', cast(l_linenumber as string)) end"
 BASE = "case split_part(p_type, ' ', 1) when 'MEDIUM' then 'potion' when 'STANDARD' then 'scroll' when 'LARGE' then 'weapon' when 'PROMO' then 'armour' when 'SMALL' then 'book' when 'ECONOMY' then 'miscellaneous' end"
 FEAT = "case o_custkey % 5 when 0 then 'altar_trog' when 1 then 'enter_shop' when 2 then 'enter_temple' when 3 then 'enter_sewer' end"
@@ -38,14 +36,22 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def levels_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("version", "container_id", "place").agg(F.min("row_parent").alias("parent"))
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries(spark, sf_dir).groupBy("version", "container_id", "place").agg(F.min("row_parent").alias("parent"))
+    return levels_of(entries(spark, sf_dir))
 
 
-def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fills_of(places: DataFrame) -> DataFrame:
     from ..operators.ingest import fill_depth
 
-    return fill_depth(levels(spark, sf_dir)).withColumn("origin", F.when(F.col("container_id").cast("long") % 20 == 0, "submit").otherwise("fill"))
+    return fill_depth(places).withColumn("origin", F.when(F.col("container_id").cast("long") % 20 == 0, "submit").otherwise("fill"))
+
+
+def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fills_of(levels(spark, sf_dir))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +66,3 @@ def spell_levels(spark: SparkSession) -> DataFrame:
 def weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(WEIGHTS), "base_type string, sub_type string, weight double")
 
-
-__all__ = ["entries", "levels", "fills", "features", "spell_levels", "weights", "is_portal", "reach_of"]
