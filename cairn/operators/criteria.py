@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.naming import brand_code
 from ..functions.text import ascii_lower, contains_ci
 
 MIN_FRAGMENT = 3
@@ -80,15 +81,22 @@ def _has(prop: str) -> Column:
 
 @dataclass(frozen=True)
 class Brand:
-    """An ego on the same item. codes: stored code of each word; an unknown word matches nothing."""
+    """An ego on the same item. codes: stored code of each word; an unknown word matches nothing.
+
+    by_release: the word is one of the catalog's brands, stored as the entry's release spells it.
+    """
 
     base: str
     word: str
     sub: str | None = None
     shop: bool = False
     codes: tuple[tuple[str, str], ...] = ()
+    by_release: bool = False
 
     def column(self) -> Column:
+        if self.by_release:
+            out = (F.col("base_type") == self.base) & (F.col("ego") == brand_code(F.lit(self.base), F.lit(self.word), F.col("version")))
+            return (out & (F.col("sub_type") == self.sub) if self.sub is not None else out) & position(self.shop)
         code = dict(self.codes).get(self.word.lower(), self.word if not self.codes else None)
         if code is None:
             return F.lit(False)

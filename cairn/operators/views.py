@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.places import PORTALS, branch_of_feat, is_portal, mask_feats, reach_with_parent
+from ..functions.naming import display_name, entry_spells
+from ..functions.places import ALTARS, PORTALS, branch_of_feat, is_portal, mask_feats, reach_with_parent
+from ..functions.text import title
 from .search import KEY
 
 PLACE = [*KEY, "place"]
@@ -108,3 +110,66 @@ def reach_order(levels: DataFrame) -> DataFrame:
     host = F.when(is_portal(F.col("place")), F.col("parent")).otherwise(F.col("place"))
     at = F.when(host.isNull(), UNKNOWN).otherwise(reach_of(host))
     return levels.select(*PLACE, at.alias("reach"), branch_of_place(F.coalesce(host, F.col("place"))).alias("branch"), is_portal(F.col("place")).cast("int").alias("portal"))
+
+
+NAMED_BY = ("category", "feat", "shop_type", "base_type", "sub_type", "quantity", "plus", "ego", "artefact")
+
+
+def elide_names(entries: DataFrame) -> DataFrame:
+    """Entries whose name follows from their columns lose it; the others keep what they store."""
+    return entries.withColumn("name", F.when(display_name(*map(F.col, NAMED_BY)).isNull(), F.col("name")))
+
+
+def full_names(entries: DataFrame) -> DataFrame:
+    """The inverse of elide_names()."""
+    return entries.withColumn("name", F.coalesce(display_name(*map(F.col, NAMED_BY)), F.col("name")))
+
+
+def with_spells(entries: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Entries with the spells of their name, of fixed(version, sub_type, spells) or of their own, in that order of preference."""
+    sets = fixed.select("version", "sub_type", F.col("spells").alias("_fixed"))
+    held = entries.join(sets, ["version", "sub_type"], "left")
+    return held.withColumn("spells", entry_spells(F.col("sub_type"), F.col("_fixed"), F.col("spells"))).select(*entries.columns)
+
+
+def _counted(n: Column, noun: str) -> Column:
+    return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s")))
+
+
+def standing_facts(entries: DataFrame, levels: DataFrame) -> DataFrame:
+    """(place, facts): what a report says of a place in phrases; only what is true, so an ordinary place has an empty list.
+
+    entries are flattened rows with category, feat, cost, artefact, name, x, y, entry_order and item_order; levels have altar_mask
+    and gold. Goods are a shop's if they lie on its spot (spots without coordinates meet). A place's rows meet in one group.
+    """
+    item, feat = F.col("category") == "items", F.col("feat")
+    art = item & F.coalesce("artefact", F.lit(False))
+    altar = F.when(feat.startswith("altar_") & (feat != "altar_ecumenical"), F.struct(feat.isin(*ALTARS).alias("pooled"), title(F.substr(feat, F.lit(7))).alias("god")))
+    monster = F.when(F.col("category") == "monsters", F.struct("entry_order", "item_order", "name"))
+    spots = entries.groupBy(*PLACE, "x", "y").agg(
+        F.count_if(art & F.col("cost").isNull()).alias("floor"),
+        F.count_if(art & F.col("cost").isNotNull()).alias("goods"),
+        F.count_if(feat == "enter_shop").alias("shops"),
+        F.count_if(feat.startswith("enter_") & (feat != "enter_shop")).alias("ways"),
+        F.collect_list(altar).alias("altars"),
+        F.collect_list(monster).alias("monsters"),
+    )
+    held = spots.groupBy(PLACE).agg(
+        *[F.sum(c).alias(c) for c in ("floor", "shops", "ways")],
+        F.sum(F.col("goods") * F.col("shops")).alias("sold"),
+        *[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("altars", "monsters")],
+    )
+    joined = levels.select(*PLACE, "altar_mask", "gold").join(held, PLACE, "left").na.fill(0, ["floor", "shops", "ways", "sold"])
+    listed = lambda c, field: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda a: a[field]), ", "))
+    where = F.when(F.col("sold") == 0, "").when(F.col("floor") == 0, ", all for sale").otherwise(F.concat(F.lit(", "), F.col("sold").cast("string"), F.lit(" of them for sale")))
+    mask = F.bit_count("altar_mask")
+    facts = F.array(
+        F.concat(_counted(F.col("floor") + F.col("sold"), "artefact"), where),
+        F.when(F.col("altar_mask").isNull(), listed(F.col("altars"), "god")),
+        listed(F.col("monsters"), "name"),
+        _counted(F.col("ways"), "way on"),
+        _counted(F.col("shops"), "shop"),
+        F.concat(mask.cast("string"), F.when(mask == 1, " altar").otherwise(" altars")),
+        F.when(F.col("gold") != 0, F.concat(F.col("gold").cast("string"), F.lit(" floor gold"))),
+    )
+    return joined.select(*PLACE, F.filter(facts, lambda x: x.isNotNull()).alias("facts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import places, text
+from ..functions import naming, places, text
 from ..operators import audit, heat, index, ingest, search, views
 from ..operators.criteria import Brand, Feature, Item, NameLike, Props, Term
 from ..sources import adapters as A
@@ -633,3 +633,123 @@ def W2_key_ranges(spark, d):
 @query("SELECT version, group_name, drawn, count(*) AS containers FROM (" + ORACLES["V8_exclusion_draws"].split("\n", 1)[1][ORACLES["V8_exclusion_draws"].split("\n", 1)[1].index("SELECT k.version"):] + ") GROUP BY ALL")
 def N1_exclusion_stats(spark, d):
     return audit.exclusion_stats(views.exclusion_draws(A.entries(spark, d), _GROUPS))
+
+
+# ---- names and words by release
+
+_NAMED = """named AS (SELECT l_returnflag AS version, l_orderkey AS k, l_partkey % 10 AS b, p_size AS s,
+    list_value('potion', 'scroll', 'wand', 'staff', 'weapon', 'armour', 'jewellery', 'miscellaneous', 'gold', NULL)[l_partkey % 10 + 1] AS base,
+    CASE l_partkey % 10 WHEN 5 THEN list_value('gloves', 'orb', 'robe')[p_size % 3 + 1] WHEN 7 THEN list_value('lightning rod', 'phial of floods')[p_size % 2 + 1] ELSE split_part(p_name, ' ', 2) END AS sub,
+    p_size % 4 AS q, p_size % 7 - 3 AS plus, CASE WHEN l_partkey % 10 = 4 THEN list_value('flame', 'vamp', 'holy', 'none such', NULL)[p_size % 5 + 1] ELSE list_value('rF+', 'harm', 'Harm', NULL)[p_size % 4 + 1] END AS ego,
+    l_partkey % 11 = 0 AS artefact FROM lineitem JOIN part ON l_partkey = p_partkey),
+shown AS (SELECT *, printf('%+d', plus) || ' ' AS sign, CASE WHEN artefact THEN NULL WHEN b <= 1 AND q > 1 THEN CAST(q AS VARCHAR) || ' ' || base || 's of ' || sub WHEN b IN (0, 1, 3) THEN base || ' of ' || sub
+    WHEN b = 2 THEN 'wand of ' || sub || ' (' || CAST(plus AS VARCHAR) || ')'
+    WHEN b = 4 THEN sign || CASE ego WHEN 'flame' THEN sub || ' of flaming' WHEN 'vamp' THEN 'vampiric ' || sub WHEN 'holy' THEN sub || ' of holy wrath' ELSE sub END
+    WHEN b = 5 THEN CASE WHEN sub = 'orb' THEN '' ELSE sign END || CASE WHEN sub = 'gloves' THEN 'pair of gloves' ELSE sub END || CASE WHEN ego = 'rF+' THEN ' of fire resistance' WHEN ego IN ('harm', 'Harm') THEN ' of harm' ELSE '' END
+    WHEN b = 6 THEN CASE WHEN plus = 0 THEN '' ELSE sign END || sub WHEN b = 7 THEN sub || CASE WHEN sub = 'lightning rod' THEN ' (4/4)' ELSE '' END END AS name FROM named)"""
+
+
+def _named(spark, d):
+    """Items of every class, with what their names are made of."""
+    lines, part = A._table(spark, d, "lineitem").select("l_returnflag", "l_partkey"), A._table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return lines.join(part, F.expr("l_partkey = p_partkey")).selectExpr(
+        "l_returnflag as version",
+        "'items' as category",
+        "cast(null as string) as feat",
+        "cast(null as string) as shop_type",
+        "array('potion', 'scroll', 'wand', 'staff', 'weapon', 'armour', 'jewellery', 'miscellaneous', 'gold', null)[cast(l_partkey % 10 as int)] as base_type",
+        "case l_partkey % 10 when 5 then array('gloves', 'orb', 'robe')[cast(p_size % 3 as int)] when 7 then array('lightning rod', 'phial of floods')[cast(p_size % 2 as int)] else split_part(p_name, ' ', 2) end as sub_type",
+        "cast(p_size % 4 as int) as quantity",
+        "cast(p_size % 7 - 3 as int) as plus",
+        "case when l_partkey % 10 = 4 then array('flame', 'vamp', 'holy', 'none such', null)[cast(p_size % 5 as int)] else array('rF+', 'harm', 'Harm', null)[cast(p_size % 4 as int)] end as ego",
+        "l_partkey % 11 = 0 as artefact",
+        "p_name as name",
+    )
+
+
+@query("SELECT version, name, count(*) AS n FROM shown GROUP BY ALL", _NAMED)
+def F5_display_names(spark, d):
+    named = _named(spark, d)
+    return named.withColumn("name", naming.display_name(*map(F.col, views.NAMED_BY))).groupBy("version", "name").agg(F.count("*").alias("n"))
+
+
+_FEATS = ("altar_trog", "enter_shop", "enter_temple", "enter_ice_cave", "unheard_of", "altar_the_shining_one")
+
+
+@query("""SELECT name, count(*) AS n FROM (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'a bloodstained altar of Trog' WHEN 2 THEN 'a staircase to the Ecumenical Temple' WHEN 3 THEN 'a frozen archway' WHEN 5 THEN 'a glowing golden altar of the Shining One'
+  WHEN 1 THEN CASE o_custkey % 4 WHEN 0 THEN 'a shop' WHEN 1 THEN 'a General Store' ELSE CASE WHEN left(split_part(o_orderpriority, '-', 2), 1) IN ('A', 'E', 'I', 'O', 'U') THEN 'an ' ELSE 'a ' END || split_part(o_orderpriority, '-', 2) || ' Shop' END END AS name FROM orders) GROUP BY name""")
+def F5_feature_names(spark, d):
+    feat = F.array(*map(F.lit, _FEATS))[(F.col("o_orderkey") % 6).cast("int")]
+    kind = F.expr("case o_custkey % 4 when 0 then '' when 1 then 'General Store' else case when contains(o_orderpriority, '-') then split_part(o_orderpriority, '-', 2) else '' end end")
+    return A._table(spark, d, "orders").select(naming.feature_name(feat, kind).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT version, base AS base_type, count(*) AS n, count(*) FILTER (WHERE name IS NULL) AS stored, count(DISTINCT coalesce(name, '?')) AS names FROM shown GROUP BY ALL", _NAMED)
+def S9_elided_names(spark, d):
+    """How many entries of each class must store a name, and how many names there are after all are given back ('?' for stored ones)."""
+    kept = views.elide_names(_named(spark, d)).withColumn("stored", F.col("name").isNotNull())
+    full = views.full_names(kept.withColumn("name", F.when(F.col("stored"), "?")))
+    return full.groupBy("version", "base_type").agg(F.count("*").alias("n"), F.count_if("stored").alias("stored"), F.countDistinct("name").alias("names"))
+
+
+_TYPED_WORDS = """typed AS (SELECT '0.' || CAST(33 + l_linenumber % 2 AS VARCHAR) || '.' || CAST(l_suppkey % 2 AS VARCHAR) AS version, CASE WHEN l_partkey % 2 = 0 THEN 'weapon' ELSE 'armour' END AS base,
+    list_value('Harm', 'FIRE Resistance', 'rampaging', 'spirit shield', 'nonsense', 'sundering', 'Reaping')[l_orderkey % 7 + 1] AS word, list_value('alch', 'Alchemy', 'rf', 'BDAM', 'zz', '*slow', 'NUPGR')[l_orderkey % 7 + 1] AS prop FROM lineitem)"""
+
+
+def _typed(spark, d):
+    return A._table(spark, d, "lineitem").selectExpr(
+        "concat('0.', cast(33 + l_linenumber % 2 as string), '.', cast(l_suppkey % 2 as string)) as version",
+        "case when l_partkey % 2 = 0 then 'weapon' else 'armour' end as base",
+        "array('Harm', 'FIRE Resistance', 'rampaging', 'spirit shield', 'nonsense', 'sundering', 'Reaping')[cast(l_orderkey % 7 as int)] as word",
+        "array('alch', 'Alchemy', 'rf', 'BDAM', 'zz', '*slow', 'NUPGR')[cast(l_orderkey % 7 as int)] as prop",
+    )
+
+
+@query("""SELECT version, base, word, CASE WHEN base = 'weapon' THEN CASE word WHEN 'sundering' THEN 'sunder' WHEN 'Reaping' THEN 'reap' END ELSE CASE word WHEN 'Harm' THEN CASE WHEN version = '0.34.1' THEN 'Harm' ELSE 'harm' END
+    WHEN 'rampaging' THEN CASE WHEN version = '0.34.1' THEN 'Rampage' ELSE 'rampage' END WHEN 'FIRE Resistance' THEN 'rF+' WHEN 'spirit shield' THEN 'Spirit' END END AS code,
+  CASE WHEN (base = 'armour' AND word = 'spirit shield') OR (base = 'weapon' AND word = 'Reaping') THEN 'only ever on artefacts' END AS refusal, count(*) AS n FROM typed GROUP BY ALL""", _TYPED_WORDS)
+def F12_brand_codes(spark, d):
+    base, word = F.col("base"), F.col("word")
+    return _typed(spark, d).groupBy("version", "base", "word", naming.brand_code(base, word, F.col("version")).alias("code"), naming.brand_refusal(base, word).alias("refusal")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT version, prop, CASE prop WHEN 'alch' THEN CASE WHEN version <> '0.33.0' THEN 'Alch' END WHEN 'Alchemy' THEN CASE WHEN version = '0.33.0' THEN 'Alchemy' END WHEN 'rf' THEN 'rF' WHEN 'BDAM' THEN 'BDam' WHEN '*slow' THEN '*Slow' WHEN 'NUPGR' THEN 'nupgr' END AS name,
+  CASE WHEN prop = 'alch' AND version = '0.33.0' THEN 'Alchemy' WHEN prop = 'Alchemy' AND version <> '0.33.0' THEN 'Alch' END AS elsewhere,
+  CASE prop WHEN '*slow' THEN 'a drawback' WHEN 'NUPGR' THEN 'an internal flag' END AS refusal, count(*) AS n FROM typed GROUP BY ALL""", _TYPED_WORDS)
+def F13_property_names(spark, d):
+    prop, version = F.col("prop"), F.col("version")
+    name = naming.property_name(prop, version)
+    return _typed(spark, d).groupBy("version", "prop", name.alias("name"), naming.property_elsewhere(prop, version).alias("elsewhere"), naming.property_refusal(name).alias("refusal")).agg(F.count("*").alias("n"))
+
+
+_BOOKS = """books AS (SELECT l_returnflag AS version, p_size AS s, CASE WHEN p_size % 3 = 0 THEN list_value('S' || CAST(p_size AS VARCHAR)) WHEN p_size % 3 = 1 AND l_returnflag <> 'N' THEN list_value('S1', 'S2') ELSE list_value('S' || CAST(p_size AS VARCHAR), 'S9') END AS spells
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query("SELECT version, spell, CASE WHEN level >= 8 THEN 'high' WHEN level >= 5 THEN 'mid' ELSE 'low' END AS tier, n FROM (SELECT version, spell, CAST(substr(spell, 2) AS INTEGER) % 9 + 1 AS level, count(*) AS n FROM (SELECT version, unnest(spells) AS spell FROM books) GROUP BY ALL)", _BOOKS)
+def J10_entry_spells(spark, d):
+    """Spells of parchments, of kinds whose set the release fixes, and of entries that store their own, with the tiers of F19."""
+    lines, part = A._table(spark, d, "lineitem").select("l_returnflag", "l_partkey"), A._table(spark, d, "part").select("p_partkey", "p_size")
+    books = lines.join(part, F.expr("l_partkey = p_partkey")).selectExpr("l_returnflag as version", "case p_size % 3 when 0 then concat('parchment of S', cast(p_size as string)) when 1 then 'book of A' else 'book of B' end as sub_type", "array(concat('S', cast(p_size as string)), 'S9') as spells")
+    fixed = lines.where("l_returnflag <> 'N'").select(F.col("l_returnflag").alias("version")).distinct().selectExpr("version", "'book of A' as sub_type", "array('S1', 'S2') as spells")
+    counted = views.with_spells(books, fixed).select("version", F.explode("spells").alias("spell")).groupBy("version", "spell").agg(F.count("*").alias("n"))
+    return counted.join(A.spell_levels(spark), "spell").select("version", "spell", naming.spell_tier(F.col("spell_level")).alias("tier"), "n")
+
+
+@query("""SELECT l.version, l.container_id, l.place, concat_ws('; ',
+    CASE WHEN coalesce(a, 0) + sold > 0 THEN CAST(coalesce(a, 0) + sold AS VARCHAR) || ' artefact' || CASE WHEN coalesce(a, 0) + sold = 1 THEN '' ELSE 's' END || CASE WHEN sold = 0 THEN '' WHEN coalesce(a, 0) = 0 THEN ', all for sale' ELSE ', ' || CAST(sold AS VARCHAR) || ' of them for sale' END END,
+    CASE WHEN l.place <> 'Temple' AND feat = 'altar_trog' THEN 'Trog' END, CASE WHEN l.place = 'D:1' AND k % 3 = 0 THEN 'orc, rat' END, CASE WHEN feat IN ('enter_temple', 'enter_sewer') THEN '1 way on' END, CASE WHEN feat = 'enter_shop' THEN '1 shop' END,
+    CASE WHEN l.place = 'Temple' THEN CAST(bit_count(k % 8) AS VARCHAR) || CASE WHEN bit_count(k % 8) = 1 THEN ' altar' ELSE ' altars' END END, CASE WHEN k % 4 > 0 THEN CAST(k % 4 * 10 AS VARCHAR) || ' floor gold' END) AS facts
+  FROM (SELECT l.*, CAST(l.container_id AS BIGINT) AS k, feat, a, CASE WHEN feat = 'enter_shop' THEN coalesce(s, 0) ELSE 0 END AS sold FROM levels l LEFT JOIN features f USING (version, container_id, place)
+    LEFT JOIN (SELECT version, container_id, place, count(*) FILTER (WHERE artefact AND cost IS NULL) AS a, count(*) FILTER (WHERE artefact AND cost IS NOT NULL) AS s FROM entries GROUP BY ALL) e USING (version, container_id, place)) l""")
+def V6_standing_facts(spark, d):
+    from ..sources.tables import written
+
+    held = written(A.entries(spark, d).select(views.PLACE + ["row_parent", "artefact", "cost"]), "entries")
+    items = held.select(*views.PLACE, F.lit("items").alias("category"), "artefact", "cost")
+    keys = held.select(KEY).distinct().withColumn("k", F.col("container_id").cast("long"))
+    feats = keys.selectExpr("version", "container_id", "concat('D:', cast(k % 7 + 1 as string)) as place", "'features' as category", f"{A.FEAT.replace('o_custkey', 'k')} as feat")
+    beasts = keys.where("k % 3 = 0").selectExpr("version", "container_id", "'D:1' as place", "'monsters' as category", "posexplode(array('orc', 'rat')) as (entry_order, name)")
+    rows = items.unionByName(feats.where("feat is not null"), True).unionByName(beasts, True).withColumns({c: F.lit(None).cast("int") for c in ("x", "y", "item_order")})
+    levels = A.levels_of(held).withColumns({"altar_mask": F.expr("case when place = 'Temple' then cast(cast(container_id as bigint) % 8 as int) end"), "gold": F.expr("cast(cast(container_id as bigint) % 4 * 10 as int)")})
+    return views.standing_facts(rows, levels).select(*views.PLACE, F.array_join("facts", "; ").alias("facts"))

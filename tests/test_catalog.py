@@ -9,7 +9,7 @@ from math import isclose, log10
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions import places, text
+from cairn.functions import naming, places, text
 from cairn.operators import heat, index, ingest, search, views
 from cairn.operators.criteria import Brand, Item, NameLike, Props, Term
 from cairn.sources.tables import read_catalog_jsonl, write_snapshot
@@ -224,6 +224,69 @@ def test_streams(spark, tmp_path):
     assert spark.table("counts").first().arrivals == 3
 
 
+def test_names_and_words(spark):
+    rows = [
+        ("items", None, None, "potion", "haste", 3, None, None, None, "3 potions of haste"),
+        ("items", None, None, "scroll", "", 1, None, None, None, None),
+        ("items", None, None, "wand", "flame", None, None, None, None, "wand of flame (0)"),
+        ("items", None, None, "weapon", "dagger", None, -2, "vamp", False, "-2 vampiric dagger"),
+        ("items", None, None, "weapon", "dagger", None, None, "what", False, "+0 dagger"),
+        ("items", None, None, "armour", "boots", None, 1, "reflect", None, "+1 pair of boots of reflection"),
+        ("items", None, None, "armour", "scarf", None, 1, "Harm", None, "scarf of harm"),
+        ("items", None, None, "jewellery", "ring of slaying", None, 4, None, None, "+4 ring of slaying"),
+        ("items", None, None, "miscellaneous", "lightning rod", None, None, None, None, "lightning rod (4/4)"),
+        ("items", None, None, "weapon", "dagger", None, 1, None, True, None),
+        ("items", None, None, None, "dagger", None, 1, None, None, None),
+        ("monsters", None, None, "weapon", "dagger", None, 1, None, None, None),
+        ("features", "enter_shop", "Antique Weapon", None, None, None, None, None, None, "an Antique Weapon Shop"),
+        ("features", "enter_shop", None, None, None, None, None, None, None, "a shop"),
+        ("features", "altar_wu_jian", None, None, None, None, None, None, None, "an ornate altar of the Wu Jian Council"),
+        ("features", "unknown", None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "category string, feat string, shop_type string, base_type string, sub_type string, quantity int, plus int, ego string, artefact boolean, expected string")
+    assert [r for r in df.withColumn("name", naming.display_name(*map(F.col, views.NAMED_BY))).collect() if r.name != r.expected] == []
+    stored = df.withColumn("name", F.coalesce("expected", F.lit("own")))
+    kept = views.elide_names(stored)
+    assert kept.where("name is not null").count() == df.where("expected is null").count()
+    assert values(views.full_names(kept), "name") == values(stored, "name")
+    for kind, brands in naming.BRANDS.items():
+        words = spark.createDataFrame(list(brands.items()), "code string, word string")
+        back = words.where(naming.brand_code(F.lit(kind), F.upper("word"), F.lit("0.34.1")) == F.col("code")).where(naming.brand_word(F.lit(kind), F.col("code")) == F.col("word"))
+        assert back.count() == len(brands)
+    egos = spark.createDataFrame([("0.33.1", "armour", "harm", None), ("0.34.1", "armour", "Harm", None), ("0.34.1", "armour", "harm", None), ("0.34.1", "weapon", "Harm", None)], "version string, base_type string, ego string, cost double")
+    assert egos.where(Term(Brand("armour", "HARM", by_release=True)).column()).count() == 2
+    assert egos.where(Term(Brand("armour", "unknown", by_release=True)).column()).count() == 0
+
+
+def test_standing_facts(spark):
+    schema = "place string, category string, feat string, artefact boolean, cost double, name string, x int, y int, entry_order int, item_order int"
+    rows = [
+        ("D:1", "items", None, True, None, "a", 1, 1, 0, 0),
+        ("D:1", "items", None, True, 9.0, "b", 2, 2, 1, 0),
+        ("D:1", "items", None, True, 9.0, "c", 5, 5, 2, 0),  # on no shop's spot
+        ("D:1", "features", "enter_shop", None, None, None, 2, 2, 0, 0),
+        ("D:1", "features", "enter_lair", None, None, None, 3, 3, 1, 0),
+        ("D:1", "features", "enter_orc", None, None, None, 3, 4, 1, 0),
+        ("D:1", "features", "altar_zin", None, None, None, 4, 4, 2, 0),
+        ("D:1", "features", "altar_jiyva", None, None, None, 4, 5, 3, 0),
+        ("D:1", "features", "altar_ecumenical", None, None, None, 4, 6, 4, 0),
+        ("D:1", "monsters", None, None, None, "Sigmund", 6, 6, 1, 0),
+        ("D:1", "monsters", None, None, None, "Edmund", 6, 7, 0, 0),
+        ("D:2", "items", None, True, 9.0, "d", None, None, 0, 0),
+        ("D:2", "features", "enter_shop", None, None, None, None, None, 0, 0),
+        ("Temple", "features", "altar_lugonu", None, None, None, 1, 1, 0, 0),
+    ]
+    entries = spark.createDataFrame(rows, schema).withColumns({"version": F.lit("v"), "container_id": F.lit("1")})
+    levels = spark.createDataFrame([("v", "1", "D:1", None, 7), ("v", "1", "D:2", None, 0), ("v", "1", "Temple", 5, None), ("v", "1", "D:3", None, None)], "version string, container_id string, place string, altar_mask int, gold int")
+    got = {r.place: r.facts for r in views.standing_facts(entries, levels).collect()}
+    assert got == {
+        "D:1": ["2 artefacts, 1 of them for sale", "Jiyva, Zin", "Edmund, Sigmund", "2 way ons", "1 shop", "7 floor gold"],
+        "D:2": ["1 artefact, all for sale", "1 shop"],
+        "Temple": ["2 altars"],
+        "D:3": [],
+    }
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_queries_equal_their_sql(spark):
     import duckdb
