@@ -19,25 +19,39 @@ def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_or_empty(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def _sums_before(rows: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """rows with a column for each of sums: the sum of the named column over all rows before, in that order.
+
+    Rows are dealt out by range, once (they are written); only one row for each range meets the others in one task.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    earlier = ranges.select("_range", *[F.coalesce(F.sum(f"_{name}").over(whole), F.lit(0)).alias(f"_{name}") for name in sums])
+    # as many rows as shuffle partitions, at most
+    joined = dealt.join(F.broadcast(earlier), "_range")
+    return joined.withColumns({name: F.col(f"_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).drop("_range", *[f"_{name}" for name in sums])
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_COPIES) -> DataFrame:
     """(source, source_size, docs, target): sources in order of code points, null last, take the weights in turn.
 
     `share` of all sizes is dealt out by weight; what exceeds `most` times a source's size is dealt out again among the others.
     A source is at its limit if and only if its weight for each word of its limit is great enough, so that sources in the order of
-    limit / weight fill up one after the other: running sums over that order give the level at once, without rounds.
+    limit / weight fill up one after the other: running sums over that order give the level at once, without rounds. Sums of whole
+    weights and limits are exact, in whatever ranges they are taken.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (place % len(weights) + 1).cast("int"))
-    each = by.withColumn("weight", weight).withColumn("limit", most * F.col("source_size")).withColumn("at", F.col("limit") / F.col("weight"))
-    up = Window.orderBy("at", F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumns({"total": share * F.sum("source_size").over(every), "filled": F.coalesce(F.sum("limit").over(before), F.lit(0.0)), "heavy": F.sum("weight").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
-    each = each.withColumn("level", (F.col("total") - F.col("filled")) / F.col("heavy"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).withColumn("one", F.lit(1).cast("long"))
+    placed = _sums_before(by, [F.col("source").asc_nulls_last()], place="one")
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
+    each = placed.withColumn("weight", weight).withColumn("limit", most * F.col("source_size")).withColumn("at", F.col("limit") / F.col("weight"))
+    each = _sums_before(each, [F.col("at").asc(), F.col("source").asc_nulls_last()], filled="limit", lighter="weight")
+    words, heavy = (float(x or 0) for x in each.agg(F.sum("source_size"), F.sum("weight")).first())
+    each = each.withColumn("level", (share * words - F.col("filled")) / (heavy - F.col("lighter")))
     # the level is that of the first source that it doesn't fill
-    each = each.withColumn("final", F.min(F.when(F.col("level") < F.col("at"), F.struct("at", F.coalesce("source", F.lit("")), "level"))).over(every)["level"])
-    target = F.least(F.col("limit"), F.coalesce(F.col("weight") * F.col("final"), F.col("limit")))
+    level = each.agg(F.min(F.when(F.col("level") < F.col("at"), F.struct("at", F.coalesce("source", F.lit("")), "level")))["level"]).first()[0]
+    target = F.col("limit") if level is None else F.least(F.col("limit"), F.col("weight") * level)
     return each.select("source", "source_size", "docs", target.alias("target"))
 
 

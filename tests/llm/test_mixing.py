@@ -28,6 +28,18 @@ def test_targets(spark):
     assert got == pytest.approx(plain_targets(sizes))
 
 
+def test_targets_over_many_ranges(spark, rng):
+    sizes = {f"s{k}": rng.choice([0, 1, 7, 50, 900, 20_000]) for k in range(700)} | {None: 3}
+    df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes.items())], "id long, source string, size long")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+    finally:
+        spark.conf.unset(coalesce)
+    assert got == pytest.approx(plain_targets(sizes))
+
+
 def test_mix_is_near_its_targets(docs, rng):
     rows = [(i, words(rng, rng.choice([0, 3, 40, 200])), "en", rng.choice(["a", "a", "a", "a", "b", "c", None]), 0) for i in range(2500)]
     rows += [(1, "p q", "en", "a", 0)] * 3 + [(None, "n one", "en", "b", 0), (7777, None, "en", "c", 0), (7778, "w " * 3000, "en", "d", 0)]
