@@ -90,7 +90,7 @@ def refuse_broad(found: DataFrame, most: int = 5000) -> None:
 
 
 def sample_containers(keys: DataFrame, n: int, seed: int) -> DataFrame:
-    """n containers of each version in the order of a hash: the same for the same seed."""
+    """n containers in the order of a hash: the same for the same seed."""
     order = F.xxhash64("version", "container_id", F.lit(seed))
     return keys.withColumn("_o", order).orderBy("_o", *KEY).limit(n).drop("_o")
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import naming, places, text
 from ..operators import audit, heat, index, ingest, search, views
-from ..operators.criteria import Brand, Feature, Item, NameLike, Props, Term
+from ..operators.criteria import Brand, Feature, Item, NameLike, Props, Term, Unique
 from ..sources import adapters as A
+from ..sources.tables import parse_jsonl
+from ..streaming import catalog as stream
 
 KEY = search.KEY
 U = places.UNKNOWN
@@ -753,3 +755,91 @@ def V6_standing_facts(spark, d):
     rows = items.unionByName(feats.where("feat is not null"), True).unionByName(beasts, True).withColumns({c: F.lit(None).cast("int") for c in ("x", "y", "item_order")})
     levels = A.levels_of(held).withColumns({"altar_mask": F.expr("case when place = 'Temple' then cast(cast(container_id as bigint) % 8 as int) end"), "gold": F.expr("cast(cast(container_id as bigint) % 4 * 10 as int)")})
     return views.standing_facts(rows, levels).select(*views.PLACE, F.array_join("facts", "; ").alias("facts"))
+
+
+# ---- registry, altars, shops, flags and streams
+
+
+@query("SELECT l_returnflag AS version, min(l_shipdate) AS first_seen FROM lineitem GROUP BY ALL")
+def S12_versions(spark, d):
+    return ingest.register_versions(A._table(spark, d, "lineitem").selectExpr("l_returnflag as version", "l_shipdate as ingested_at"))
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+def S20_json_lines(spark, d):
+    return parse_jsonl(A._table(spark, d, "events").select(F.col("props").alias("value")), "k long").groupBy("k").agg(F.count("*").alias("n"))
+
+
+def _altars(spark, d):
+    """Levels with masks, and the features left: altars of even containers stand in the Temple."""
+    placed = A.features(spark, d).withColumn("place", F.expr("case when feat = 'altar_trog' and cast(container_id as bigint) % 2 = 0 then 'Temple' else place end"))
+    return ingest.encode_altar_mask(A.levels(spark, d), placed)
+
+
+_TROG = "(SELECT version, container_id, place, feat FROM features WHERE feat = 'altar_trog' AND CAST(container_id AS BIGINT) % 2 = {})"
+
+
+@query(f"SELECT l.version, l.container_id, l.place, l.parent, CASE WHEN l.place = 'Temple' THEN CAST(CASE WHEN f.feat IS NULL THEN 0 ELSE {1 << places.ALTARS.index('altar_trog')} END AS INTEGER) END AS altar_mask FROM levels l LEFT JOIN {_TROG.format(0)} f ON l.version = f.version AND l.container_id = f.container_id")
+def S8_altar_masks(spark, d):
+    return _altars(spark, d)[0].select(*views.PLACE, "parent", "altar_mask")
+
+
+@query(f"SELECT l.version, l.container_id, l.place, feat FROM levels l JOIN {_TROG.format(0)} f ON l.version = f.version AND l.container_id = f.container_id WHERE l.place = 'Temple' UNION SELECT * FROM {_TROG.format(1)}")
+def V5_altars(spark, d):
+    return views.altars(*_altars(spark, d))
+
+
+@query("SELECT e.version, CASE WHEN f.feat IS NOT NULL THEN 'general' END AS shop_type, count(*) AS stock FROM entries e LEFT JOIN (SELECT * FROM features WHERE feat = 'enter_shop') f ON e.version = f.version AND e.container_id = f.container_id AND e.place = f.place WHERE cost IS NOT NULL GROUP BY ALL")
+def J8_shop_stock(spark, d):
+    spot = {"x": F.lit(None).cast("int"), "y": F.lit(1), "shop_type": F.lit(None).cast("string")}
+    rows = A.entries(spark, d).select(*views.PLACE, "cost").withColumns(spot | {"feat": F.lit(None).cast("string")})
+    feats = A.features(spark, d).withColumns(spot | {"cost": F.lit(None).cast("double"), "shop_type": F.lit("general")})
+    return views.shop_stock(rows.unionByName(feats)).groupBy("version", "shop_type").agg(F.count("*").alias("stock"))
+
+
+@query("SELECT DISTINCT place, place = 'Sewer' AS portal, CASE WHEN place = 'Sewer' THEN 'enter_sewer' END AS feat, split_part(place, ':', 1) AS branch FROM levels")
+def F3_portals(spark, d):
+    p = F.col("place")
+    return A.levels(spark, d).select("place", places.is_portal(p).alias("portal"), places.portal_feat(p).alias("feat"), places.branch_of_place(p).alias("branch")).distinct()
+
+
+@query("SELECT version, container_id, CAST(count(*) AS BIGINT) AS n1 FROM (SELECT * FROM entries WHERE quantity IS NULL AND artefact AND name = (SELECT min(p_name || ' ' || p_brand) FROM part WHERE p_partkey % 5 = 0)) GROUP BY ALL")
+def P4_unique(spark, d):
+    name = A._table(spark, d, "part").where("p_partkey % 5 = 0").agg(F.min(F.concat("p_name", F.lit(" "), "p_brand"))).first()[0]
+    rows = A.entries(spark, d).where("quantity is null").withColumn("unique", F.col("artefact"))
+    return search.search(rows, [Term(Unique(name or ""))])
+
+
+@query("SELECT version, version <> 'R' AS current FROM fills GROUP BY version")
+def I8_currency(spark, d):
+    counts = ingest.sample_counts(A.fills(spark, d)).select("version", "sampled")
+    return index.is_current(counts.where("version <> 'R'"), counts)
+
+
+@query("SELECT version, count(*) AS kept, count(*) FILTER (WHERE origin = 'fill') AS counted FROM fills GROUP BY version HAVING kept <> counted")
+def D5_counter(spark, d):
+    f = A.fills(spark, d)
+    number = lambda rows: rows.groupBy("version").agg(F.count("*").alias("n"))
+    return audit.audit_counter(number(f), number(f.where("origin = 'fill'")))
+
+
+@query("SELECT DISTINCT version, container_id FROM (SELECT substr('ANR', CAST(event_id % 3 AS INTEGER) + 1, 1) AS version, CAST(user_id AS VARCHAR) AS container_id FROM events) SEMI JOIN fills USING (version, container_id)")
+def J16_flagged_present(spark, d):
+    flags = A._table(spark, d, "events").selectExpr("substr('ANR', cast(event_id % 3 as int) + 1, 1) as version", "cast(user_id as string) as container_id").distinct()
+    return views.flagged_present(flags, A.fills(spark, d))
+
+
+def _event_stream(spark, d):
+    return spark.readStream.schema(A._table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+@query("SELECT event_type AS version, CASE WHEN user_id % 20 = 0 THEN 'submit' ELSE 'fill' END AS origin, count(*) AS arrivals FROM events GROUP BY ALL")
+def T4_arrivals(spark, d):
+    source = _event_stream(spark, d).selectExpr("event_type as version", "case when user_id % 20 = 0 then 'submit' else 'fill' end as origin")
+    return stream.finished(stream.stream_counts(source), "complete")
+
+
+@query("SELECT DISTINCT event_type AS version, CAST(user_id AS VARCHAR) AS container_id FROM events")
+def T5_flag_stream(spark, d):
+    source = _event_stream(spark, d).selectExpr("event_type as version", "cast(user_id as string) as container_id", "'s' as session", "props as query", "ts as at")
+    return stream.finished(stream.stream_flags(source, b"key")).select("version", "container_id")

@@ -17,9 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, so that its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -29,8 +34,11 @@ def write_snapshot(df: DataFrame, path: str, by: tuple[str, ...] = ("version",))
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def read_catalog_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of a schema; lines that are no object, or a broken one, are skipped."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*\{"))
-    parsed = lines.select(F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+def parse_jsonl(lines: DataFrame, schema: str) -> DataFrame:
+    """Objects of a schema from the column value; lines that are no object, or a broken one, are skipped."""
+    parsed = lines.where(F.col("value").rlike(r"^\s*\{")).select(F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
     return parsed.where("r._broken is null").select("r.*").drop("_broken")
+
+
+def read_catalog_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return parse_jsonl(spark.read.text(path), schema)

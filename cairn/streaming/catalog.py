@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import keyed_hash
 from ..operators import ingest
 from ..operators.index import trigrams
-from ..sources.tables import written
+from ..sources.tables import fresh_path, written
 
 
 class PlaceStore:
@@ -60,3 +60,15 @@ class NameIndex:
 
 def stream_name_index(source: DataFrame, index: NameIndex, checkpoint: str):
     return source.writeStream.foreachBatch(index.catch_up).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has put out once it has read all that is there. Complete mode: its last result."""
+    spark, out, checkpoint = stream.sparkSession, fresh_path(stream.sparkSession, "stream"), fresh_path(stream.sparkSession, "offsets")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        run = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    else:
+        run = writer.format("parquet").option("path", out).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
