@@ -19,6 +19,10 @@ SEED = 42
 #: Lists of the index of up to so many fingerprints are compared pair by pair, longer ones by single-bit neighbours (exactly, too).
 LIST_LIMIT = 64
 _CHUNK = 1 << 16
+#: Lists that a shingle set stands in for near_copies(), and the minimum hashes that two sets share to meet in one.
+LISTS, TOGETHER = 24, 4
+#: Bits of a set's bitmap, by which pairs are told that can't have the similarity.
+BITS = 1024
 
 
 def fingerprint(text: str, shingle_words: int = 3) -> int:
@@ -106,8 +110,130 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the component's id. Repeated ids of that value keep one row."""
-    keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.coalesce(id_col, F.lit(-1)).alias("_key"), F.col(id_col).isNull().alias("_none")).distinct()
+def shingle_set(text: str, shingle_words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order; a shorter text is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    k = min(shingle_words, len(words))
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [], np.uint64))
+
+
+def _positions(hashes: np.ndarray) -> list[int]:
+    """A key for each of LISTS positions: TOGETHER minimum hashes of the set. Sets of similarity s agree at one with chance s ** TOGETHER."""
+    draw = np.random.default_rng(SEED).integers(0, 1 << 63, (2, LISTS * TOGETHER), np.uint64)
+    least = np.full(LISTS * TOGETHER, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, (hashes[at : at + 2048, None] * (2 * draw[0] + 1) + draw[1]).min(0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least.reshape(LISTS, TOGETHER))] if len(hashes) else []
+
+
+def _signed(values) -> list[int]:
+    return np.array(values, np.uint64).astype(np.int64).tolist()
+
+
+def _sets(shingle_words: int):
+    @arrow_udf("array<long>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([_signed(shingle_set(t, shingle_words)) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return sets
+
+
+def _signatures(shingle_words: int):
+    @arrow_udf("digest long, size int, keys array<long>, bits binary")
+    def signatures(texts: pa.Array) -> pa.Array:
+        found = [shingle_set(t, shingle_words) for t in texts.to_pylist()]
+        digests = pa.array(_signed([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found]), pa.int64())
+        keys = pa.array([_signed(_positions(h)) for h in found], pa.list_(pa.int64()))
+        bits = pa.array([_bits(h) for h in found], pa.binary())
+        return pa.StructArray.from_arrays([digests, pa.array([len(h) for h in found], pa.int32()), keys, bits], names=["digest", "size", "keys", "bits"])
+
+    return signatures
+
+
+def _bits(hashes: np.ndarray) -> bytes:
+    """A bitmap of BITS in which each hash sets one."""
+    flags = np.zeros(BITS, bool)
+    flags[(hashes % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def possible_pairs(part: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Rows (i, j), i < j, of unlike parts whose sets may have the similarity: a bit that only one set has is a shingle that the other lacks."""
+    found = []
+    for at in range(0, len(part), 64):
+        a = slice(at, at + 64)
+        shared = np.bitwise_count(bits[a, None, :] & bits[None, at:, :]).sum(2, dtype=np.int64)
+        own = np.bitwise_count(bits[at:]).sum(1, dtype=np.int64)
+        most = np.minimum((size[a] - own[: len(size[a])])[:, None], (size[at:] - own)[None, :]) + shared
+        most = np.minimum(most, np.minimum(size[a][:, None], size[at:][None, :]))
+        total = size[a][:, None] + size[at:][None, :]
+        i, j = np.nonzero((part[a][:, None] != part[at:][None, :]) & (most >= similarity * (total - most)))
+        found.append(np.stack((i, j), 1)[i < j] + at)
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _pairs(similarity: float):
+    @arrow_udf("array<struct<u:long,v:long>>")
+    def pairs(lists: pa.Array) -> pa.Array:
+        out = []
+        for members in lists:
+            m = members.values
+            digest, part, size = (m.field(k).to_numpy(zero_copy_only=False) for k in ("digest", "part", "size"))
+            bits = np.frombuffer(b"".join(m.field("bits").to_pylist()), np.uint64).reshape(len(digest), -1)
+            ends = digest[possible_pairs(part, size.astype(np.int64), bits, similarity)]
+            out.append([{"u": u, "v": v} for u, v in zip(ends.min(1).tolist(), ends.max(1).tolist())])
+        return pa.array(out, pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())])))
+
+    return pairs
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: id_col, component_id, kept, as near_duplicates(), linked by the Jaccard similarity of their shingles.
+
+    At 0.8 fingerprints of 64 bits lie up to 18 bits apart and more, where no guaranteed minimum of shared positions remains. So sets
+    meet in lists of positional minimum hashes (at 0.8, 3 pairs in a million meet in none), and every link is verified on whole sets.
+    First each list's members are compared with one of them, another in each list; then, where a list still holds several
+    components, all pairs between them, of which bitmaps leave those that can be alike. So a large group of near copies is joined in
+    proportion to its size.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    signed = written(texts.select("id", F.xxhash64("text").alias("source"), _signatures(shingle_words)("text").alias("s")).select("id", "source", "s.*"), "signatures")
+    classes = written(signed.groupBy("digest").agg(F.min("id").alias("first"), F.min("source").alias("source"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
+    every = classes.select("digest", "source", "size", F.explode("keys").alias("key"))
+    lists = every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("digest", "key").alias("draw"), "digest", "size")).alias("lead")).where("n > 1")
+    index = written(every.join(lists, "key").select("key", "digest", "source", "size", "lead"), "index")
+    wanted = index.select("source").distinct()
+    shown = texts.withColumn("source", F.xxhash64("text")).join(wanted, "source", "left_semi").select("source", _sets(shingle_words)("text").alias("hashes"))
+    shown = shown.groupBy("source").agg(F.first("hashes").alias("hashes"))
+    sets = written(index.select("digest", "source").distinct().join(shown, "source").select("digest", "hashes"), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of pairs (u, v) of digests: edges at `similarity` or more."""
+        both = pairs.distinct().join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("both", F.size(F.array_intersect("a", "b")))
+        return both.where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+
+    fits = F.least("size", "lead.size") >= similarity * F.greatest("size", "lead.size")
+    led = index.where("digest <> lead.digest").where(fits).select(F.least("digest", "lead.digest").alias("u"), F.greatest("digest", "lead.digest").alias("v"))
+    first = written(alike(led), "links")
+    joined = connected_components(first)
+    parts = written(index.select("key", "digest", "size").join(joined.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "size", F.coalesce("component", "digest").alias("part")), "parts")
+    mixed = parts.join(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most"), "key", "left_semi")
+    held = mixed.join(classes.select("digest", "bits"), "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "part", "size", "bits")).alias("members"))
+    second = alike(held.select(F.explode(_pairs(similarity)("members")).alias("p")).select("p.u", "p.v"))
+    found = connected_components(first.unionByName(second)).withColumnRenamed("node", "digest")
+    rooted = classes.select("digest", "first").join(found, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = rooted.join(least, "root").select("digest", "component_id")
+    return signed.join(of, "digest").select(F.col("id").alias(id_col), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component: that with the component's id. Repeated ids of that value keep one row.
+
+    Components are those of near_duplicates(), with a similarity those of near_copies().
+    """
+    rows = near_duplicates(docs, id_col, text_col) if similarity is None else near_copies(docs, id_col, text_col, shingle_words, similarity)
+    keep = rows.where("kept").select(F.coalesce(id_col, F.lit(-1)).alias("_key"), F.col(id_col).isNull().alias("_none")).distinct()
     keyed = docs.withColumns({"_key": F.coalesce(id_col, F.lit(-1)), "_none": F.col(id_col).isNull()})
     return keyed.join(keep, ["_key", "_none"], "left_semi").dropDuplicates(["_key", "_none"]).drop("_key", "_none")

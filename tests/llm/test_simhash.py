@@ -82,6 +82,67 @@ def test_one_of_each(docs, rng):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("2", a), ("9", b), ("None", "only null")])
 
 
+def plain_copies(rows, k=5, similarity=0.8):
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().encode().split()
+        sets.append({b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) > 0]
+    root = list(range(len(rows)))
+    for i, j in near:
+        a, b = root[i], root[j]
+        root = [b if r == a else r for r in root]
+    return [min((rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None), default=None) for i in range(len(rows))]
+
+
+def test_near_copies_are_found_by_similarity(spark, docs, rng):
+    """Copies with changed words, far more than 2 bits apart; a chain of copies; a large group with outliers."""
+    rows = []
+    for base in range(12):
+        w = words(rng, 200).split()
+        rows.append((100 * base, " ".join(w)))
+        for copy in range(1, 5):  # each word changed takes 5 shingles: similarities around 0.8
+            changed = list(w)
+            for at in rng.sample(range(200), copy):
+                changed[at] = f"changed{copy}"
+            rows.append((100 * base + copy, " ".join(changed) + " tail" * (base % 2)))
+    w = words(rng, 120).split()
+    for n in range(80):
+        changed = list(w)
+        changed[rng.randrange(120)] = f"n{n}"
+        if n % 20 == 0:
+            changed[:25] = words(rng, 25).split()
+        rows.append((5000 + n, " ".join(changed)))
+    rows += [(9000, ""), (9001, None), (9002, "One two"), (9003, "ONE  two"), (9004, "one two three"), (None, rows[0][1]), (3, rows[0][1]), (3, rows[0][1])]
+    got = simhash.near_copies(docs(rows, extra=True)).collect()
+    want = plain_copies(rows)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(i), str(c)) for (i, _), c in zip(rows, want))
+    kept = simhash.one_of_each(docs(rows), shingle_words=5, similarity=0.8).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, set(want)))
+    far = sum(bin(plain_fingerprint(t) ^ plain_fingerprint(rows[0][1])).count("1") > 2 for (_, t), c in zip(rows, want) if c == 0)
+    assert far > 0 and simhash.near_copies(docs([])).count() == 0
+
+
+def test_bitmaps_lose_no_pair():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 900, np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base[:n], int(n * 0.93), replace=False), base[n : n + 3]))) for n in (10, 60, 890) for _ in range(50)]
+    bits = np.frombuffer(b"".join(map(simhash._bits, sets)), np.uint64).reshape(len(sets), -1)
+    got = set(map(tuple, simhash.possible_pairs(np.arange(len(sets)), np.array(list(map(len, sets))), bits, 0.8).tolist()))
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if both(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - both(i, j))}
+    assert want and want <= got
+
+
+def test_pipeline_drops_near_copies(spark, docs, rng):
+    import corpus_pipeline
+
+    w = words(rng, 200).split()
+    rows = [(1, " ".join(w)), (2, " ".join(w[:100] + ["other", "words"] + w[102:])), (3, words(rng, 200))]
+    assert bin(plain_fingerprint(rows[0][1]) ^ plain_fingerprint(rows[1][1])).count("1") > 2
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(rows), "").collect()) == [1, 3]
+
+
 def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.one_of_each(docs([])).count() == 0
