@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_folder, table, text_or_empty, written
+from .common import file_system, fresh_folder, small_batches, table, text_or_empty, written
 from .tokens import crc32, encoder
 
 #: Longest code; the decoding table has 2 to this power entries.
@@ -92,7 +92,7 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
 
 
 def unpack(bits: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
-    """The n ids: all blocks are decoded side by side, each from its own bit offset."""
+    """The n ids of some blocks: all are decoded side by side, each from its own bit offset."""
     entries, width = decoding_table(lengths)
     raw = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
@@ -136,7 +136,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     def run(batches):
         import zstandard
 
-        enc, z = encoder(tokenizer), zstandard.ZstdCompressor(level=3)
+        enc, z = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], enc.dtype).tobytes()
         counts = np.zeros(max(enc.vocabulary, end_id + 1), np.int64)
         for batch in batches:
@@ -178,7 +178,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_
     task writes files of its own names and only those of the attempt that Spark counted are in the list. Null texts are empty;
     each document has at least the end id. Rows of one id are in the order of their ids' checksum. No documents: no files.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     size = max(encoder(tokenizer).vocabulary, end_id + 1)
     itemsize = encoder(tokenizer).dtype
     tokens = written(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
@@ -216,7 +216,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_
             yield flush()
 
     order = [F.col("id").asc_nulls_last(), F.crc32("ids")]
-    ranged = tokens.where("ids is not null").select("id", "n", "ids").repartitionByRange(partitions, order[0]).sortWithinPartitions(*order)
+    ranged = tokens.where("ids is not null").select("id", "n", "ids").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     files = written(ranged.mapInArrow(run, "part long, seq long, path string, docs long, ids long"), "files")
     parts = files.groupBy("part").agg(F.sum("ids").alias("all"))
     before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))

@@ -8,15 +8,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import small_batches, table, text_or_empty, written
 from .huffman import summed_counts
 from .tokens import crc32, encoder
 
 WINDOW = 2048
-#: Ids of the remainders that one shard of the index holds at most (but for one remainder).
-SHARD_IDS = 1_500_000
-#: Terms of the seed that are looked up, and neighbours taken up at one look.
-QUERY_TERMS, NEIGHBOURS = 12, 16
+#: Ids of the remainders that one shard of the index holds at most (but for one remainder), and of those in a partition.
+SHARD_IDS, PARTITION_IDS = 500_000, 3_000_000
 K1, B = 1.2, 0.75
 _PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -61,29 +59,35 @@ class Shard:
     """A BM25 inverted index over the remainders of one shard, from which windows are filled."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.ids, self.at = ids, np.zeros(len(ids), np.int64)
+        self.ids, self.at, self.next = ids, np.zeros(len(ids), np.int64), 0
         self.left = np.array([len(x) for x in ids], np.int64)
-        self.next, self.idf = 0, idf
-        terms, docs, impacts, self.query = [], [], [], []
-        for k, x in enumerate(ids):
-            term, tf = np.unique(x, return_counts=True)
-            impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
-            terms.append(term), docs.append(np.full(len(term), k)), impacts.append(impact)
-            self.query.append(term[np.argpartition(-impact, QUERY_TERMS)[:QUERY_TERMS]] if len(term) > QUERY_TERMS else term)
-        term = np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        self.term, self.doc, self.impact = term[order], np.concatenate(docs)[order], np.concatenate(impacts)[order]
-
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused remainders with a term of the seed, best BM25 score first, at most NEIGHBOURS."""
-        score = np.zeros(len(self.ids))
-        begins, ends = np.searchsorted(self.term, self.query[seed]), np.searchsorted(self.term, self.query[seed], "right")
-        for a, b in zip(begins.tolist(), ends.tolist()):
-            score[self.doc[a:b]] += self.impact[a:b]
-        score[self.left == 0] = 0
+        length = self.left.copy()
+        pairs, tf = np.unique(np.repeat(np.arange(len(ids)), length) * len(idf) + np.concatenate(ids), return_counts=True)
+        doc, self.terms = np.divmod(pairs, len(idf))
+        self.begin = np.searchsorted(doc, np.arange(len(ids) + 1))
+        impact = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+        order = np.argsort(self.terms, kind="stable")
+        self.term, self.doc, self.impact = self.terms[order].astype(np.int32), doc[order].astype(np.int32), impact[order].astype(np.float32)
+        self.terms, self.used = self.terms.astype(np.int32), 0
+
+    def neighbours(self, seed: int, room: int) -> list[int]:
+        """Unused remainders that share a term with the seed, best BM25 score first: as many as fill room, or all there are."""
+        if self.used * 2 > len(self.ids):  # the lists forget what is used
+            keep = self.left[self.doc] > 0
+            self.term, self.doc, self.impact, self.used = self.term[keep], self.doc[keep], self.impact[keep], 0
+        asked = self.terms[self.begin[seed] : self.begin[seed + 1]]
+        first, last = np.searchsorted(self.term, asked), np.searchsorted(self.term, asked, "right")
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.doc[at], self.impact[at], len(self.ids))
         score[seed] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if len(score) > NEIGHBOURS else np.arange(len(score))
-        best = best[score[best] > 0]
+        found = np.flatnonzero((score > 0) & (self.left > 0))
+        k, best = 16, found
+        while k < len(found):
+            best = found[np.argpartition(-score[found], k)[:k]]
+            if self.left[best].sum() >= room:
+                break
+            k, best = 4 * k, found
         return best[np.lexsort((best, -score[best]))].tolist()
 
     def unused(self) -> int | None:
@@ -100,14 +104,16 @@ def filled(shards, window: int = WINDOW):
         while (first := shard.unused()) is not None:
             if not waiting:
                 seed = first if rest is None else rest
-                rest, waiting = None, [seed, *shard.neighbours(seed)]
-            k = waiting.pop(0)
+                lack = room - int(shard.left[seed])
+                rest, waiting = None, [seed, *(shard.neighbours(seed, lack) if lack > 0 else [])][::-1]
+            k = waiting.pop()
             n = min(int(shard.left[k]), room)
             if not n:
                 continue
             now.append((shard, k, int(shard.at[k]), n))
             shard.at[k] += n
             shard.left[k] -= n
+            shard.used += not shard.left[k]
             room -= n
             if not room:
                 yield now
@@ -132,6 +138,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
     exactly one piece. Only the last sequences of a partition are shorter than the window, each as long as a power of two, so
     nothing is padded. Document frequencies and the mean length are those of all documents. No documents give no rows.
     """
+    small_batches(docs.sparkSession)
     size = max(encoder(tokenizer).vocabulary, end_id + 1)
     dtype = encoder(tokenizer).dtype
     cuts = written(cut(docs, tokenizer, end_id, id_col, text_col, window), "cuts")
@@ -148,9 +155,10 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
 
         def shards():
             rows, ids, held = [], [], 0
-            for batch in batches:
-                for row in batch.to_pylist():
-                    ids.append(np.frombuffer(z.decompress(row["ids"]), dtype))
+            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+                columns = [c.to_pylist() for c in batch.columns]
+                for row, raw in zip(zip(*columns[:3]), columns[3]):
+                    ids.append(np.frombuffer(z.decompress(raw), dtype))
                     rows.append(row)
                     held += len(ids[-1])
                     if held >= SHARD_IDS:
@@ -168,8 +176,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
         for sequence in filled(shards(), window):
             offset = 0
             for shard, k, at, length in sequence:
-                row = shard.rows[k]
-                out.append((row["id"], row["start"] + at, length, crc32(shard.ids[k][at : at + length]), row["total"], (1 << 62) + (part << 36) + n, offset))
+                key, start, total = shard.rows[k]
+                out.append((key, start + at, length, crc32(shard.ids[k][at : at + length]), total, (1 << 62) + (part << 36) + n, offset))
                 offset += length
             n += 1
             if len(out) >= 4096:
@@ -179,8 +187,9 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=_PIECE)
 
     whole = cuts.where("crc is not null").select(F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("total").alias("doc_tokens"), (F.shiftleft(F.col("task").cast("long"), 36) + F.col("seq")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    partitions = max(1, -(-int(n_rest or 0) // (2 * SHARD_IDS)))
-    ranged = rest.select("id", "start", "total", "sig", "ids").repartitionByRange(partitions, "sig", "id", F.crc32("ids")).sortWithinPartitions("sig", "id", F.crc32("ids"))
+    partitions = max(1, -(-int(n_rest or 0) // PARTITION_IDS))
+    order = ["sig", "id", F.crc32("ids")]
+    ranged = rest.select("id", "start", "total", "ids", "sig").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     return whole.unionByName(ranged.mapInArrow(run, _PIECES))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,21 +18,46 @@ _SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_
 #: Byte-level BPE spells bytes that are not visible Latin-1 characters by characters from U+0100 on.
 _HIDDEN = [b for b in range(256) if b <= 32 or 127 <= b <= 160 or b == 173]
 _BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
-#: Words that a worker keeps at most; then it starts anew. About 150 bytes each.
-CACHE_WORDS = 500_000
+_SPACE = _BYTE_LETTERS[32]
+#: Words that a worker keeps at most in each of two generations: when the new one is full, the old one goes. About 170 bytes each.
+CACHE_WORDS = 300_000
 #: Longer words are encoded but not kept.
 CACHE_CHARS = 64
 
 
-class Encoder(dict):
+def _latin(text: str) -> bool:
+    return text.isascii() or max(text) < "\u0100"
+
+
+class _Kept(dict):
+    """A cache of find(key), in two generations: when the new one is full, the old one goes."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.find(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Encoder:
     """ids(text): the ids of Tokenizer.encode(text, add_special_tokens=False), as bytes of `dtype`.
 
-    A byte-level BPE without normalizer encodes each pre-token on its own. So for texts in Latin-1 without special tokens,
-    pre-tokens are looked up here, and the library's model splits those not met before; other texts go to the library whole.
+    A byte-level BPE without normalizer encodes each pre-token on its own, and no pre-token reaches over a space between two
+    characters that are not blank. So texts are cut at such spaces, and what was met before is looked up. Of a piece not met
+    before, the library's model splits the pre-tokens; the library itself encodes pieces beyond Latin-1, and texts with special
+    tokens or, beyond Latin-1, with blanks beside a space.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,27 +67,47 @@ class Encoder(dict):
         pre = plan.get("pre_tokenizer") or {}
         self.special = [t["content"] for t in plan.get("added_tokens", [])]
         self.by_word = plan.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and plan["model"]["type"] == "BPE" and not plan["model"].get("dropout")
+        self.words, self.pieces = _Kept(self._word), _Kept(self._piece)
 
-    def whole(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        spelt = word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def _word(self, word: str) -> bytes:
+        """The ids of one pre-token in Latin-1."""
+        if word.isascii() and word.isprintable():
+            spelt = word.replace(" ", _SPACE)
+        else:
+            spelt = word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        """The ids of a text without special tokens, not cut at spaces."""
+        if not _latin(text):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
+
+    def _piece(self, piece: str) -> bytes | None:
+        """The ids of a piece after a space; None: it begins or ends with what may be a blank, so that the space is no safe cut."""
+        if piece.isalpha() and _latin(piece):
+            return self._word(" " + piece)
+        if not piece or not all(c.isalnum() or "!" <= c <= "~" for c in (piece[0], piece[-1])):
+            return None
+        if not _latin(piece):
+            return self._whole(" " + piece)
+        first, *rest = _SPLIT.findall(" " + piece)
+        if not rest:
+            return self._word(first)
+        known = self.pieces[first[1:]]
+        return b"".join([self._word(first) if known is None else known, *map(self.words.__getitem__, rest)])
 
     def ids(self, text: str) -> bytes:
-        if self.by_word and not any(s in text for s in self.special):
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return self.whole(text)
-            return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
-        return self.whole(text)
+        if not self.by_word or any(s in text for s in self.special):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        found = list(map(self.pieces.__getitem__, rest))
+        if None in found or (rest and self.pieces[first] is None):
+            return self._cut(text)
+        return self._cut(first) + b"".join(found)
 
 
 @lru_cache(2)

@@ -51,6 +51,24 @@ def test_cached_words_give_the_same_ids(text):
     assert np.frombuffer(e.ids(text), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.sampled_from(["a", "Word", "don't", "9", "²", "\u00a0", "\x85", "\x1c", "\u3000", "—", "日本", "é", "«", "!", "'s", " ", "  ", "\n", "\t", "\u200b", "\ufeff", "I'Ll"]), max_size=14))
+@settings(max_examples=600, deadline=None)
+def test_cuts_at_spaces_change_nothing(parts):
+    e = encoder(PATH)
+    for text in (" ".join(parts), "".join(parts)):
+        assert np.frombuffer(e.ids(text), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_small_caches_give_the_same_ids(monkeypatch, rng):
+    from cairn.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 7)
+    e = Encoder(PATH)
+    for _ in range(50):
+        text = words(rng, 40)
+        assert np.frombuffer(e.ids(text), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings_and_latin_pairs():
     e = Encoder(PATH)
     texts = ["a<|endoftext|>b", "it's  they'll\u00a0x \x85y\r\n z", "9²³ ½¾ ªº µ×÷"] + [f"a{chr(i)}{chr(j)} {chr(j)}9{chr(i)}" for i in range(256) for j in range(0, 256, 17)]

@@ -57,3 +57,40 @@ def test_neighbours_share_windows(spark, docs, rng):
 
 def test_no_documents(docs):
     assert packing.packed(docs([]), PATH).count() == 0
+
+
+def test_neighbours_are_those_of_bm25(rng):
+    """Every term of the seed counts, and no number of neighbours is set but by the room."""
+    ids = [np.array([rng.randrange(60) for _ in range(rng.choice([1, 5, 40]))], np.uint16) for _ in range(150)]
+    holding = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=60)
+    idf, mean = np.log(1 + (len(ids) - holding + 0.5) / (holding + 0.5)), 20.0
+
+    def score(seed, doc):
+        tf = np.bincount(ids[doc], minlength=60)
+        part = idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(ids[doc]) / mean))
+        return part[np.unique(ids[seed])].sum()
+
+    shard = packing.Shard(ids, idf, mean)
+    gone = set()
+    for seed in range(0, 150, 7):
+        want = sorted((k for k in range(150) if k != seed and k not in gone and score(seed, k) > 0), key=lambda k: (-score(seed, k), k))
+        assert sorted(shard.neighbours(seed, 10**9)) == sorted(want)
+        few = shard.neighbours(seed, 100)
+        assert np.allclose([score(seed, k) for k in few], [score(seed, k) for k in want[: len(few)]], rtol=1e-5)
+        assert sum(len(ids[k]) for k in few) >= 100 or len(few) == len(want)
+        for k in want[:6]:
+            gone.add(k)
+            shard.left[k] = 0
+            shard.used += 1
+
+
+def test_short_documents_meet_their_like(spark, docs, rng):
+    texts = [" ".join(f"{rng.choice(['kiwi', 'lemon', 'mango'])}{k}" for _ in range(20)) for k in [0] * 300 + [7777] * 300]
+    rows = list(enumerate(texts))
+    got = packing.packed(docs(rows), PATH).collect()
+    check(rows, got)
+    whole = {}
+    for r in got:
+        whole.setdefault(r.sequence_id, []).append((r.doc_id < 300, r.length))
+    pure = sum(max(sum(n for k, n in s if k == side) for side in (True, False)) for s in whole.values())
+    assert pure / sum(n for s in whole.values() for _, n in s) > 0.9
