@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import table, text_or_empty, written
+from .common import own_names, small_batches, table, text_or_empty, written
 from .components import connected_components
 
 SEED = 42
-#: Lists of the index of up to so many fingerprints are compared pair by pair, longer ones by single-bit neighbours (exactly, too).
-LIST_LIMIT = 64
+#: The index' slots: the 14 sets of four byte positions whose numbers cancel out under exclusive or. Any three positions are in
+#: one slot together, so that two fingerprints equal at 8, 7 or 6 positions share 14, 7 or 3 slots, and at fewer one at most.
+SLOTS = tuple(c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0)
+#: Slots that a pair within 2 bits shares at least, as it is equal at 6 byte positions or more.
+MATCHES = 3
+#: Pairs of lists of up to so many fingerprints are tallied; members of longer lists, whose pairs grow with the square of their
+#: length, meet at single-bit neighbours instead, which is exact, too.
+LIST_LIMIT = 16
 _CHUNK = 1 << 16
 #: Lists that a shingle set stands in for near_copies(), and the minimum hashes that two sets share to meet in one.
 LISTS, TOGETHER = 24, 4
@@ -53,35 +59,32 @@ def _byte(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """At how many of the eight byte positions two fingerprints agree: the pair's tally."""
-    x = a.bitwiseXOR(b)
-    return sum(((_byte(x, k) == 0).cast("int") for k in range(8)), F.lit(0))
-
-
 def postings(fps: DataFrame) -> DataFrame:
-    """(slot, bytes, fp): the inverted index. A slot is two of the four pairs of byte positions, its key those four bytes.
-
-    Fingerprints within `d` <= 2 bits agree at 6 byte positions at least, so at two pairs of positions at least: they meet in a slot.
-    """
-    lane = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(65535)) for k in range(4)]
-    keys = [F.struct(F.lit(n).alias("slot"), (lane[i] * 65536 + lane[j]).alias("bytes")) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    """(slot, bytes, fp): the inverted index, whose keys are a slot and the four bytes at its positions."""
+    key = lambda slot: sum((_byte(F.col("fp"), k) * (1 << 8 * n) for n, k in enumerate(slot)), F.lit(0).cast("long"))
+    keys = [F.struct(F.lit(n).alias("slot"), key(slot).alias("bytes")) for n, slot in enumerate(SLOTS)]
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.bytes", "fp")
 
 
+def tallied(index: DataFrame) -> DataFrame:
+    """(u, v, n), u < v: in how many lists of the index two fingerprints meet."""
+    lists = index.groupBy("slot", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    pairs = F.flatten(F.transform("fps", lambda x, k: F.transform(F.slice("fps", k + 2, F.size("fps")), lambda y: F.struct(x.alias("u"), y.alias("v")))))
+    return lists.select(F.explode(pairs).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("n"))
+
+
 def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp, no repeats) at 1 or 2 differing bits; they join all and only what such pairs join.
 
-    Short lists: every pair's positional bytes are tallied, pairs with 6 or more of 8 are retained and verified bit by bit.
+    Short lists: shared slots are counted by pair, pairs with MATCHES or more are retained and verified bit by bit. A pair that
+    shares a long list as well may count too few, but both of it are members of a long list.
     Long lists: two fingerprints differ in at most 2 bits if and only if one is, or both are next to, some value one bit away;
-    each fingerprint of a long list emits these 65 values, and those that meet at a value (65 at most) are joined to the least.
+    each member of a long list emits these 65 values, and those that meet at a value (65 at most) are joined to the least.
     """
     index = postings(fps)
     sizes = index.groupBy("slot", "bytes").count().where("count > 1")
-    short = index.join(sizes.where(F.col("count") <= list_limit), ["slot", "bytes"], "left_semi").groupBy("slot", "bytes").agg(F.collect_list("fp").alias("fps"))
-    near = lambda x, y: (y > x) & (shared_bytes(x, y) >= 6) & (F.bit_count(x.bitwiseXOR(y)) <= 2)
-    pairs = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: near(x, y)), lambda y: F.struct(x.alias("u"), y.alias("v")))))
-    found = short.select(F.explode(pairs).alias("p")).select("p.u", "p.v")
+    short = index.join(sizes.where(F.col("count") <= list_limit), ["slot", "bytes"], "left_semi")
+    found = tallied(short).where(F.col("n") >= MATCHES).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2).select("u", "v")
     hot = index.join(sizes.where(F.col("count") > list_limit), ["slot", "bytes"], "left_semi").select("fp").distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
     met = hot.select("fp", F.explode(around).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
@@ -96,6 +99,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component of such rows only has a null component_id. Repeated rows give repeated rows. Other columns of docs are ignored.
     kept: the row's id is its component's.
     """
+    small_batches(docs.sparkSession)
     hashed = written(docs.select(F.col(id_col).alias("id"), fingerprints(text_or_empty(text_col)).alias("fp")), "fingerprints")
     classes = written(hashed.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     found = connected_components(links(classes.select("fp")))
@@ -197,6 +201,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components, all pairs between them, of which bitmaps leave those that can be alike. So a large group of near copies is joined in
     proportion to its size.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     signed = written(texts.select("id", F.xxhash64("text").alias("source"), _signatures(shingle_words)("text").alias("s")).select("id", "source", "s.*"), "signatures")
     classes = written(signed.groupBy("digest").agg(F.min("id").alias("first"), F.min("source").alias("source"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
@@ -234,6 +239,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Components are those of near_duplicates(), with a similarity those of near_copies().
     """
     rows = near_duplicates(docs, id_col, text_col) if similarity is None else near_copies(docs, id_col, text_col, shingle_words, similarity)
-    keep = rows.where("kept").select(F.coalesce(id_col, F.lit(-1)).alias("_key"), F.col(id_col).isNull().alias("_none")).distinct()
-    keyed = docs.withColumns({"_key": F.coalesce(id_col, F.lit(-1)), "_none": F.col(id_col).isNull()})
-    return keyed.join(keep, ["_key", "_none"], "left_semi").dropDuplicates(["_key", "_none"]).drop("_key", "_none")
+    names = own_names(docs, "key", "none")
+    keys = lambda: [F.coalesce(id_col, F.lit(-1)).alias(names[0]), F.col(id_col).isNull().alias(names[1])]
+    keep = rows.where("kept").select(*keys()).distinct()
+    return docs.select("*", *keys()).join(keep, names, "left_semi").dropDuplicates(names).drop(*names)

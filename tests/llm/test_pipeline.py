@@ -12,7 +12,7 @@ from cairn.llm import langid, mixing
 from .test_mixing import plain_targets
 from .test_packing import check
 from .test_pii import CARD, EMAIL, IP, PHONE, luhn
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_copies
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -44,8 +44,7 @@ def test_stages(spark, tmp_path):
             assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in model if r.kept)
             assert {r.doc_id for r in before if len(r.text or "") > 100} <= {r.doc_id for r in rows}  # clean documents stay
         elif k == 1:
-            ids = [r.doc_id for r in before]
-            assert sorted(r.doc_id for r in rows) == sorted(set(plain_components([plain_fingerprint(r.text) for r in before], ids)))
+            assert sorted(r.doc_id for r in rows) == sorted(set(plain_copies([(r.doc_id, r.text) for r in before])))
         elif k == 2:
             old = {r.doc_id: r for r in before}
             assert len(rows) == len(before) and not any(held(r.text) for r in rows)

@@ -48,7 +48,7 @@ def test_fingerprints_and_components(spark, docs, rng):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
 
 
-@pytest.mark.parametrize("limit", [2, 64])
+@pytest.mark.parametrize("limit", [2, 16, 10_000])
 def test_links_join_what_brute_force_joins(spark, limit):
     rng = np.random.default_rng(3)
     centers = rng.integers(-(2**63), 2**63 - 1, 40)
@@ -68,6 +68,20 @@ def test_links_join_what_brute_force_joins(spark, limit):
     assert [got.get(f, f) for f in fps] == want
 
 
+def test_tallies_tell_shared_positions(spark):
+    """A pair meets in 3 lists or more if and only if it is equal at 6 of the 8 byte positions or more."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, 8)
+    rows = {tuple(np.where(rng.random(8) < 0.6, base, rng.integers(0, 256, 8)).tolist()) for _ in range(120)}
+    fps = sorted(int.from_bytes(bytes(r), "little", signed=True) for r in rows)
+    got = {(r.u, r.v): r.n for r in simhash.tallied(simhash.postings(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    equal = lambda a, b: sum(x == y for x, y in zip(a.to_bytes(8, "little", signed=True), b.to_bytes(8, "little", signed=True)))
+    for i, u in enumerate(fps):
+        for v in fps[i + 1 :]:
+            n = got.get((u, v), 0)
+            assert (n >= simhash.MATCHES) == (equal(u, v) >= 6) and n == {6: 3, 7: 7}.get(equal(u, v), n)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, 5), (7, 3), (3, 7), (3, 9), (None, 4)]
     df = spark.createDataFrame(chain, "u long, v long")
@@ -134,6 +148,16 @@ def test_bitmaps_lose_no_pair():
     assert want and want <= got
 
 
+def test_columns_of_any_name_are_kept(docs, rng):
+    from pyspark.sql import functions as F
+
+    a = words(rng, 60)
+    df = docs([(1, a), (2, a), (3, words(rng, 60))]).withColumns({c: F.lit(c) for c in ("key", "none", "KEY_", "_key", "_none", "fp", "kept", "component_id")})
+    for how in ({}, {"shingle_words": 5, "similarity": 0.8}):
+        kept = simhash.one_of_each(df, **how)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.none, r.kept) for r in kept.collect()) == [(1, "none", "kept"), (3, "none", "kept")]
+
+
 def test_pipeline_drops_near_copies(spark, docs, rng):
     import corpus_pipeline
 
