@@ -1,7 +1,8 @@
 """Personal data: patterns of four kinds, and identifiers found by bootstrapped contexts; by DataFrame functions only.
 
-Seeds are the base entities. The words around them are lexical patterns; patterns and identifier-like strings form a bipartite
-graph, whose edges say that a string was seen in a pattern. Scores go from seeds to patterns and from patterns to strings, in turn.
+Seeds are the base entities and strings of a shape that tells keys: long hexadecimal ones. The words and marks around them are
+lexical patterns; patterns and identifier-like strings form a bipartite graph, whose edges say that a string was seen in a pattern.
+Scores go from seeds to patterns and from patterns to strings, in turn, until no string is added.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_or_empty, written
+from .common import own_names, table, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The base patterns, with possessive repeats and a look behind where these can't change a match: every text takes linear time.
@@ -20,16 +21,17 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Candidates: strings of letters, digits, _ and - with 8 digits or more.
-CANDIDATE = r"(?<![A-Za-z0-9_-])(?:[A-Za-z_-]*+[0-9]){8}[A-Za-z0-9_-]*+"
-#: Characters to either side in which a span's neighbouring words are looked for.
-CONTEXT = 48
-ROUNDS = 3
-#: A pattern counts if this share of the distinct strings in it, and so many, are seeds or found; a string if its patterns make it so sure.
-PATTERN_SHARE, PATTERN_SUPPORT, SURE = 0.75, 5, 0.9
+#: Candidates: strings of letters, digits, _ and - with 4 digits or more, and groups of digits that follow after one blank, dot or slash.
+CANDIDATE = r"(?<![A-Za-z0-9_-])(?:[A-Za-z_-]*+[0-9]){4}[A-Za-z0-9_-]*+(?:[\x20./][0-9]{2,}+(?![A-Za-z_]))*+"
+#: Candidates of this shape are seeds, as base entities are.
+KEY = r"^(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
+#: What patterns are made of: words, and single marks; and the characters to either side of a span in which they are looked for.
+UNIT, CONTEXT = r"[\p{L}\p{N}_]++|[^\s\p{L}\p{N}_]", 64
+#: A pattern counts if so many of the distinct strings in it are seeds or found, and this share (of one more, as a bound for small numbers); a string if its patterns make it so sure.
+PATTERN_SUPPORT, PATTERN_SHARE, SURE = 5, 0.75, 0.9
 _CHUNK = 256
 _BLOCK = 4096
-_OCCURRENCE = "struct<start:bigint,kind:int,end:bigint,word:string,left:string,right:string>"
+_OCCURRENCE = "struct<start:bigint,kind:int,end:bigint,word:string,left:string,around:string>"
 
 
 def _with(value: Column, body) -> Column:
@@ -37,35 +39,46 @@ def _with(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _before(lengths: Column) -> Column:
-    """For each element, the sum of those before it. Lists are summed in chunks, so that the work stays near to linear."""
+def _before(values: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """For each element, the sum of those before it, or what else `add` makes of them and 0. Lists are taken in chunks, so that the work stays near to linear."""
     none = F.array().cast("array<bigint>")
 
-    def run(values: Column, start: Column) -> Column:
-        return F.aggregate(values, F.struct(start.cast("bigint").alias("t"), none.alias("l")), lambda s, v: F.struct((s["t"] + v).alias("t"), F.concat(s["l"], F.array(s["t"])).alias("l")))["l"]
+    def run(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.struct(start.cast("bigint").alias("t"), none.alias("l")), lambda s, v: F.struct(add(s["t"], v).alias("t"), F.concat(s["l"], F.array(s["t"])).alias("l")))["l"]
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")), lambda c: F.slice(lengths, c * _CHUNK + 1, _CHUNK))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda c: F.slice(values, c * _CHUNK + 1, _CHUNK))
 
     def joined(parts: Column) -> Column:
-        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, b: a + b))
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), add))
         return F.flatten(F.zip_with(parts, run(sums, F.lit(0)), run))
 
     return _with(chunks, joined)
 
 
+def _patterns(before: Column, after: Column) -> Column:
+    """(left, around): the last two words before a span, or the last three words and marks where it follows a mark; and the last
+    word, or the last two where it follows a mark, with the first word or mark after. Empty where there are too few."""
+    units = lambda text: F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0))
+
+    def build(w: Column, right: Column) -> Column:
+        marked = F.coalesce(F.try_element_at(w, F.lit(-1)).rlike(r"^[^\p{L}\p{N}_]"), F.lit(False)).cast("int")
+        last = lambda n: F.when(F.size(w) >= n, F.array_join(F.slice(w, -n, n), " ")).otherwise("")
+        near = last(1 + marked)
+        around = F.when((near != "") & (F.size(right) > 0), F.concat(near, F.lit(" _ "), F.try_element_at(right, F.lit(1))))
+        return F.struct(last(2 + marked).alias("left"), F.coalesce(around, F.lit("")).alias("around"))
+
+    return _with(units(F.substring(before, -CONTEXT, CONTEXT)), lambda w: _with(units(F.substring(after, 1, CONTEXT)), lambda right: build(w, right)))
+
+
 def _spans(text: Column, pattern: str, kind: int, fits: Callable[[Column], Column]) -> Column:
-    """All matches that fit, with start and end in code points, and the words beside them."""
+    """All matches that fit, with start and end in code points, and the patterns that they stand in."""
 
     def build(hits: Column, pieces: Column) -> Column:
         lengths = F.zip_with(hits, F.slice(pieces, 1, F.size(hits)), lambda h, p: (F.length(h) + F.length(p)).cast("bigint"))
 
         def one(h: Column, i: Column, before: Column) -> Column:
             start = before[i] + F.length(pieces[i])
-            left = F.regexp_extract_all(F.lower(F.substring(pieces[i], -CONTEXT, CONTEXT)), F.lit(WORD), F.lit(0))
-            right = F.regexp_extract_all(F.lower(F.substring(pieces[i + 1], 1, CONTEXT)), F.lit(WORD), F.lit(0))
-            left = _with(left, lambda w: F.array_join(F.slice(F.reverse(w), 1, 2), " "))
-            right = _with(right, lambda w: F.array_join(F.slice(w, 1, 1), " "))
-            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(h)).alias("end"), h.alias("word"), left.alias("left"), right.alias("right"))
+            return _with(_patterns(pieces[i], pieces[i + 1]), lambda p: F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(h)).alias("end"), h.alias("word"), p["left"].alias("left"), p["around"].alias("around")))
 
         every = _with(_before(lengths), lambda before: F.transform(hits, lambda h, i: F.when(fits(h), one(h, i, before))))
         return F.filter(every, lambda s: s.isNotNull())
@@ -89,14 +102,19 @@ def base_spans(text: Column) -> Column:
 
 
 def _alone(base: Column, candidates: Column) -> Column:
-    """Candidates that no base span touches, from their neighbours in the order of both."""
+    """Candidates that no base span touches: none before reaches into them, and the next one in the order of both begins after."""
     both = F.sort_array(F.concat(base, candidates))
 
-    def free(s: Column, i: Column, every: Column) -> Column:
-        near = F.slice(every, F.greatest(i - 7, F.lit(1)), 17)
-        return (s["kind"] == 4) & ~F.exists(near, lambda b: (b["kind"] != 4) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def free(every: Column, reach: Column) -> Column:
+        def test(s: Column, i: Column) -> Column:
+            after = F.try_element_at(every, i + 2)
+            met = F.coalesce((after["kind"] != 4) & (after["start"] < s["end"]), F.lit(False))
+            return (s["kind"] == 4) & (reach[i] <= s["start"]) & ~met
+
+        return F.filter(every, test)
 
-    return F.when(F.size(candidates) == 0, candidates).otherwise(_with(both, lambda every: F.filter(every, lambda s, i: free(s, i, every))))
+    reach = lambda every: _before(F.transform(every, lambda s: F.when(s["kind"] == 4, F.lit(0).cast("bigint")).otherwise(s["end"])), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(candidates) == 0, candidates).otherwise(_with(both, lambda every: _with(reach(every), lambda r: free(every, r))))
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,28 +124,31 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select(id_col, "key", _with(F.col("f"), lambda f: F.struct(f["base"].alias("base"), _alone(f["base"], f["c"]).alias("others"))).alias("f")).select(id_col, "key", "f.base", "f.others")
 
 
-def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discovered(found: DataFrame) -> DataFrame:
     """(key, start, end) of candidates that stand in high-confidence patterns, from occurrences().
 
-    Patterns: the two words before a span, and the words on either side. In each round a pattern's confidence is the share of its
-    distinct strings that are seeds or were found with SURE or more; a string's is 1 - product of (1 - confidence) over its patterns
-    that have PATTERN_SHARE and PATTERN_SUPPORT. Sums and joins are over distinct (pattern, string) edges.
+    In each round a pattern's confidence is the share of its distinct strings that are seeds or were found with SURE or more; a
+    string's is 1 - product of (1 - confidence) over its patterns that have PATTERN_SHARE and PATTERN_SUPPORT. Confidences only
+    grow, so the rounds end when no string is added. Sums and joins are over distinct (pattern, string) edges. Seeds by their shape
+    are no spans by that alone: they, too, must stand in such patterns.
     """
     seen = found.select("key", F.explode(F.concat("base", "others")).alias("o")).select("key", "o.*")
-    patterns = F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("B "), F.substring_index("left", " ", 1), F.lit(" _ "), "right"))
-    whole = (F.col("left") != "") & (F.col("right") != "")
-    edges = written(seen.where(whole).select(F.explode(patterns).alias("pattern"), "word", (F.col("kind") < 4).cast("int").alias("seed")).groupBy("pattern", "word").agg(F.max("seed").alias("seed")), "edges")
-    # only patterns with seeds enough can ever count
-    sure = None
-    for _ in range(rounds):
-        scored = edges.withColumn("good", F.col("seed").cast("double"))
+    patterns = F.filter(F.array(F.when(F.col("left") != "", F.concat(F.lit("L "), "left")), F.when(F.col("around") != "", F.concat(F.lit("A "), "around"))), lambda p: p.isNotNull())
+    seed = ((F.col("kind") < 4) | F.col("word").rlike(KEY)).cast("int")
+    edges = written(seen.select(F.explode(patterns).alias("pattern"), "word", (F.col("kind") == 4).cast("int").alias("open"), seed.alias("seed")).groupBy("pattern", "word").agg(F.max("seed").alias("seed"), F.max("open").alias("open")), "edges")
+    sure, strings = None, -1
+    while True:
+        good = F.col("seed").cast("double")
+        scored = edges.withColumn("good", good)
         if sure is not None:
-            scored = edges.join(sure.withColumn("f", F.lit(1.0)), "word", "left").withColumn("good", F.greatest(F.col("seed").cast("double"), F.coalesce("f", F.lit(0.0))))
-        kept = scored.groupBy("pattern").agg(F.sum("good").alias("support"), F.count("*").alias("strings")).withColumn("confidence", F.col("support") / F.col("strings"))
+            scored = edges.join(sure.withColumn("f", F.lit(1.0)), "word", "left").withColumn("good", F.greatest(good, F.coalesce("f", F.lit(0.0))))
+        kept = scored.groupBy("pattern").agg(F.sum("good").alias("support"), F.count("*").alias("strings")).withColumn("confidence", F.col("support") / (F.col("strings") + 1))
         kept = kept.where((F.col("support") >= PATTERN_SUPPORT) & (F.col("confidence") >= PATTERN_SHARE)).select("pattern", "confidence")
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
-        sure = written(edges.where("seed = 0").join(kept, "pattern").groupBy("word").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= SURE).select("word"), "sure")
-    return seen.where("kind = 4").join(sure, "word", "left_semi").select("key", "start", "end").distinct()
+        sure = written(edges.where("open = 1").join(kept, "pattern").groupBy("word").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= SURE).select("word"), "sure")
+        last, strings = strings, sure.count()
+        if strings <= max(last, 0):
+            return seen.where("kind = 4").join(sure, "word", "left_semi").select("key", "start", "end").distinct()
 
 
 def _listed(spans: Column) -> Column:
@@ -198,14 +219,15 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     """
     found = written(occurrences(docs, id_col, text_col), "occurrences")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    keyed = docs.withColumn("key_", F.xxhash64(F.col(id_col), text_or_empty(text_col)))
-    rows = keyed.join(_added(found).withColumnRenamed("key", "key_"), "key_", "left")
-    spans = F.sort_array(F.concat(_bare(base_spans(F.col(text_col))), F.coalesce("added", none)))
-    text = F.when(F.col(text_col).isNotNull(), _with(spans, lambda s: _blanked(F.col(text_col), s)))
-    out = rows.withColumn(text_col, text)
+    key, added, changed = own_names(docs, "key", "added", "changed")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text_or_empty(text_col)))
+    rows = keyed.join(_added(found).toDF(key, added), key, "left")
+    spans = F.sort_array(F.concat(_bare(base_spans(F.col(text_col))), F.coalesce(added, none)))
+    out = rows.withColumn(changed, F.when(F.col(text_col).isNotNull(), _with(spans, lambda s: _blanked(F.col(text_col), s))))
+    values = {text_col: F.col(changed)}
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col(text_col).isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns)
+        values[chars_col] = F.when(F.col(text_col).isNotNull(), F.length(changed)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
+    return out.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
