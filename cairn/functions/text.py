@@ -100,3 +100,9 @@ def boon(base: Column, sub: Column, cost: Column, kinds=(("potion", "experience"
         test = cost.isNull() & (base == b) & (sub == s)
         out = F.when(test, label) if out is None else out.when(test, label)
     return out
+
+
+def stable_xy(x: Column, y: Column, unique: Column, carried_by: Column) -> Column:
+    """Where an entry stands, if it stays put: not for a unique monster, nor for what is carried."""
+    moves = F.coalesce(unique, F.lit(False)) | carried_by.isNotNull()
+    return F.when(~moves & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))

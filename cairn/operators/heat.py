@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.places import reach_with_parent, within_cap
-from .search import KEY, quantity_sum
+from .search import KEY, quantity_sum, ranked_in
 
 BOOK = ("book", "#early-spells")
 BOOK_WEIGHT, DECAY, EARLY = 20.0, 0.6, 4
@@ -98,14 +98,10 @@ def scores(entries, levels, fills, spell_levels, weights, table: DataFrame, cap:
 
 
 def percentile_cut(rows: DataFrame, shares: dict[str, float], value: str = "score") -> DataFrame:
-    """By version, the value at index min(n - 1, trunc(share * n)) of the sorted ones, without interpolation.
-
-    Values are counted first, and ranks come from running sums of these counts."""
-    counts = rows.groupBy("version", value).agg(F.count("*").alias("n"))
-    up = Window.partitionBy("version").orderBy(value)
-    ranked = counts.withColumns({"upto": F.sum("n").over(up), "total": F.sum("n").over(Window.partitionBy("version"))})
-    at = lambda p: F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
-    return ranked.groupBy("version").agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()])
+    """By version, the value at index min(n - 1, trunc(share * n)) of the sorted ones, without interpolation. Ranks are numbered by range."""
+    ranked = ranked_in(rows.select("version", value), "version", [value])
+    at = lambda p: F.least(F.col("size") - 1, F.floor(F.lit(p) * F.col("size")))
+    return ranked.groupBy("version").agg(*[F.min(F.when(F.col("rank") == at(p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def bands(scored: DataFrame, fills: DataFrame, cap: int) -> DataFrame:

@@ -95,10 +95,11 @@ def assign_ids(rows: DataFrame, order: list, name: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_p").withColumn(name, (F.col("_n") + F.col("before")).cast("long")).drop("_p", "_n", "before")
 
 
-def latest_per_place(batch: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Of each place's records in a batch, the last."""
-    last = batch.groupBy(PLACE).agg(F.max(arrival).alias(arrival))
-    return batch.join(last, [*PLACE, arrival])
+def latest_per_place(batch: DataFrame, arrival: str = "arrival", record: str | None = None) -> DataFrame:
+    """Of each place's records in a batch, the last. Of records that arrived together, that with the greatest `record`, if rows name theirs."""
+    order = F.struct(arrival, record) if record else F.struct(arrival)
+    last = batch.groupBy(PLACE).agg(F.max(order).alias("_last"))
+    return batch.join(last, PLACE).where(order == F.col("_last")).select(batch.columns)
 
 
 def upsert_places(target: DataFrame, batch: DataFrame) -> DataFrame:

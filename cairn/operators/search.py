@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.places import reach_of
-from .criteria import Term
+from .criteria import NameLike, Props, Term
 
 KEY = ["version", "container_id"]
 MOST_TERMS = 10
@@ -44,6 +44,37 @@ def containing_all(keys: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
     return keys
 
 
+def for_containers(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of the listed containers; how the list is sent around follows from its size."""
+    return rows.join(keys.select(KEY).distinct(), KEY, "left_semi")
+
+
+def exclude_place_pairs(levels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """levels without those whose (place, parent) is among pairs; a level without parent is in no pair."""
+    return levels.join(pairs.where("parent is not null").select("place", "parent").distinct(), ["place", "parent"], "left_anti").select(levels.columns)
+
+
+def union_vocab(one: DataFrame, other: DataFrame) -> DataFrame:
+    return one.union(other).distinct()
+
+
+def populated_versions(fills: DataFrame) -> DataFrame:
+    return fills.select("version").distinct()
+
+
+def sample_flagged(flags: DataFrame, version: str, n: int, seed: int) -> DataFrame:
+    """n distinct flagged containers of a version in the order of a hash: the same for the same seed."""
+    return sample_containers(flags.where(F.col("version") == version).select(KEY).distinct(), n, seed)
+
+
+def ordinal_page(matches: DataFrame, ordinals: DataFrame, after: tuple[int, int] | None, limit: int) -> DataFrame:
+    """matches(version, container_id, reach) in the index' order, by reach and ordinal, after a (reach, ordinal); one more than limit to tell whether there is more."""
+    rows = matches.join(ordinals, KEY)
+    if after is not None:
+        rows = rows.where((F.col("reach") > after[0]) | ((F.col("reach") == after[0]) & (F.col("ord") > after[1])))
+    return rows.orderBy("reach", "ord").limit(limit + 1)
+
+
 def without(keys: DataFrame, others: DataFrame) -> DataFrame:
     return keys.join(others.select(KEY), KEY, "left_anti")
 
@@ -56,9 +87,25 @@ def hide_pending(found: DataFrame, fills: DataFrame, indexed: DataFrame) -> Data
 
 def count_ceiling(entries: DataFrame, term: Term) -> DataFrame:
     """By version, the most that a container holds of one term's items."""
+    if isinstance(term.criterion, (NameLike, Props)):
+        raise ValueError("no ceiling for names and properties: a count of theirs is no count of one kind")
     return entries.where(term.column()).groupBy(KEY).agg(quantity_sum(F.lit(True)).alias("n")).groupBy("version").agg(F.max("n").alias("most"))
 
 
+def max_ceiling(parts: Sequence[DataFrame]) -> DataFrame:
+    """The greatest of several (version, most); versions that only one of them has stay."""
+    out = parts[0].select("version", "most")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("version", "most"))
+    return out.groupBy("version").agg(F.max("most").alias("most"))
+
+
+def explain_count(ceilings: DataFrame, asked: int, versions: DataFrame) -> DataFrame:
+    """(version, asked, most, possible): why a count can't be met; most is null where no container holds any."""
+    joined = versions.select("version").distinct().join(ceilings, "version", "left")
+    return joined.select("version", F.lit(asked).alias("asked"), "most", F.coalesce(F.col("most") >= asked, F.lit(False)).alias("possible"))
+
+
 def evidence(entries: DataFrame, found: DataFrame, terms: Sequence[Term]) -> DataFrame:
     """(version, container_id, term, total, place, name, reach, names): what each found container holds of each term and where first.
 
@@ -96,6 +143,9 @@ def sample_containers(keys: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def distinct_vocab(entries: DataFrame, kind: str) -> DataFrame:
+    """(version, word) of one kind; pairs: (version, place, parent) of levels."""
+    if kind == "pairs":
+        return entries.select("version", "place", "parent").distinct()
     if kind == "items":
         return entries.where("base_type is not null").select("version", F.concat_ws(":", "base_type", "sub_type").alias("word")).distinct()
     if kind == "places":
@@ -163,7 +213,19 @@ def key_ranges(keys: DataFrame, k: int) -> DataFrame:
     return dealt.groupBy("range").agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"), F.count("*").alias("keys"))
 
 
+def ranked_in(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with rank (from 0, in that order within the group) and size of the group: numbered by range, so that no group meets in one task."""
+    from .ingest import assign_ids
+
+    numbered = assign_ids(rows, [group, *order], "_at")
+    spans = numbered.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("size"))
+    return numbered.join(spans, group).withColumn("rank", F.col("_at") - F.col("_first")).drop("_at", "_first")
+
+
 def balanced_key_ranges(keys: DataFrame, k: int) -> DataFrame:
-    """Exactly balanced ranges within each version: (version, shard, low, high)."""
-    tiles = keys.select(KEY).distinct().withColumn("shard", F.ntile(k).over(Window.partitionBy("version").orderBy("container_id")))
-    return tiles.groupBy("version", "shard").agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"))
+    """Exactly balanced ranges within each version, the first ones longer by one where it doesn't come out even: (version, shard, low, high)."""
+    ranked = ranked_in(keys.select(KEY).distinct(), "version", ["container_id"])
+    each, over = F.floor(F.col("size") / k), F.col("size") % k
+    longer = over * (each + 1)
+    shard = F.when(F.col("rank") < longer, F.floor(F.col("rank") / (each + 1))).otherwise(over + F.floor((F.col("rank") - longer) / F.greatest(each, F.lit(1))))
+    return ranked.groupBy("version", (shard + 1).cast("int").alias("shard")).agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"))

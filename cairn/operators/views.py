@@ -19,6 +19,14 @@ def container_detail(levels: DataFrame, entries: DataFrame) -> DataFrame:
     return levels.join(held, PLACE, "left").na.fill(0, ["entries"]).na.fill("", ["listing"])
 
 
+def with_places(entries: DataFrame, levels: DataFrame) -> DataFrame:
+    """Entries with their place's parent and both reaches: of the place itself, and by its parent."""
+    from ..functions.places import reach_of
+
+    here = levels.select(*PLACE, "parent", reach_of(F.col("place")).alias("own_reach"), reach_with_parent(F.col("place"), F.col("parent")).alias("reach"))
+    return entries.join(here, PLACE)
+
+
 def summaries(entries: DataFrame, levels: DataFrame, features: DataFrame) -> DataFrame:
     """(container, temple, artefacts, altars, portals): one conditional sum for each table."""
     items = entries.where("cost is null").groupBy(KEY).agg(F.count_if("artefact").alias("artefacts"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import naming, places, text
-from cairn.operators import heat, index, ingest, search, views
+from cairn.operators import answers, heat, index, ingest, search, views
 from cairn.operators.criteria import Brand, Item, NameLike, Props, Term
 from cairn.sources.tables import read_catalog_jsonl, write_snapshot
 from cairn.streaming import catalog as streaming
@@ -202,16 +202,18 @@ def test_views(spark):
 def test_streams(spark, tmp_path):
     schema = "version string, container_id string, place string, x string, arrival long"
     source = str(tmp_path / "in")
-    store = streaming.PlaceStore(spark, str(tmp_path / "store"))
     for batch in ([("v", "1", "D:1", "a", 1), ("v", "1", "D:1", "b", 2), ("v", "1", "D:2", "c", 1)], [("v", "1", "D:1", "late", 3)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(source)
+        store = streaming.PlaceStore(spark, str(tmp_path / "store"))  # opened anew, as after a restart
         streaming.stream_ingest(spark.readStream.schema(schema).json(source), store, str(tmp_path / "ck")).awaitTermination()
+    store = streaming.PlaceStore(spark, str(tmp_path / "store"))
     assert values(store.current, "place", "x") == [("D:1", "late"), ("D:2", "c")]
     words = str(tmp_path / "words")
-    names = streaming.NameIndex()
     for batch in ([(1, "red ring")], [(1, "red ring"), (2, "blue rod")]):
         spark.createDataFrame(batch, "id long, val string").coalesce(1).write.mode("append").json(words)
+        names = streaming.NameIndex(spark, str(tmp_path / "names"))
         streaming.stream_name_index(spark.readStream.schema("id long, val string").json(words), names, str(tmp_path / "ck2")).awaitTermination()
+    names = streaming.NameIndex(spark, str(tmp_path / "names"))
     assert names.mark == 2 and values(index.names_like(names.grams, "RED"), "name") == [("red ring",)]
     flags = str(tmp_path / "flags")
     spark.createDataFrame([("v", "1", "s", "q1", "2024-01-01 00:00:00"), ("v", "1", "s", "q2", "2024-01-01 00:00:01"), ("v", "1", "t", "q3", "2024-01-01 00:00:02")], "version string, container_id string, session string, query string, at string").coalesce(1).write.json(flags)
@@ -224,6 +226,45 @@ def test_streams(spark, tmp_path):
     assert spark.table("counts").first().arrivals == 3
 
 
+def test_a_batch_sent_again_changes_nothing(spark, tmp_path):
+    schema = "version string, container_id string, place string, x string, arrival long, record long"
+    send = lambda rows, n: streaming.PlaceStore(spark, str(tmp_path / "s"), buckets=4, record="record").upsert(spark.createDataFrame(rows, schema), n)
+    assert streaming.PlaceStore(spark, str(tmp_path / "s")).current is None
+    send([("v", str(i), "D:1", "old", 1, i) for i in range(20)], 0)
+    late = [("v", "3", "D:1", "lost", 5, 1), ("v", "3", "D:1", "won", 5, 2), ("v", "3", "D:1", "early", 4, 9)]
+    for _ in range(2):
+        send(late, 1)
+    got = {r.container_id: r.x for r in streaming.PlaceStore(spark, str(tmp_path / "s")).current.collect()}
+    assert len(got) == 20 and got["3"] == "won" and set(got.values()) == {"old", "won"}
+
+
+def test_the_way_of_an_answer(corpus, tmp_path):
+    fills = corpus.select("version", "container_id").distinct().withColumns({"depth": F.lit(5).cast("long"), "origin": F.lit("fill")})
+    answers.write_index(corpus, fills, str(tmp_path / "i"))
+    stored = answers.read_index(corpus.sparkSession, str(tmp_path / "i"))
+    ask = lambda *terms: (lambda found, how: (sorted(r.container_id for r in found.collect()), how))(*answers.answer(corpus, stored, list(terms)))
+    assert ask(Term(Item("potion", "haste"), 2)) == (["2", "3", "4"], "postings")
+    assert ask(Term(NameLike("wYRM s"))) == (["5"], "postings")
+    assert ask(Term(Props(()))) == (["5", "6"], "scan")
+    two = Term(Props(("Conj", "Alch")))
+    assert ask(two) == (sorted(r.container_id for r in search.search(corpus, [two]).collect()), "verified")
+    assert ask(Term(Brand("weapon", "Venom", "dagger"))) == (["7"], "verified") and ask(Term(Item("potion", "haste")), two)[1] == "verified"
+    other = corpus.where("container_id = '2'").withColumn("version", F.lit("new")).unionByName(corpus)
+    assert answers.answer(other, stored, [Term(Item("potion", "haste"))])[1].startswith("scan")
+    assert answers.ceiling_indexed(corpus, stored, two) is None
+    grown = fills.withColumn("depth", F.when(F.col("container_id") == "2", 9).otherwise(F.col("depth")))
+    found, how = answers.answer_now(corpus.where("container_id <> '2'"), grown, stored, [Term(Item("potion", "haste"))])
+    assert how == "postings" and sorted(r.container_id for r in found.collect()) == ["1", "3", "4"]
+    assert answers.answer_now(corpus, grown, stored, [Term(Item("potion", "haste"))], most_changed=0)[1] == "scan"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+
+
 def test_names_and_words(spark):
     rows = [
         ("items", None, None, "potion", "haste", 3, None, None, None, "3 potions of haste"),
@@ -291,6 +332,8 @@ def test_standing_facts(spark):
 def test_queries_equal_their_sql(spark):
     import duckdb
 
+    import cairn.plans.answers
+    import cairn.plans.intake  # noqa: F401
     from cairn.plans import catalog
 
     con = duckdb.connect()
