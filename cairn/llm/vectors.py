@@ -13,13 +13,14 @@ from .components import connected_components
 COSINE = 0.9
 #: Distinct vectors that the centroids are fitted on, at most, and centroids for each so many vectors, up to a 16th of the sample.
 SAMPLE, PER_SHARD = 16_384, 1200
-#: Vectors in one piece of a shard; larger shards are split into pieces, and queries search all of them.
+#: Vectors in one piece. Larger shards are split into cells around pivots, one for each PER_SHARD of their vectors; cells of which even
+#: so more vectors are left, as they are all alike, into pieces by hash, which their queries search all.
 PIECE = 2500
-#: Shards that a vector is indexed in, and that it searches at first.
-OVERLAP, PROBES = 2, 4
+#: Shards that a vector is indexed in, those that it searches at first, and the cells of each.
+OVERLAP, PROBES, CELLS = 2, 4, 2
 NEAR, FAR, ALPHA, BEAM = 16, 8, 1.2, 24
-#: Queries held against brute force: in each piece, and over all vectors. Below these recalls the search is widened.
-AUDIT_PIECE, AUDIT_ALL, RECALL_PIECE, RECALL_ALL = 32, 200, 0.99, 0.98
+#: Queries held against brute force: in each piece, and over all vectors. Below these mean recalls the search is widened.
+AUDIT_PIECE, AUDIT_ALL, RECALL_PIECE, RECALL_ALL = 32, 256, 0.99, 0.98
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -61,36 +62,47 @@ def robust_prune(x: np.ndarray, candidates: np.ndarray, sims: np.ndarray, keep:
     return out
 
 
-def build(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(adjacency of NEAR + FAR columns and as many reverse ones at most, medoids) of one piece."""
-    n = len(x)
+def build(x: np.ndarray, seed: int) -> np.ndarray:
+    """Adjacency of one piece (-1: none): its nearest and some random vectors, robustly pruned together, and as many reverse edges at most."""
+    n, keep = len(x), NEAR + FAR
     rng = np.random.default_rng(seed)
     c = min(2 * NEAR, n - 1)
-    near = np.full((n, NEAR), -1, np.int64)
+    forward = np.full((n, keep), -1, np.int64)
     for at in range(0, n if c else 0, 500):
         s = x[at : at + 500] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-        top = np.argpartition(-s, c - 1, axis=1)[:, :c]
-        v = np.take_along_axis(s, top, 1)
+        near = np.argpartition(-s, c - 1, axis=1)[:, :c]
+        far = rng.integers(0, n, (len(s), FAR))
+        both = np.concatenate((near, far), axis=1)
+        v = np.take_along_axis(s, both, 1)
+        v[:, c:][(far[:, :, None] == near[:, None, :]).any(2)] = -2  # random ones that are among the nearest, or the vector itself
         order = np.argsort(-v, axis=1, kind="stable")
-        near[at : at + 500] = robust_prune(x, np.take_along_axis(top, order, 1), np.take_along_axis(v, order, 1), NEAR)
-    far = rng.integers(0, n, (n, FAR))
-    forward = np.concatenate((near, far), axis=1)
-    source, target = np.repeat(np.arange(n), forward.shape[1]), forward.ravel()
-    ok = (target >= 0) & (target != source)
-    source, target = source[ok], target[ok]
+        both, v = np.take_along_axis(both, order, 1), np.take_along_axis(v, order, 1)
+        forward[at : at + 500] = robust_prune(x, np.where(v > -2, both, -1), v, keep)
+    source, target = np.repeat(np.arange(n), keep), forward.ravel()
+    source, target = source[target >= 0], target[target >= 0]
     order = rng.permutation(len(source))
     order = order[np.argsort(target[order], kind="stable")]
     source, target = source[order], target[order]
     place = np.arange(len(target)) - np.searchsorted(target, target)
-    fits = place < NEAR + FAR
-    back = np.full((n, NEAR + FAR), -1, np.int64)
+    fits = place < keep
+    back = np.full((n, keep), -1, np.int64)
     back[target[fits], place[fits]] = source[fits]
-    mean = x.mean(0)
-    medoids = [int((x @ mean).argmax())]
-    while len(medoids) < min(4, n):
+    return np.concatenate((forward, back), axis=1)
+
+
+def medoids_of(x: np.ndarray) -> np.ndarray:
+    """The vector next to the mean, and three that are far from it and from each other."""
+    medoids = [int((x @ x.mean(0)).argmax())]
+    while len(medoids) < min(4, len(x)):
         medoids.append(int((x @ x[medoids].T).max(1).argmin()))
-    return np.concatenate((forward, back), axis=1), np.array(medoids)
+    return np.array(medoids)
+
+
+def mean_recall(found: np.ndarray, true: np.ndarray) -> float:
+    """The mean share found, over queries with a true link; none: 1."""
+    asked = true > 0
+    return float((np.minimum(found, true)[asked] / true[asked]).mean()) if asked.any() else 1.0
 
 
 def search(x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, q: np.ndarray, beam: int, cosine: float = COSINE) -> np.ndarray:
@@ -148,18 +160,17 @@ def search(x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, q: np.ndarray,
     return inside
 
 
-def audited(x: np.ndarray, q: np.ndarray, seed: int, cosine: float = COSINE) -> tuple[object, float]:
-    """A function from queries to in_range over one piece, and its recall on AUDIT_PIECE of q. The beam is doubled until the recall
-    will do, and at last the piece is compared as a whole."""
-    graph, medoids = build(x, seed)
-    sample = q[np.linspace(0, len(q) - 1, min(AUDIT_PIECE, len(q))).astype(int)]
-    truth = sample @ x.T >= cosine
+def audited(x: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float = COSINE) -> tuple[object, float]:
+    """A function from queries to in_range over one piece, and its mean recall on AUDIT_PIECE of q. own: each query's own place in x, or -1.
+    The beam is doubled until the recall will do, and at last the piece is compared as a whole."""
+    medoids, rows = medoids_of(x), np.linspace(0, len(q) - 1, min(AUDIT_PIECE, len(q))).astype(int)
+    others = own[rows][:, None] != np.arange(len(x))[None, :]
+    truth = (q[rows] @ x.T >= cosine) & others
     for beam in (BEAM, 2 * BEAM, 4 * BEAM):
-        got = search(x, graph, medoids, sample, beam, cosine)
-        recall = (got & truth).sum() / max(truth.sum(), 1)
+        recall = mean_recall((search(x, graph, medoids, q[rows], beam, cosine) & truth).sum(1), truth.sum(1))
         if recall >= RECALL_PIECE:
-            return (lambda part, beam=beam: search(x, graph, medoids, part, beam, cosine)), float(recall)
-    return (lambda part: part @ x.T >= cosine), float(recall)
+            return (lambda part, beam=beam: search(x, graph, medoids, part, beam, cosine)), recall
+    return (lambda part: part @ x.T >= cosine), 1.0
 
 
 def merged_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,17 +188,40 @@ def merged_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
         labels = new
 
 
+_PLACED = "rep long, copies long, embedding array<double>, shard int, home boolean"
+_CELL = ["shard", "cell"]
+
+
+def _edges(frame: pd.DataFrame) -> pd.DataFrame:
+    """The adjacency lists of one piece, by id."""
+    index = frame.drop_duplicates("rep").sort_values("rep")
+    ids = index.rep.to_numpy()
+    graph = build(unit(np.stack(index.embedding.to_list())), int(ids[0]) % (1 << 31))
+    return pd.DataFrame({"rep": ids, "near": [ids[row[row >= 0]] for row in graph]})
+
+
 def _piece(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """One piece of a shard with the queries sent to it: for each query, copies of the home vectors in range (its own left out), and the least id it is joined to here."""
-    index = frame[frame.node].drop_duplicates("rep").reset_index(drop=True)
+    """One piece with the queries sent to it: for each query, copies of the home vectors in range (its own left out), the recall of the
+    piece, and the least id it is joined to here; the last also for vectors of the piece that are joined to a lesser one."""
+    index = frame[frame.node].drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
     queries = frame[~frame.node].drop_duplicates("rep").reset_index(drop=True)
     names = ["rep", "found", "least", "recall"]
     if not len(index) or not len(queries):
         return pd.DataFrame({"rep": queries.rep, "found": 0, "least": queries.rep, "recall": 1.0})[names]
     x, q = unit(np.stack(index.embedding.to_list())), unit(np.stack(queries.embedding.to_list()))
-    look, recall = audited(x, q, int(index.rep.min()) % (1 << 31), cosine)
-    ids = np.unique(np.concatenate((index.rep.to_numpy(), queries.rep.to_numpy())))
-    at_x, at_q = np.searchsorted(ids, index.rep.to_numpy()), np.searchsorted(ids, queries.rep.to_numpy())
+    reps, asked = index.rep.to_numpy(), queries.rep.to_numpy()
+    # the united lists, as far as they stay in this piece
+    owner, near = np.repeat(np.arange(len(reps)), index.near.map(len)), np.concatenate(index.near.to_list()).astype(np.int64)
+    at = np.minimum(np.searchsorted(reps, near), len(reps) - 1)
+    owner, at = owner[reps[at] == near], at[reps[at] == near]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    graph = np.full((len(reps), int(place.max(initial=0)) + 1), -1, np.int64)
+    graph[owner, place] = at
+    own = np.minimum(np.searchsorted(reps, asked), len(reps) - 1)
+    own = np.where(reps[own] == asked, own, -1)
+    look, recall = audited(x, graph, q, own, cosine)
+    ids = np.unique(np.concatenate((reps, asked)))
+    at_x, at_q = np.searchsorted(ids, reps), np.searchsorted(ids, asked)
     weight = np.where(index.home.to_numpy(), index.copies.to_numpy(), 0)
     labels, found = np.arange(len(ids)), np.zeros(len(q), np.int64)
     for k in range(0, len(q), 1000):
@@ -196,51 +230,95 @@ def _piece(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
         found[k : k + 1000] = inside @ weight
         r, c = np.nonzero(inside)
         labels = merged_labels(labels, at_q[k + r], at_x[c])
-    return pd.DataFrame({"rep": queries.rep, "found": found, "least": ids[labels[at_q]], "recall": recall})[names]
+    joined = (labels[at_x] != at_x) & ~np.isin(reps, asked)
+    more = pd.DataFrame({"rep": reps[joined], "found": 0, "least": ids[labels[at_x[joined]]], "recall": recall})
+    return pd.concat([pd.DataFrame({"rep": asked, "found": found, "least": ids[labels[at_q]], "recall": recall}), more])[names]
 
 
-def _one_length(reps: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """(found by rep, edges) among distinct vectors of one length: columns rep, copies, embedding."""
+def _homes(frame: pd.DataFrame, c: np.ndarray, k: int) -> pd.DataFrame:
+    """Each vector once for each of its k nearest centroids; home: the nearest."""
+    frame = frame.reset_index(drop=True)
+    if not len(frame):
+        return frame.assign(shard=0, home=True)[["rep", "copies", "embedding", "shard", "home"]]
+    sims = unit(np.stack(frame.embedding.to_list())) @ c.T
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    out = frame.loc[np.repeat(np.arange(len(frame)), near.shape[1])].reset_index(drop=True)
+    return out.assign(shard=near.ravel(), home=np.tile(np.arange(near.shape[1]) == 0, len(frame)))[["rep", "copies", "embedding", "shard", "home"]]
+
+
+def _around_pivots(rows: pd.DataFrame, pivots: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Vectors of one shard, once for each of their k nearest pivots."""
+    if not len(rows) or not len(pivots):
+        return rows.assign(cell=0)[[*_NAMES, "cell"]]
+    rows = rows.reset_index(drop=True)
+    p, near = unit(np.stack(pivots.embedding.to_list())), []
+    for at in range(0, len(rows), 1000):
+        sims = unit(np.stack(rows.embedding[at : at + 1000].to_list())) @ p.T
+        near.append(np.argsort(-sims, axis=1, kind="stable")[:, :k])
+    near = np.concatenate(near)
+    out = rows.loc[np.repeat(np.arange(len(rows)), near.shape[1])].reset_index(drop=True)
+    return out.assign(cell=pivots["number"].to_numpy()[near.ravel()])[[*_NAMES, "cell"]]
+
+
+_NAMES = ["rep", "copies", "embedding", "shard", "home"]
+
+
+def _into_cells(placed: DataFrame, pivots: DataFrame | None, k: int) -> DataFrame:
+    """placed with cell: 0 in shards without pivots; else vectors meet their shard's pivots in groups of bounded size, whatever the shard's."""
+    if pivots is None:
+        return placed.withColumn("cell", F.lit(0))
+    held = pivots.select("shard").distinct()  # as many as centroids at most, so the numbers of groups are literals
+    loads = placed.join(F.broadcast(held), "shard").groupBy("shard").agg(F.ceil(F.count("*") / F.lit(4 * PIECE)).cast("int")).collect()
+    if not loads:
+        return placed.withColumn("cell", F.lit(0))
+    salts = F.create_map(*[F.lit(x) for r in loads for x in r])[F.col("shard")]
+    large = placed.where(salts.isNotNull()).select("*", F.pmod(F.xxhash64("rep", F.lit(1)), salts.cast("long")).cast("int").alias("salt"))
+    every = pivots.where(salts.isNotNull()).select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    split = large.groupBy("shard", "salt").cogroup(every.groupBy("shard", "salt")).applyInPandas(lambda a, b: _around_pivots(a, b, k), f"{_PLACED}, cell int")
+    return placed.where(salts.isNull()).select(*_NAMES, F.lit(0).alias("cell")).unionByName(split)
+
+
+def _one_length(reps: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, float]:
+    """(found by rep, edges, audited recall) among distinct vectors of one length: columns rep, copies, embedding."""
     n = reps.count()
     share = min(1.0, SAMPLE / max(n, 1))
     sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < F.lit(1_000_003 * share)).orderBy("rep").limit(2 * SAMPLE)
     rows = np.stack([np.array(r[0], np.float64) for r in sample.select("embedding").collect()] or [np.array(reps.first().embedding)])
     x = unit(rows)
     c = centroids(x, max(1, min(-(-n // PER_SHARD), len(x) // 16)))
-    pieces = written(reps.mapInPandas(lambda frames: (_homes(f, c, OVERLAP) for f in frames), "rep long, copies long, embedding array<double>, shard int, home boolean, place int"), "shards")
-    sizes = pieces.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias("pieces"))
+    placed = written(reps.mapInPandas(lambda frames: (_homes(f, c, OVERLAP) for f in frames), _PLACED), "shards")
+    sizes = {r[0]: r[1] for r in placed.groupBy("shard").count().where(F.col("count") > PIECE).collect()}  # as many as centroids at most
+    pivots = None
+    if sizes:
+        chance = F.create_map(*[F.lit(v) for shard, size in sizes.items() for v in (shard, min(1.0, 1.0 / PER_SHARD))])[F.col("shard")]
+        drawn = placed.where(F.pmod(F.xxhash64("rep", "shard", F.lit(2)), F.lit(1_000_003)) < 1_000_003 * chance)
+        pivots = written(drawn.select("shard", F.hash("rep").alias("number"), "embedding"), "pivots")
+    cells = written(_into_cells(placed, pivots, 1), "cells")
+    counts = cells.groupBy(_CELL).agg(F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias("pieces"))
+    counts = written(counts, "pieces")
     hashed = F.pmod(F.xxhash64("rep"), F.col("pieces").cast("long")).cast("int")
-    index = pieces.join(F.broadcast(sizes), "shard").select("shard", hashed.alias("piece"), "rep", "copies", "embedding", "home", F.lit(True).alias("node"))
+    index = cells.join(counts, _CELL).withColumn("piece", hashed)
+    lists = index.groupBy(*_CELL, "piece").applyInPandas(_edges, "rep long, near array<long>")
+    # one graph: each vector's lists from all shards that it is in, of which there are OVERLAP at most
+    united = written(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+    index = written(index.join(united, "rep").select(*_CELL, "piece", "rep", "copies", "embedding", "home", "near", F.lit(True).alias("node")), "index")
     for probes in sorted({min(p, len(c)) for p in (PROBES, 4 * PROBES, len(c))}):
-        asked = reps.mapInPandas(lambda frames, p=probes: (_homes(f, c, p) for f in frames), "rep long, copies long, embedding array<double>, shard int, home boolean, place int")
-        asked = asked.join(F.broadcast(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "rep", "copies", "embedding", "home", F.lit(False).alias("node"))
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(n // (4 * PIECE * len(c)) + 1)).cast("int"))
-        parts = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n // (4 * PIECE * len(c))))))
-        both = parts.unionByName(asked).groupBy("shard", "piece", "part").applyInPandas(lambda f: _piece(f, cosine), "rep long, found long, least long, recall double")
-        both = written(both, "found")
-        counts = written(both.groupBy("rep").agg(F.sum("found").alias("found")), "counts")
-        if probes == len(c) or _recall(reps, counts, cosine) >= RECALL_ALL:
+        asked = reps.mapInPandas(lambda frames, p=probes: (_homes(f, c, p) for f in frames), _PLACED)
+        asked = written(_into_cells(asked, pivots, CELLS * probes // min(PROBES, len(c))), "asked")
+        loads = asked.groupBy(_CELL).agg(F.ceil(F.count("*") / F.lit(4 * PIECE)).cast("int").alias("parts")).join(counts, _CELL)
+        queries = asked.join(loads, _CELL).select(*_CELL, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int").alias("part"), "rep", "copies", "embedding", "home", F.array().cast("array<long>").alias("near"), F.lit(False).alias("node"))
+        nodes = index.join(loads.drop("pieces"), _CELL).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        both = written(nodes.unionByName(queries).groupBy(*_CELL, "piece", "part").applyInPandas(lambda f: _piece(f, cosine), "rep long, found long, least long, recall double"), "found")
+        found = written(both.groupBy("rep").agg(F.sum("found").alias("found")), "counts")
+        recall = _recall(reps, found, cosine)
+        if recall >= RECALL_ALL:
             break
-    return counts, both.select(F.col("rep").alias("u"), F.col("least").alias("v"))
-
-
-def _homes(frame: pd.DataFrame, c: np.ndarray, k: int) -> pd.DataFrame:
-    """Each vector once for each of its k nearest centroids; home: the nearest."""
-    frame = frame.reset_index(drop=True)
-    if not len(frame):
-        return frame.assign(shard=0, home=True, place=0)[["rep", "copies", "embedding", "shard", "home", "place"]]
-    sims = unit(np.stack(frame.embedding.to_list())) @ c.T
-    near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    out = frame.loc[np.repeat(np.arange(len(frame)), near.shape[1])].reset_index(drop=True)
-    place = np.tile(np.arange(near.shape[1]), len(frame))
-    return out.assign(shard=near.ravel(), home=place == 0, place=place)[["rep", "copies", "embedding", "shard", "home", "place"]]
+    return found, both.select(F.col("rep").alias("u"), F.col("least").alias("v")), recall
 
 
 def _recall(reps: DataFrame, counts: DataFrame, cosine: float) -> float:
-    """Links found of those that brute force finds for AUDIT_ALL vectors, half of them linked ones, against all, in blocks."""
-    linked = counts.where("found > 0").orderBy(F.xxhash64("rep")).limit(AUDIT_ALL // 2)
-    others = counts.orderBy(F.xxhash64("rep")).limit(AUDIT_ALL // 2)
-    asked = linked.unionByName(others).distinct().join(reps.select("rep", "embedding"), "rep").collect()
+    """The mean share of links found, over AUDIT_ALL vectors drawn by hash alone, held against all vectors, in blocks."""
+    asked = reps.join(counts, "rep").orderBy(F.xxhash64("rep", F.lit(3))).limit(AUDIT_ALL).collect()
     if not asked:
         return 1.0
     q, ids = unit(np.stack([np.array(r.embedding) for r in asked])), np.array([r.rep for r in asked])
@@ -254,11 +332,12 @@ def _recall(reps: DataFrame, counts: DataFrame, cosine: float) -> float:
         yield pd.DataFrame({"rep": ids, "n": total})
 
     true = {r[0]: r[1] for r in reps.mapInPandas(run, "rep long, n long").groupBy("rep").agg(F.sum("n")).collect()}
-    return sum(min(r.found, true.get(r.rep, 0)) for r in asked) / max(sum(true.values()), 1)
+    return mean_recall(np.array([r.found for r in asked]), np.array([true.get(r.rep, 0) for r in asked]))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """A row per row of vectors: id, n_links (other rows at `cosine` or more), component_id (least id reachable), kept.
+    """A row per row of vectors: id, n_links (other rows at `cosine` or more), component_id (least id reachable), kept, and recall, the
+    audited one of the whole search (null where there was nothing to search).
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; neither do vectors of unlike length.
     Equal vectors are searched once and count as many links as there are copies. Null ids take part and are never a component's id
@@ -269,18 +348,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.coalesce(fine, F.lit(False)), x).alias("embedding"))
     classes = written(kept.where("embedding is not null").groupBy("embedding").agg(F.min("id").alias("first"), F.count("*").alias("copies")).select("*", F.xxhash64("embedding").alias("rep")), "vectors")
-    found = None
+    found, recalls = None, []
     for (length,) in classes.select(F.size("embedding")).distinct().collect():
         one = _one_length(classes.where(F.size("embedding") == length).select("rep", "copies", "embedding"), cosine)
-        found = one if found is None else tuple(a.unionByName(b) for a, b in zip(found, one))
+        recalls.append(one[2])
+        found = one[:2] if found is None else tuple(a.unionByName(b) for a, b in zip(found, one))
+    recall = F.lit(min(recalls) if recalls else None).cast("double").alias("recall")
     if found is None:
-        return kept.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return kept.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), recall)
     joined = connected_components(found[1]).withColumnRenamed("node", "rep")
     rooted = classes.join(joined, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     of = rooted.join(least, "root").join(found[0], "rep", "left").select("embedding", "least", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n"))
     out = kept.join(of, "embedding", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_links"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select("*", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), recall)
 
 
 def op2_graph_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,11 +44,12 @@ def test_against_brute_force(spark):
 def test_search_recall_and_fallback():
     rng = np.random.default_rng(4)
     x = vectors.unit(np.concatenate((rng.normal(size=(800, 24)), rng.normal(size=(1, 24)) + rng.normal(size=(150, 24)) * 0.1)))
-    graph, medoids = vectors.build(x, 1)
+    graph, medoids = vectors.build(x, 1), vectors.medoids_of(x)
+    assert ((graph[:, : vectors.NEAR + vectors.FAR] >= 0).sum(1) <= vectors.NEAR + vectors.FAR).all() and not (graph == np.arange(len(x))[:, None]).any()
     truth = x @ x.T >= 0.9
     got = vectors.search(x, graph, medoids, x, vectors.BEAM)
     assert not (got & ~truth).any() and (got & truth).sum() / truth.sum() > 0.97
-    look, recall = vectors.audited(x, x, 1)
+    look, recall = vectors.audited(x, graph, x, np.arange(len(x)))
     assert recall >= vectors.RECALL_PIECE or (look(x) == truth).all()
 
 
@@ -63,6 +64,29 @@ def test_more_shards_and_pieces(spark, monkeypatch):
     assert sum(min(a[1], b[1]) for a, b in zip(got, want)) >= 0.97 * sum(b[1] for b in want)
 
 
+def test_planted_links_among_many(spark, monkeypatch):
+    """Small groups beside a large one, over many shards, some of which are split around pivots: mean recall counts small groups as much."""
+    monkeypatch.setattr(vectors, "SAMPLE", 400)
+    monkeypatch.setattr(vectors, "PER_SHARD", 150)
+    monkeypatch.setattr(vectors, "PIECE", 300)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 24))
+    small = x[:300].repeat(2, 0) + rng.normal(size=(600, 24)) * 0.15
+    hot = x[300] + rng.normal(size=(700, 24)) * 0.15
+    x = np.concatenate((x, small, hot))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.recall) for r in vectors.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect())
+    u = vectors.unit(x)
+    true = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([g[1] for g in got])
+    assert (found <= true).all() and vectors.mean_recall(found, true) >= 0.98
+    assert vectors.mean_recall(found[:900], true[:900]) >= 0.97  # those in small groups
+    assert 0.98 <= got[0][3] <= 1
+
+
+def test_recall_counts_queries_not_links():
+    assert vectors.mean_recall(np.array([1000, 0, 0]), np.array([1000, 2, 0])) == 0.5 and vectors.mean_recall(np.array([0]), np.array([0])) == 1.0
+
+
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = vectors.near_vectors(spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")).collect()
