@@ -12,11 +12,21 @@ TOTAL_SHARE, MOST_COPIES = 1.5, 2.0
 #: Open documents that meet in one node of the tree, on average.
 FAN_IN = 48
 SEED = 8
+_LOT = 10_000
 
 
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size): the words of each row's text; a null text has none."""
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_or_empty(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(id, source, size, mark): the words of each row's text (a null text has none), and a hash of the text."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("mark"))
+
+
+def told_apart(rows: DataFrame, like: list[str]) -> DataFrame:
+    """rows(*like) with `row`, which tells like rows apart: a hash of them and of their number among their like, the same in every run."""
+    counts = rows.groupBy(like).agg(F.count("*").alias("_n"))
+    lots = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _LOT))).alias("_lot"))  # arrays stay small
+    each = lots.select(*like, "_lot", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_LOT).cast("long"), F.col("_n") - F.col("_lot") * _LOT))).alias("_k"))
+    return each.select(*like, F.xxhash64(*like, "_lot", "_k", F.lit(SEED)).alias("row"))
 
 
 def _sums_before(rows: DataFrame, order: list[Column], **sums: str) -> DataFrame:
@@ -63,17 +73,17 @@ def _uniform(*parts: Column) -> Column:
 def _node(units: Column, level: int) -> Column:
     """Fold of one node's open units: (carry, done). Each unit meets the carried one; words move between the two, by chance either
     way, so that their sum and each one's expectation stay, until one of them is taken or left."""
-    unit = "struct<id:bigint,size:bigint,part:double,whole:bigint,took:bigint>"
+    unit = "struct<row:bigint,id:bigint,size:bigint,mark:bigint,part:double,whole:bigint,took:bigint>"
     start = F.struct(F.lit(None).cast(unit).alias("carry"), F.array().cast(f"array<{unit}>").alias("done"))
 
     def settle(u: Column, part: Column) -> Column:
-        return F.struct(u["id"].alias("id"), u["size"].alias("size"), part.alias("part"), u["whole"].alias("whole"), (u["whole"] + (part >= 1).cast("bigint")).alias("took"))
+        return F.struct(u["row"].alias("row"), u["id"].alias("id"), u["size"].alias("size"), u["mark"].alias("mark"), part.alias("part"), u["whole"].alias("whole"), (u["whole"] + (part >= 1).cast("bigint")).alias("took"))
 
     def step(state: Column, b: Column) -> Column:
         a = state["carry"]
         up = F.least(a["size"] * (1 - a["part"]), b["size"] * b["part"])  # words that a can gain from b
         down = F.least(a["size"] * a["part"], b["size"] * (1 - b["part"]))
-        gains = _uniform(a["id"], b["id"], a["size"], b["size"], F.lit(level), F.lit(SEED)) * (up + down) < down
+        gains = _uniform(a["row"], b["row"], F.lit(level), F.lit(SEED)) * (up + down) < down
         a_full, b_void = a["size"] * (1 - a["part"]) <= b["size"] * b["part"], b["size"] * b["part"] <= a["size"] * (1 - a["part"])
         a_void, b_full = a["size"] * a["part"] <= b["size"] * (1 - b["part"]), b["size"] * (1 - b["part"]) <= a["size"] * a["part"]
         inner = lambda x: F.least(F.greatest(x, F.lit(1e-12)), F.lit(1 - 1e-12))
@@ -94,45 +104,39 @@ def _node(units: Column, level: int) -> Column:
 
 
 def rounded(units: DataFrame, most_docs: int, fan_in: int = FAN_IN) -> DataFrame:
-    """units(source, docs, id, size, part, whole) -> (source, id, size, took): took is whole, or one more for some with part > 0.
+    """units(source, docs, row, id, size, mark, part, whole) -> (source, id, size, mark, took): took is whole, or one more for some with part > 0.
 
-    Level by level, each source's open units are dealt into nodes of about fan_in by hash; each node leaves one open at most. After
+    Level by level, each source's open units are dealt into nodes of about fan_in by the hash of their row, which is another for
+    each, even where all else is alike; each node leaves one open at most. After
     log(most_docs) levels to the base fan_in, and one with a node for each source, the last open unit is settled by its own chance.
     """
-    keep = ["source", "id", "size", "took"]
+    keep = ["source", "id", "size", "mark", "took"]
     # parts next to 0 or 1, and texts without words, are settled already
     sure = (F.col("part") < 1e-9) | (F.col("part") > 1 - 1e-9) | (F.col("size") == 0)
-    done = [units.where(sure).select("source", "id", "size", (F.col("whole") + (F.col("part") > 0.5).cast("long")).alias("took"))]
+    done = [units.where(sure).select("source", "id", "size", "mark", (F.col("whole") + (F.col("part") > 0.5).cast("long")).alias("took"))]
     now, left, level = units.where(~sure).withColumn("took", F.lit(0).cast("long")), max(1, most_docs), 0
     while True:
         nodes = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(float(fan_in) ** (level + 1)))).cast("long")
-        spread = F.pmod(F.xxhash64("id", "size", F.lit(level), F.lit(SEED)), nodes)
-        unit = F.struct(F.xxhash64("id", "size", F.lit(SEED)).alias("order"), F.col("id").cast("long").alias("id"), "size", F.col("part").alias("part"), "whole", "took")
+        spread = F.pmod(F.xxhash64("row", F.lit(level), F.lit(SEED)), nodes)
+        unit = F.struct("row", "id", "size", "mark", "part", "whole", "took")
         gathered = now.groupBy("source", "docs", spread.alias("node")).agg(F.sort_array(F.collect_list(unit)).alias("units"))
-        bare = F.transform("units", lambda u: F.struct(u["id"].alias("id"), u["size"].alias("size"), u["part"].alias("part"), u["whole"].alias("whole"), u["took"].alias("took")))
-        folded = written(gathered.select("source", "docs", _node(bare, level).alias("f")), f"level{level}")
-        done.append(folded.select("source", F.explode("f.done").alias("u")).select("source", "u.id", "u.size", "u.took"))
+        folded = written(gathered.select("source", "docs", _node(F.col("units"), level).alias("f")), f"level{level}")
+        done.append(folded.select("source", F.explode("f.done").alias("u")).select("source", "u.id", "u.size", "u.mark", "u.took"))
         now = folded.where("f.carry is not null").select("source", "docs", "f.carry.*")
         last = left <= fan_in
         left, level = -(-left // fan_in), level + 1
         if last:
             break
-    taken = (_uniform(F.col("id"), F.col("size"), F.lit(-1), F.lit(SEED)) < F.col("part")).cast("long")
-    done.append(now.select("source", "id", "size", (F.col("whole") + taken).alias("took")))
+    taken = (_uniform(F.col("row"), F.lit(-1), F.lit(SEED)) < F.col("part")).cast("long")
+    done.append(now.select("source", "id", "size", "mark", (F.col("whole") + taken).alias("took")))
     out = done[0].select(keep)
     for part in done[1:]:
         out = out.unionByName(part.select(keep))
     return out
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_COPIES) -> DataFrame:
-    """A row per row of docs: id, source, size, source_size, target, taken (words, repeats counted), copies.
-
-    Every document of a source has the same expected copies, target / source_size; their whole part is certain, and the rest is
-    rounded so that the source's words stay, but for one document's. Reruns agree: chance comes from hashes of ids and sizes. Null
-    texts and texts without words have size 0 and get no copy beyond the whole part; null sources are a source; null ids are
-    allowed; repeated rows are rounded each on its own. A source without words has target 0.
-    """
+def _rounded_mix(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_COPIES) -> DataFrame:
+    """(id, source, size, mark, source_size, target, took) for each row of docs."""
     sizes = written(sizes_of(docs, id_col, text_col, source_col), "sizes")
     goal = written(targets(sizes, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -140,31 +144,46 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     part = F.greatest(rate - whole, F.lit(0.0))
     key = F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()
     goal = goal.select(key[0].alias("_s"), key[1].alias("_n"), "source_size", "docs", "target")
-    joined = sizes.withColumns({"_s": key[0], "_n": key[1]}).join(goal, ["_s", "_n"])
-    units = joined.select("source", "docs", "id", "size", part.alias("part"), whole.alias("whole"))
+    rows = told_apart(sizes, ["source", "id", "size", "mark"])
+    joined = rows.withColumns({"_s": key[0], "_n": key[1]}).join(goal, ["_s", "_n"])
+    units = joined.select("source", "docs", "row", "id", "size", "mark", part.alias("part"), whole.alias("whole"))
     most_docs = goal.agg(F.max("docs")).first()[0] or 0
-    took = rounded(units, most_docs).withColumns({"_s": key[0], "_n": key[1]}).join(goal.drop("docs"), ["_s", "_n"])
+    return rounded(written(units, "units"), most_docs).withColumns({"_s": key[0], "_n": key[1]}).join(goal.drop("docs"), ["_s", "_n"]).drop("_s", "_n")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """A row per row of docs: id, source, size, source_size, target, taken (words, repeats counted), copies.
+
+    Every document of a source has the same expected copies, target / source_size; their whole part is certain, and the rest is
+    rounded so that the source's words stay, but for one document's. Reruns agree: chance comes from hashes of ids, sizes and texts,
+    and of the number among like rows. Null texts and texts without words have size 0 and get no copy beyond the whole part; null
+    sources are a source; null ids are allowed; repeated rows are rounded each on its own. A source without words has target 0.
+    """
+    took = _rounded_mix(docs, id_col, text_col, source_col, **how)
     return took.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("took")).alias("taken"), F.col("took").alias("copies"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names.
 
-    Rows meet their copies by id, source and size; the k-th of like rows takes the k-th of their numbers of copies.
+    Rows meet their copies by id, source, size and text; where several are alike in all these, the k-th of them takes the k-th of
+    their numbers of copies, so that only like rows are ever numbered.
     """
-    keys = ["_id", "_source", "_size", "_none"]
-
-    def keyed(df: DataFrame, key: Column, source: Column, size: Column) -> DataFrame:
-        return df.withColumns({"_id": F.coalesce(key.cast("long"), F.lit(0)), "_source": F.coalesce(source, F.lit("")), "_size": size, "_none": key.isNull().cast("int") + 2 * source.isNull().cast("int")})
-
-    mix = mixed(docs, id_col, text_col, source_col, **how)
-    copies = keyed(mix.select(id_col, source_col, "size", "copies"), F.col(id_col), F.col(source_col), F.col("size")).groupBy(keys).agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    size = F.coalesce(F.regexp_count(text_or_empty(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = keyed(docs, F.col(id_col), F.col(source_col), size)
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(keys).orderBy(F.lit(0))))
-    joined = rows.join(copies, keys)
-    times = F.expr("sequence(1, cast(_copies[_k - 1] as int))")
-    return joined.where("_copies[_k - 1] > 0").withColumn("_each", F.explode(times)).select(*docs.columns)
+    keys = ["k_id", "k_source", "k_size", "k_mark", "k_none"]
+
+    def keyed(df: DataFrame, *more) -> DataFrame:
+        none = F.col("id").isNull().cast("int") + 2 * F.col("source").isNull().cast("int")
+        return df.select(F.coalesce("id", F.lit(0).cast("long")).alias("k_id"), F.coalesce("source", F.lit("")).alias("k_source"), F.col("size").alias("k_size"), F.col("mark").alias("k_mark"), none.alias("k_none"), *more)
+
+    copies = keyed(_rounded_mix(docs, id_col, text_col, source_col, **how), "took").groupBy(keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("took"), False).alias("copies"))
+    text = F.col("row")[text_col].cast("string")
+    row = docs.select(F.struct("*").alias("row"))
+    sized = row.select("row", F.col("row")[id_col].cast("long").alias("id"), F.col("row")[source_col].alias("source"), F.coalesce(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
+    joined = keyed(sized, "row").join(copies.where("n > 1 or copies[0] > 0"), keys)
+    alone = joined.where("n = 1").select("row", F.col("copies")[0].alias("times"))
+    place = F.row_number().over(Window.partitionBy(keys).orderBy(F.lit(0)))
+    alike = joined.where("n > 1").withColumn("k", place).select("row", F.expr("copies[k - 1]").alias("times"))
+    return alone.unionByName(alike).where("times > 0").select("row", F.explode(F.expr("sequence(1, cast(times as int))"))).select("row.*")
 
 
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,11 +132,14 @@ def learn(labelled: DataFrame) -> list[Rule]:
     tests = [(m, above, k) for m in names for k in range(len(cuts[m])) for above in (True, False)]
     column = lambda t: F.col(t[0]) > t[2] if t[1] else F.col(t[0]) <= t[2]
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    failed = 0
+    while len(rules) < MAX_RULES and failed < MAX_RULES:
         growing, chosen = rows.where("grow"), []
         (p, n), = _counts(growing, [F.lit(True)])
         while len(chosen) < MAX_CONDITIONS and p and n:
-            found = _counts(growing, [column(t) for t in tests])
+            found = _counts(growing, [column(t) for t in tests]) if tests else []
+            if not found:
+                break
             gain, best = max(((a * (_bits(a, b) - _bits(p, n)), i) for i, (a, b) in enumerate(found)), key=lambda x: (x[0], -x[1]))
             if gain <= 1e-9:
                 break
@@ -154,7 +157,9 @@ def learn(labelled: DataFrame) -> list[Rule]:
         k = -max(value)[1]
         a, b = held[k]
         if not a or a / (a + b) < PRECISION:
-            break
+            tests.remove(chosen[0])  # rules that begin with it are set aside, and others tried
+            failed += 1
+            continue
         rules.append(Rule(tuple(Condition(m, above, float(cuts[m][i])) for m, above, i in chosen[: k + 1]), a / (a + b), int(a + b)))
         rows = rows.where(~F.coalesce(prefixes[k], F.lit(False)))
     return rules

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import table
+from .common import own_names, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains of it, for paths that start with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -76,15 +76,16 @@ def judged(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT, s
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(3)], names=["strict", "soft", "weight"])
 
     host, path = parts(F.col(url_col))
-    out = pages.withColumns({"host": host, "path": path, "_hits": counted(F.col(url_col).cast("string"))})
+    (found,) = own_names(pages, "hits")
+    out = pages.withColumns({"host": host, "path": path, found: counted(F.col(url_col).cast("string"))})
     rule = verdict = None
     for kind, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
         rule = F.when(fits, h + p) if rule is None else rule.when(fits, h + p)
         verdict = F.when(fits, kind) if verdict is None else verdict.when(fits, kind)
-    own = F.when((F.col("_hits.strict") > 0) | (F.col("_hits.weight") >= limit), "block").otherwise("allow")
+    own = F.when((F.col(found)["strict"] > 0) | (F.col(found)["weight"] >= limit), "block").otherwise("allow")
     out = out.withColumns({"rule": rule if rule is not None else F.lit(None).cast("string"), "verdict": verdict.otherwise(own) if verdict is not None else own})
-    return out.withColumns({"strict_hits": F.col("_hits.strict"), "soft_hits": F.col("_hits.soft"), "soft_weight": F.col("_hits.weight")}).drop("_hits")
+    return out.withColumns({"strict_hits": F.col(found)["strict"], "soft_hits": F.col(found)["soft"], "soft_weight": F.col(found)["weight"]}).drop(found)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,29 @@ def test_repeated_rows(docs, rng):
     assert mix.selectExpr("sum(size(split(text, ' ')))").first()[0] == mixing.mixed(df).agg({"taken": "sum"}).first()[0]
 
 
+def test_like_rows_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_LOT", 7)
+    rows = [(None, "a", 5, 1)] * 50 + [(1, "a", 5, 1)] * 15 + [(2, None, 0, 3)]
+    got = mixing.told_apart(spark.createDataFrame(rows, "id long, source string, size long, mark long"), ["source", "id", "size", "mark"]).collect()
+    assert sorted(map(str, ((r.id, r.source, r.size, r.mark) for r in got))) == sorted(map(str, rows)) and len({r.row for r in got}) == len(rows)
+
+
+def test_rows_without_ids_are_mixed_as_others(docs):
+    rows = [(None, "same words here", "en", "a", 0)] * 400 + [(None, f"other words {i}", "en", "a", 0) for i in range(400)] + [(1, "x " * 50, "en", "b", 0)]
+    got = mixing.mixed(docs(rows)).collect()
+    of_a = [r for r in got if r.source == "a"]
+    assert len(got) == len(rows) and abs(sum(r.taken for r in of_a) - of_a[0].target) <= 3
+
+
+def test_columns_of_any_name_are_kept(docs):
+    from pyspark.sql import functions as F
+
+    df = docs([(1, "é " * 200_000, "en", "a", 0), (2, "x y", "en", "a", 0)]).withColumns({c: F.lit(c) for c in ("_id", "_size", "_k", "_copies", "_each", "size", "row", "k_id", "times", "mark")})
+    mix = mixing.repeated(df, weights=(1.0,), share=2.0)
+    assert mix.columns == df.columns
+    assert sorted((r.doc_id, len(r.text), r._k, r.size) for r in mix.collect()) == [(1, 400_000, "_k", "size")] * 2 + [(2, 3, "_k", "size")] * 2
+
+
 def test_empty(docs):
     assert mixing.mixed(docs([])).count() == 0
     assert mixing.repeated(docs([])).count() == 0

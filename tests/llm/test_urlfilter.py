@@ -29,3 +29,11 @@ def test_rules_and_verdicts(spark):
     assert got == cases
     assert urlfilter.judged(df.limit(0)).count() == 0
     assert {r.verdict for r in urlfilter.judged(df, rules=()).where("url like '%/en/8'").collect()} == {"allow"}
+
+
+def test_long_urls_repeats_and_columns_of_any_name(spark):
+    far = "http://x.test/" + "a/" * 200_000
+    cases = {far + "poker/win": "block", far: "allow", "http://x.test/" + "win/" * 1000: "allow", "http://x.test/win/bonus/free": "block", "http://x.test/winwin/unfree": "allow"}
+    df = spark.createDataFrame([(i, u, "own", "own") for i, u in enumerate(cases)], "page_id long, url string, hits string, _hits string")
+    rows = urlfilter.judged(df).collect()
+    assert {r.url: r.verdict for r in rows} == cases and {(r.hits, r._hits) for r in rows} == {("own", "own")}
