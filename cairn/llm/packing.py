@@ -67,19 +67,19 @@ class Shard:
         self.begin = np.searchsorted(doc, np.arange(len(ids) + 1))
         impact = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         order = np.argsort(self.terms, kind="stable")
-        self.term, self.doc, self.impact = self.terms[order].astype(np.int32), doc[order].astype(np.int32), impact[order].astype(np.float32)
-        self.terms, self.used = self.terms.astype(np.int32), 0
+        self.term, self.doc, self.impact = self.terms[order].astype(np.int32), doc[order].astype(np.int32), impact[order]
+        self.terms, self.used, self.listed = self.terms.astype(np.int32), 0, len(ids)
 
     def neighbours(self, seed: int, room: int) -> list[int]:
         """Unused remainders that share a term with the seed, best BM25 score first: as many as fill room, or all there are."""
-        if self.used * 2 > len(self.ids):  # the lists forget what is used
+        if self.used * 4 > self.listed:  # the lists forget what is used
             keep = self.left[self.doc] > 0
-            self.term, self.doc, self.impact, self.used = self.term[keep], self.doc[keep], self.impact[keep], 0
+            self.term, self.doc, self.impact = self.term[keep], self.doc[keep], self.impact[keep]
+            self.listed, self.used = self.listed - self.used, 0
         asked = self.terms[self.begin[seed] : self.begin[seed + 1]]
-        first, last = np.searchsorted(self.term, asked), np.searchsorted(self.term, asked, "right")
-        n = last - first
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.doc[at], self.impact[at], len(self.ids))
+        first, last = np.searchsorted(self.term, asked).tolist(), np.searchsorted(self.term, asked, "right").tolist()
+        doc, impact = (np.concatenate([x[a:b] for a, b in zip(first, last)]) for x in (self.doc, self.impact))
+        score = np.bincount(doc, impact, len(self.ids))
         score[seed] = 0
         found = np.flatnonzero((score > 0) & (self.left > 0))
         k, best = 16, found
