@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
+import json
 import re
 import struct
 import uuid
@@ -23,8 +25,12 @@ REVISIT_BYTES = 100
 PACKAGE_BYTES = 32 << 20
 #: Neighbouring records are read together up to so many bytes.
 RANGE_BYTES = 4 << 20
+#: An archive member of a package is closed when it has so many bytes.
+MEMBER_BYTES = 8 << 20
+#: Up to so many repeated payloads (some 100 bytes each) their digests are broadcast; beyond, rows are shuffled to them.
+BROADCAST_ROWS = 100_000
 DATE = "2020-01-01T00:00:00Z"
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+DATA, INDEX = "archive/data-{:03d}.warc.gz", "indexes/index.cdx.gz"
 
 
 # ---- reading a ZIP package by ranges
@@ -95,23 +101,63 @@ def data_offset(handle, member: tuple[int, int, int]) -> int:
     return at + 30 + n + e
 
 
-def index_entries(handle, found: dict) -> list[tuple[int, int]]:
-    """(offset, length) of all records in the data member, from the index member, in order of offset."""
-    at, size = data_offset(handle, found[INDEX]), found[INDEX][2]
-    lines = _range(handle, at, size).decode().splitlines()
-    return sorted((int(o), int(n)) for o, n in (line.rsplit(" ", 2)[1:] for line in lines))
+def content(handle, member: tuple[int, int, int]) -> bytes:
+    """A whole member, for indexes only: stored or deflated."""
+    method, at, size = member
+    if method == zipfile.ZIP_DEFLATED:
+        return zlib.decompress(_range(handle, data_offset(handle, (zipfile.ZIP_STORED, at, size)), size), -15)
+    return _range(handle, data_offset(handle, member), size)
+
+
+def located(lines) -> list[tuple[str, int, int]]:
+    """(file name, offset, length) of each line of an index: CDXJ, whose lines end in a JSON object, or CDX, whose first line names its fields.
+
+    Lines of CDXJ without an offset (headers) are passed over; without a legend, CDX has the usual eleven fields.
+    """
+    out, legend = [], "N b a m s k r M S V g".split()
+    for line in lines:
+        if line.lstrip().startswith("CDX "):
+            legend = line.split()[1:]
+        elif "{" in line:
+            entry = json.loads(line[line.index("{") :])
+            if "offset" in entry:
+                out.append((entry["filename"], int(entry["offset"]), int(entry["length"])))
+        elif line.strip():
+            entry = dict(zip(legend, line.split()))
+            out.append((entry["g"], int(entry["V"]), int(entry["S"])))
+    return out
+
+
+def index_entries(handle, found: dict) -> list[tuple[str, int, int]]:
+    """(archive member, offset, length) of all records, each once, by member and offset, from all indexes of a package, gzipped or not."""
+    entries = set()
+    for name, member in found.items():
+        if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", name):
+            data = content(handle, member)
+            entries.update(located((gzip.decompress(data) if name.endswith(".gz") else data).decode().splitlines()))
+    out = []
+    for name, offset, length in entries:
+        path = name if name in found else f"archive/{name.rpartition('/')[2]}"
+        if path not in found:
+            raise ValueError(f"the index names {name}, which the package lacks")
+        out.append((path, offset, length))
+    bare = {n for n, (_, _, size) in found.items() if n.startswith("archive/") and size} - {n for n, _, _ in out}
+    if bare:
+        raise ValueError(f"no index lists the records of {min(bare)}")
+    return sorted(out)
 
 
 def records(handle, size: int):
-    """(headers, block) of each record of a package; neighbouring records share a range read of bounded size."""
+    """(headers, block) of each record of a package; neighbouring records of a member share a range read of bounded size."""
     found = members(handle, size)
-    base, group = data_offset(handle, found[DATA]), []
+    group: list[tuple[str, int, int]] = []
     for entry in [*index_entries(handle, found), None]:
-        if group and (entry is None or entry[0] + entry[1] - group[0][0] > RANGE_BYTES):
-            first, last = group[0][0], group[-1]
-            data = _range(handle, base + first, last[0] + last[1] - first)
-            for o, n in group:
-                yield parse(zlib.decompress(data[o - first : o - first + n], 31))
+        if group and (entry is None or entry[0] != group[0][0] or entry[1] + entry[2] - group[0][1] > RANGE_BYTES):
+            name, first, _ = group[0]
+            data = _range(handle, data_offset(handle, found[name]) + first, max(o + n for _, o, n in group) - first)
+            for _, o, n in group:
+                record = data[o - first : o - first + n]
+                yield parse(zlib.decompress(record, 31) if record[:2] == b"\x1f\x8b" else record)
             group = []
         if entry is not None:
             group.append(entry)
@@ -129,42 +175,72 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 # ---- writing
 
 
+def record_id(page_id, digest: str) -> str:
+    """The name of a page's response, so that revisits can state it; pages without an id get a new one each."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'urn:x-page:{page_id}:{digest}')}>"
+
+
+def target_uri(page_id, url) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:x-page:{'none' if page_id is None else page_id}"
+
+
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """One gzip member: a response with its payload, or a revisit that names the response and keeps length and digest."""
     name = f"urn:x-page:{'none' if page_id is None else page_id}"
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else name
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     kind = "response" if refers_to is None else "revisit"
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"X-Page-ID: <{name}>", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target_uri(page_id, url)}", f"X-Page-ID: <{name}>", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: <urn:x-page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: <urn:x-page:{refers_to}>"]
     lines.append(f"Content-Length: {len(block)}")
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def package(parts: list[tuple[str, bytes]]) -> bytes:
-    """A ZIP with the records of (key, record) in one stored member and their index in another."""
-    at, lines = 0, []
-    for key, data in parts:
-        lines.append(f"{key} {at} {len(data)}")
+def sort_key(uri: str) -> str:
+    """The index key of a URI: its host's labels from the last to the first, then the rest."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        return uri
+    host, path = re.match(r"([^/?#]*)(.*)", rest, re.S).groups()
+    return ",".join(reversed(host.lower().split("."))) + ")" + (path or "/")
+
+
+def package(parts: list[tuple[str, str, bytes]]) -> bytes:
+    """A ZIP with the records of (URI, digest, record) in stored archive members, and their gzipped CDXJ index and a list of its files beside them."""
+    held, lines = [[]], []
+    at = 0
+    for uri, digest, data in parts:
+        if at and at + len(data) > MEMBER_BYTES:
+            held.append([])
+            at = 0
+        entry = {"url": uri, "mime": "text/html", "status": "200", "digest": f"sha256:{digest}", "length": str(len(data)), "offset": str(at), "filename": DATA.format(len(held) - 1).rpartition("/")[2]}
+        lines.append(f"{sort_key(uri)} {re.sub('[^0-9]', '', DATE)} {json.dumps(entry)}")
+        held[-1].append(data)
         at += len(data)
+    files = {DATA.format(k): b"".join(m) for k, m in enumerate(held)}
+    files[INDEX] = gzip.compress("\n".join(sorted(lines)).encode(), 1, mtime=0)
+    resources = [{"name": n.rpartition("/")[2], "path": n, "hash": "sha256:" + hashlib.sha256(d).hexdigest(), "bytes": len(d)} for n, d in files.items()]
+    files["datapackage.json"] = json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": resources}).encode()
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        z.writestr(zipfile.ZipInfo(DATA), b"".join(d for _, d in parts))
-        z.writestr(zipfile.ZipInfo(INDEX), "\n".join(sorted(lines)).encode())
+        for n, d in files.items():
+            z.writestr(zipfile.ZipInfo(n), d)
     return out.getvalue()
 
 
 def with_first(pages: DataFrame) -> DataFrame:
     """pages(id, url, html) with digest and refers_to: of equal payloads of REVISIT_BYTES or more, the least id (null for it itself).
 
-    Only digests and ids meet in the sum; the table of digests that occur more than once is joined back.
+    Only digests and ids meet in the sum. The table of digests that occur more than once is written and counted, then joined back:
+    broadcast up to BROADCAST_ROWS, so that html stays where it is; else by a shuffle whose hot digests Spark splits.
     """
     keyed = pages.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     large = keyed.where(F.octet_length("html") >= REVISIT_BYTES)
-    again = large.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("digest", "first")
+    again = written(large.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("digest", "first"), "repeats")
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
     other = F.coalesce(F.col("id") != F.col("first"), F.col("first").isNotNull()) & (F.octet_length("html") >= REVISIT_BYTES)
     return keyed.join(again, "digest", "left").select("id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -189,8 +265,9 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         for batch in batches:
             for row in (r for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
-                parts.append((f"page-{row['id']}", record_bytes(row["id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["refers_to"])))
-                held += len(parts[-1][1])
+                record = record_bytes(row["id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["refers_to"])
+                parts.append((target_uri(row["id"], row["url"]), row["digest"], record))
+                held += len(record)
                 if held >= PACKAGE_BYTES:
                     yield flush()
                     parts, held = [], 0
@@ -202,9 +279,11 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def read_packages(files: DataFrame, folder: str, partitions: int) -> DataFrame:
-    """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits).
+    """A row per response or revisit: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits).
 
-    A response whose payload has not the length or digest it states raises an error.
+    A response whose payload has not the length or SHA-256 it states raises an error. Packages of other writers may lack the
+    page's number (null), the length and the digest (both of the payload; null for revisits), and may hold records of other
+    types, which are passed over. Archive members must be stored and listed in an index; indexes may be compressed.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()])))
@@ -220,11 +299,18 @@ def read_packages(files: DataFrame, folder: str, partitions: int) -> DataFrame:
                 with fs.open_input_file(path) as handle:
                     out, held = [], 0
                     for head, block in records(handle, handle.size()):
-                        digest, n = head["warc-payload-digest"].partition(":")[2], int(head["x-payload-length"])
+                        if head["warc-type"] not in ("response", "revisit"):
+                            continue
+                        kind, _, digest = head.get("warc-payload-digest", "").partition(":")
+                        digest = digest if kind == "sha256" else None
+                        n = int(head["x-payload-length"]) if "x-payload-length" in head else None
                         payload = block.partition(b"\r\n\r\n")[2] if head["warc-type"] == "response" else None
-                        if payload is not None and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError(f"a record of {path} is broken")
-                        out.append((number(head["x-page-id"]), n, digest, head["warc-type"], number(head.get("x-refers-to-page")), head["warc-target-uri"], payload))
+                        if payload is not None:
+                            size, own = len(payload), hashlib.sha256(payload).hexdigest()
+                            if n not in (None, size) or digest not in (None, own):
+                                raise ValueError(f"a record of {path} is broken")
+                            n, digest = size, own
+                        out.append((number(head.get("x-page-id")), n, digest, head["warc-type"], number(head.get("x-refers-to-page")), head.get("warc-target-uri"), payload))
                         held += len(payload or b"")
                         if held > 8 << 20 or len(out) >= 5000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
