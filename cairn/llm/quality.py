@@ -13,8 +13,9 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Thresholds tried for each measure, from the labelled rows' quantiles.
 CUTS = 16
-#: A list has at most so many rules of at most so many conditions; a rule needs this precision on rows it was not grown on.
-MAX_RULES, MAX_CONDITIONS, PRECISION = 6, 3, 0.9
+#: A list has at most so many rules of at most so many conditions. On rows it was not grown on a rule needs this precision, and the
+#: lower end of the precision's Wilson interval (80 %, both sides) must reach SUPPORTED, so that a handful of rows is not enough.
+MAX_RULES, MAX_CONDITIONS, PRECISION, SUPPORTED, Z = 6, 3, 0.9, 0.75, 1.28
 MEASURES = ("n_words", "mean_chars", "symbols", "dup_lines", "repeated")
 
 
@@ -112,11 +113,20 @@ def _bits(p: float, n: float) -> float:
     return log2((p + 1e-9) / (p + n + 2e-9)) if p + n else -60.0
 
 
+def lower_bound(p: float, n: float) -> float:
+    """The lower end of the Wilson interval for p of p + n rows."""
+    total = p + n
+    if not total:
+        return 0.0
+    share, z2 = p / total, Z * Z
+    return (share + z2 / (2 * total) - Z * ((share * (1 - share) + z2 / (4 * total)) / total) ** 0.5) / (1 + z2 / total)
+
+
 def learn(labelled: DataFrame) -> list[Rule]:
     """A decision list by sequential covering from rows with the statistics, `low` (1 or 0) and `grow` (boolean).
 
     A rule grows by the condition of most FOIL gain on the growing rows, then loses from its end what doesn't help on the pruning
-    rows; it is kept if it holds there for PRECISION, and the rows that it covers leave. Labelled rows are summed by the bins of
+    rows; it is kept if it holds there for PRECISION and SUPPORTED, and the rows that it covers leave. Labelled rows are summed by the bins of
     their measures first; every step is a sum over these. No labels, or labels of one kind: no rules.
     """
     names = list(MEASURES)
@@ -156,7 +166,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
         value = [((a - b) / (a + b) if a + b else -1.0, -i) for i, (a, b) in enumerate(held)]
         k = -max(value)[1]
         a, b = held[k]
-        if not a or a / (a + b) < PRECISION:
+        if not a or a / (a + b) < PRECISION or lower_bound(a, b) < SUPPORTED:
             tests.remove(chosen[0])  # rules that begin with it are set aside, and others tried
             failed += 1
             continue
