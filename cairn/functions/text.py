@@ -93,7 +93,11 @@ def significance(base: Column, sub: Column, cost: Column, artefact: Column, ego:
     return F.when(boon(base, sub, cost).isNotNull(), 0).when(artefact, 1).when(ego.isNotNull() | F.coalesce(branded, F.lit(False)) | ~telling, 2).otherwise(3)
 
 
-def boon(base: Column, sub: Column, cost: Column, kinds=(("potion", "experience", "xp"), ("scroll", "acquirement", "acq"))) -> Column:
+#: Kinds that help a run most, and their labels.
+BOONS = (("potion", "experience", "xp"), ("scroll", "acquirement", "acq"))
+
+
+def boon(base: Column, sub: Column, cost: Column, kinds=BOONS) -> Column:
     """The label of an unpriced item of a kind that helps a run most."""
     out = None
     for b, s, label in kinds:

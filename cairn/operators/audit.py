@@ -16,10 +16,10 @@ def audit_summary(entries: DataFrame) -> DataFrame:
 
 def audit_short(levels: DataFrame, fills: DataFrame) -> DataFrame:
     """Containers with fewer places outside portals than the most of those equally deep."""
-    own = levels.where(~is_portal(F.col("place"))).groupBy(KEY).agg(F.count("*").alias("places"))
+    own = levels.where(~is_portal(F.col("place"))).groupBy(KEY).agg(F.count("*").alias("places"), F.array_join(F.array_sort(F.collect_list("place")), ",").alias("held"))
     both = own.join(fills, KEY)
     most = both.groupBy("version", "depth").agg(F.max("places").alias("most"))
-    return both.join(most, ["version", "depth"]).where("places < most").select(*KEY, "depth", "places", "most")
+    return both.join(most, ["version", "depth"]).where("places < most").select(*KEY, "depth", "places", "most", "held")
 
 
 def audit_truncated(fills: DataFrame, shallow: int = 8) -> DataFrame:
@@ -56,12 +56,23 @@ def audit_names(entries: DataFrame) -> DataFrame:
     return entries.where("name is null and (base_type is null or sub_type is null or coalesce(artefact, false))")
 
 
-def rate_curve(log: DataFrame, buckets: int) -> DataFrame:
-    """log(at seconds, seeds, secs) in equal slices of time: (bucket, runs, seeds per minute)."""
+def _in_slices(log: DataFrame, buckets: int) -> DataFrame:
     span = log.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     width = (F.col("hi") - F.col("lo") + 1) / buckets
-    binned = log.crossJoin(F.broadcast(span)).withColumn("bucket", F.floor((F.col("at") - F.col("lo")) / width).cast("int"))
-    return binned.groupBy("bucket").agg(F.count("*").alias("runs"), (F.sum("seeds") * 60 / F.sum("secs")).alias("per_min"))
+    return log.crossJoin(F.broadcast(span)).withColumn("bucket", F.floor((F.col("at") - F.col("lo")) / width).cast("int"))
+
+
+def rate_curve(log: DataFrame, buckets: int) -> DataFrame:
+    """log(at seconds, seeds, secs) in equal slices of time: (bucket, runs, seeds per minute)."""
+    return _in_slices(log, buckets).groupBy("bucket").agg(F.count("*").alias("runs"), (F.sum("seeds") * 60 / F.sum("secs")).alias("per_min"))
+
+
+def rate_drift(log: DataFrame, buckets: int) -> DataFrame:
+    """(first, last, percent): seeds per minute in the first and the last slice, and the change; null where a slice has no time."""
+    of = lambda b, c: F.sum(F.when(F.col("bucket") == b, F.col(c)))
+    rate = lambda b: F.try_divide(of(b, "seeds") * 60, of(b, "secs"))
+    ends = _in_slices(log, buckets).agg(rate(0).alias("first"), rate(buckets - 1).alias("last"))
+    return ends.withColumn("percent", F.try_divide((F.col("last") - F.col("first")) * 100, F.col("first")))
 
 
 def exclusion_stats(draws: DataFrame) -> DataFrame:
@@ -69,6 +80,13 @@ def exclusion_stats(draws: DataFrame) -> DataFrame:
     return draws.groupBy("version", "group_name", "drawn").agg(F.count("*").alias("containers"))
 
 
+def exclusion_states(draws: DataFrame) -> DataFrame:
+    """(version, containers, conflicts, states): containers that hold two members of a group or more, and distinct vectors of draws."""
+    vector = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_name", "drawn"))), lambda x: x["drawn"]), "|")
+    each = draws.groupBy(KEY).agg(F.bool_or(F.col("drawn").startswith("conflict")).alias("conflict"), vector.alias("state"))
+    return each.groupBy("version").agg(F.count("*").alias("containers"), F.count_if("conflict").alias("conflicts"), F.countDistinct("state").alias("states"))
+
+
 def richness(entries: DataFrame) -> DataFrame:
     """By version, mean and spread of distinct kinds in a container, and their correlation between early and late places."""
     kind = F.concat_ws(":", "base_type", "sub_type")
@@ -77,15 +95,36 @@ def richness(entries: DataFrame) -> DataFrame:
     return each.groupBy("version").agg(F.avg("kinds").alias("mean_kinds"), F.max("kinds").alias("most_kinds"), F.corr("early", "late").alias("r"))
 
 
+def _kind_sets(entries: DataFrame) -> DataFrame:
+    return entries.where("base_type is not null").groupBy(KEY).agg(F.array_sort(F.collect_set(F.concat_ws(":", "base_type", "sub_type"))).alias("kinds"))
+
+
+def _held_together(sets: DataFrame, least: int) -> DataFrame:
+    pairs = F.flatten(F.transform("kinds", lambda a, i: F.transform(F.slice("kinds", i + 2, F.size("kinds")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return sets.select("version", F.explode(pairs).alias("p")).groupBy("version", "p.a", "p.b").agg(F.count("*").alias("both")).where(F.col("both") >= least)
+
+
+def lift_by_richness(entries: DataFrame, width: int = 4, least: int = 1) -> DataFrame:
+    """(version, a, b, both, expected, lift) of kinds held together, controlled by richness: what is expected is summed over buckets of
+    containers with alike many kinds (`width` numbers each), so that rich containers alone lift no pair. Only pairs that are held meet
+    the buckets."""
+    sets = _kind_sets(entries).withColumn("bucket", F.floor(F.size("kinds") / width))
+    sizes = sets.groupBy("version", "bucket").agg(F.count("*").alias("n"))
+    single = sets.select("version", "bucket", F.explode("kinds").alias("kind")).groupBy("version", "bucket", "kind").agg(F.count("*").alias("have"))
+    a = single.join(sizes, ["version", "bucket"]).select("version", "bucket", F.col("kind").alias("a"), F.col("have").alias("have_a"), "n")
+    b = single.select("version", "bucket", F.col("kind").alias("b"), F.col("have").alias("have_b"))
+    rated = _held_together(sets, least).join(a, ["version", "a"]).join(b, ["version", "bucket", "b"])
+    expected = rated.groupBy("version", "a", "b", "both").agg(F.sum(F.col("have_a") * F.col("have_b") / F.col("n")).alias("expected"))
+    return expected.withColumn("lift", F.col("both") / F.col("expected"))
+
+
 def pair_lift(entries: DataFrame, least: int = 1) -> DataFrame:
     """(version, a, b, both, lift) of kinds held together. Pairs are formed within a container's distinct kinds, of which there are
     as many as the vocabulary at most, and are summed before they are shuffled."""
-    kind = F.concat_ws(":", "base_type", "sub_type")
-    sets = entries.where("base_type is not null").groupBy(KEY).agg(F.array_sort(F.collect_set(kind)).alias("kinds"))
+    sets = _kind_sets(entries)
     total = sets.groupBy("version").agg(F.count("*").alias("n"))
     single = sets.select("version", F.explode("kinds").alias("kind")).groupBy("version", "kind").agg(F.count("*").alias("have"))
-    pairs = F.flatten(F.transform("kinds", lambda a, i: F.transform(F.slice("kinds", i + 2, F.size("kinds")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = sets.select("version", F.explode(pairs).alias("p")).groupBy("version", "p.a", "p.b").agg(F.count("*").alias("both")).where(F.col("both") >= least)
+    both = _held_together(sets, least)
     a, b = single.select("version", F.col("kind").alias("a"), F.col("have").alias("have_a")), single.select("version", F.col("kind").alias("b"), F.col("have").alias("have_b"))
     return both.join(a, ["version", "a"]).join(b, ["version", "b"]).join(total, "version").select("version", "a", "b", "both", (F.col("both") * F.col("n") / (F.col("have_a") * F.col("have_b"))).alias("lift"))
 
@@ -117,6 +156,13 @@ def class_breakdown(entries: DataFrame) -> DataFrame:
     return entries.groupBy("version", "base_type").agg(F.count("*").alias("entries"), F.count_if(F.col("cost").isNotNull()).alias("priced"), F.count_if("artefact").alias("artefacts"))
 
 
+def places_of_feature(features: DataFrame, feat: str) -> DataFrame:
+    """(version, place, n, share): how a feature that each container has once at most is spread over places."""
+    counts = features.where(F.col("feat") == feat).groupBy("version", "place").agg(F.count("*").alias("n"))
+    total = counts.groupBy("version").agg(F.sum("n").alias("total"))
+    return counts.join(total, "version").select("version", "place", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def prefix_extension_diff(shallow: DataFrame, deep: DataFrame) -> DataFrame:
     """Rows that only one of two fills has, with the side."""
     return shallow.exceptAll(deep).withColumn("side", F.lit("shallow")).unionByName(deep.exceptAll(shallow).withColumn("side", F.lit("deep")))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import display_name, entry_spells
-from ..functions.places import ALTARS, PORTALS, branch_of_feat, is_portal, mask_feats, reach_with_parent
-from ..functions.text import title
+from ..functions.places import ALTARS, PORTALS, branch_of_feat, is_portal, mask_feats, reach_of, reach_with_parent
+from ..functions.text import BOONS, boon, significance, title
 from .search import KEY
 
 PLACE = [*KEY, "place"]
 
 
-def container_detail(levels: DataFrame, entries: DataFrame) -> DataFrame:
-    """Every place with its entries in order, empty places too."""
-    held = entries.groupBy(PLACE).agg(F.count("*").alias("entries"), F.array_join(F.array_sort(F.collect_list(F.coalesce("name", F.concat_ws(" ", "base_type", "sub_type")))), "; ").alias("listing"))
+def _label() -> Column:
+    return F.coalesce("name", "feat", F.concat_ws(" ", "base_type", "sub_type"))
+
+
+def container_detail(levels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every place with its rows in order of category and name, told with their spells and properties; empty places too."""
+    spells = F.when(F.size("spells") > 0, F.concat(F.lit(" ("), F.array_join("spells", ", "), F.lit(")"))).otherwise("")
+    props = F.transform("props", lambda p: F.concat(p["prop"], F.lit(" "), p["value"].cast("string")))
+    told = F.concat(_label(), spells, F.when(F.size("props") > 0, F.concat(F.lit(" {"), F.array_join(props, ", "), F.lit("}"))).otherwise(""))
+    ordered = F.array_sort(F.collect_list(F.struct("category", _label().alias("label"), told.alias("told"))))
+    held = rows.groupBy(PLACE).agg(F.count("*").alias("entries"), F.array_join(F.transform(ordered, lambda x: x["told"]), "; ").alias("listing"))
     return levels.join(held, PLACE, "left").na.fill(0, ["entries"]).na.fill("", ["listing"])
 
 
@@ -27,12 +35,26 @@ def with_places(entries: DataFrame, levels: DataFrame) -> DataFrame:
     return entries.join(here, PLACE)
 
 
-def summaries(entries: DataFrame, levels: DataFrame, features: DataFrame) -> DataFrame:
-    """(container, temple, artefacts, altars, portals): one conditional sum for each table."""
-    items = entries.where("cost is null").groupBy(KEY).agg(F.count_if("artefact").alias("artefacts"))
-    places = levels.groupBy(KEY).agg(F.min(F.when(F.col("place") == "Temple", F.coalesce("parent", "place"))).alias("temple"), F.array_join(F.array_sort(F.collect_set(F.when(is_portal(F.col("place")), F.col("place")))), ",").alias("portals"))
-    altars = features.where("feat like 'altar_%'").groupBy(KEY).agg(F.array_join(F.array_sort(F.collect_set("feat")), ",").alias("altars"))
-    return places.join(items, KEY, "left").join(altars, KEY, "left").na.fill(0, ["artefacts"]).na.fill("", ["altars"])
+#: Altars that no temple holds, so that a listing names them.
+RARE_ALTARS = ("altar_lugonu", "altar_beogh", "altar_jiyva", "altar_ignis")
+
+
+def summaries(entries: DataFrame, levels: DataFrame, features: DataFrame, boons=BOONS, rare: tuple[str, ...] = RARE_ALTARS) -> DataFrame:
+    """(container, temple, artefacts, a column for each boon, altars, portals): one conditional sum for each table.
+
+    temple: the earliest place with its entrance; artefacts and boons: unpriced ones, boons by quantity; altars: the rare ones, each
+    once; portals: as place@parent, where the parent is known.
+    """
+    of_boon = boon(F.col("base_type"), F.col("sub_type"), F.col("cost"), boons)
+    count = F.coalesce("quantity", F.lit(1))
+    labels = [label for _, _, label in boons]
+    items = entries.where("cost is null").groupBy(KEY).agg(F.count_if("artefact").alias("artefacts"), *[F.sum(F.when(of_boon == x, count)).alias(x) for x in labels])
+    portal = F.when(is_portal(F.col("place")) & F.col("parent").isNotNull(), F.concat("place", F.lit("@"), "parent"))
+    places = levels.groupBy(KEY).agg(F.array_join(F.array_sort(F.collect_set(portal)), ",").alias("portals"))
+    temple = F.min(F.when(F.col("feat") == "enter_temple", F.struct(reach_of(F.col("place")).alias("reach"), "place")))["place"]
+    altars = F.array_join(F.array_sort(F.collect_set(F.when(F.col("feat").isin(*rare), F.col("feat")))), ",")
+    marks = features.groupBy(KEY).agg(temple.alias("temple"), altars.alias("altars"))
+    return places.join(items, KEY, "left").join(marks, KEY, "left").na.fill(0, ["artefacts", *labels]).na.fill("", ["altars"])
 
 
 def recover_parents(levels: DataFrame, features: DataFrame) -> DataFrame:
@@ -57,13 +79,24 @@ def shop_stock(entries: DataFrame) -> DataFrame:
     return stock.drop("shop_type").join(shop, on, "left").withColumn("shop_type", F.col("_type")).select(*stock.columns)
 
 
-def place_sections(entries: DataFrame) -> DataFrame:
-    """Entries with the section that lists them; every entry is in one."""
-    from ..functions.text import significance
+def place_sections(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """Rows with the section that lists them (notable, sundries, monsters, altars, ways_on, features or shops), and a row of altars for
+    each bit of a place's mask. Every row is in one section; vaults are among the features, priced items among the shops. rank is the
+    significance of an unpriced item."""
+    item, feat = F.col("category") == "items", F.col("feat")
+    rank = significance(*[F.col(c) for c in ("base_type", "sub_type", "cost")], F.coalesce("artefact", F.lit(False)), F.col("ego"), F.lit(False), F.col("spells"), F.coalesce("name", F.lit("")))
+    goods = F.when(F.col("cost").isNotNull(), "shops").when(rank < 3, "notable").otherwise("sundries")
+    found = F.when(feat == "enter_shop", "shops").when(feat.startswith("altar_"), "altars").when(feat.startswith("enter_"), "ways_on").otherwise("features")
+    section = F.when(item, goods).when(F.col("category") == "monsters", "monsters").otherwise(found)
+    masked = levels.where("altar_mask is not null").select(*PLACE, F.lit("features").alias("category"), F.explode(mask_feats(F.col("altar_mask"))).alias("feat"))
+    marked = rows.withColumns({"section": section, "rank": F.when(item & F.col("cost").isNull(), rank)})
+    return marked.unionByName(masked.withColumn("section", F.lit("altars")), allowMissingColumns=True)
+
 
-    rank = significance(*[F.col(c) for c in ("base_type", "sub_type", "cost", "artefact", "ego")], F.lit(False), F.col("spells"), F.coalesce("name", F.lit("")))
-    section = F.when(F.col("cost").isNotNull(), "shops").when(F.col("base_type").isNull(), "other").when(rank <= 2, "notable").otherwise("sundries")
-    return entries.withColumn("section", section)
+def ordered_sections(sections: DataFrame) -> DataFrame:
+    """Rows of place_sections() with their label and position in the section: items by significance, stock dearest first, then by name."""
+    labelled = sections.withColumn("label", _label())
+    return labelled.withColumn("position", F.row_number().over(Window.partitionBy(*PLACE, "section").orderBy("rank", F.desc_nulls_last("cost"), "label")))
 
 
 def altars(levels: DataFrame, features: DataFrame) -> DataFrame:
@@ -73,9 +106,12 @@ def altars(levels: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def entrances(features: DataFrame, levels: DataFrame) -> DataFrame:
-    """(container, branch, place, reach) of ways in, but for shops; in order of reach, then branch."""
-    ways = features.where("feat like 'enter_%' and feat <> 'enter_shop'").join(levels, PLACE, "left")
-    return ways.select(*KEY, branch_of_feat(F.col("feat")).alias("branch"), "place", reach_with_parent(F.col("place"), F.col("parent")).alias("reach"))
+    """(container, branch, place, reach, position) of ways in, but for shops, with what features tell of their spot, timeout and toll;
+    position is by reach, then branch, within a container."""
+    told = [c for c in ("x", "y", "timeout_turns", "toll_note") if c in features.columns]
+    ways = features.where("feat like 'enter_%' and feat <> 'enter_shop'").join(levels.select(*PLACE, "parent"), PLACE, "left")
+    found = ways.select(*KEY, branch_of_feat(F.col("feat")).alias("branch"), "place", reach_with_parent(F.col("place"), F.col("parent")).alias("reach"), *told)
+    return found.withColumn("position", F.row_number().over(Window.partitionBy(KEY).orderBy("reach", "branch", "place")))
 
 
 def exclusion_draws(entries: DataFrame, groups: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:

@@ -391,9 +391,11 @@ def F7_item_label(spark, d):
     return A.entries(spark, d).select("base_type", "sub_type", text.item_label(F.col("base_type"), F.col("sub_type")).alias("label")).distinct()
 
 
-@query("SELECT version, CASE WHEN artefact THEN 1 WHEN ego IS NOT NULL OR base_type = 'book' THEN 2 ELSE 3 END AS class, count(*) AS n FROM entries GROUP BY ALL")
+@query("SELECT version, CASE WHEN artefact THEN 1 WHEN ego IS NOT NULL THEN 2 WHEN base_type = 'book' AND sub_type <> 'ring' THEN 2 ELSE 3 END AS class, count(*) AS n FROM entries GROUP BY ALL")
 def F16_significance(spark, d):
-    c = text.significance(*[F.col(x) for x in ("base_type", "sub_type", "cost", "artefact", "ego")], F.lit(False), F.col("spells"), F.lit(""))
+    """Books of one kind tell their spell by name."""
+    name = F.when(F.col("sub_type") == "ring", F.concat(F.lit("parchment of "), F.get("spells", F.lit(0))))
+    c = text.significance(*[F.col(x) for x in ("base_type", "sub_type", "cost", "artefact", "ego")], F.lit(False), F.col("spells"), F.coalesce(name, F.lit("")))
     return A.entries(spark, d).groupBy("version", c.alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -448,10 +450,12 @@ def S11_upsert_places(spark, d):
     return ingest.upsert_places(rows, batch).groupBy(views.PLACE).agg(F.count("*").alias("n"), F.bool_or("replaced").alias("replaced"))
 
 
-@query("SELECT row_number() OVER (ORDER BY val) AS id, val FROM (SELECT DISTINCT p_name AS val FROM part)")
+@query("SELECT row_number() OVER (ORDER BY late, val) AS id, val FROM (SELECT p_name AS val, NOT bool_or(p_partkey % 2 = 0) AS late FROM part GROUP BY ALL)")
 def S10_dictionary(spark, d):
-    part = A._table(spark, d, "part")
-    return ingest.extend_dictionary(spark.createDataFrame([], "id long, val string"), part.select(F.col("p_name").alias("val")))
+    """Names of even keys are known: they keep their ids, the others follow."""
+    part = A._table(spark, d, "part").select("p_partkey", F.col("p_name").alias("val"))
+    known = ingest.extend_dictionary(spark.createDataFrame([], "id long, val string"), part.where("p_partkey % 2 = 0").select("val"))
+    return ingest.extend_dictionary(known, part.select("val"))
 
 
 @query("SELECT count(*) AS entries FROM entries ANTI JOIN (SELECT * FROM fills WHERE origin = 'submit') USING (version, container_id)")
@@ -474,17 +478,43 @@ def S13_fixed_set_conflicts(spark, d):
 # ---- views
 
 
-@query("SELECT l.version, l.container_id, l.place, l.parent, count(e.place) AS entries, coalesce(string_agg(coalesce(e.name, e.base_type || ' ' || e.sub_type), '; ' ORDER BY coalesce(e.name, e.base_type || ' ' || e.sub_type)), '') AS listing FROM levels l LEFT JOIN entries e USING (version, container_id, place) GROUP BY ALL")
+_PARCHMENT = "base_type = 'book' AND sub_type = 'ring' AND NOT artefact"
+#: Everything in a place; a book of one kind is named by its spell.
+_ROWS = """keys AS (SELECT DISTINCT version, container_id, CAST(container_id AS BIGINT) AS k FROM entries),
+rows_ AS (SELECT version, container_id, place, 'items' AS category, base_type, sub_type, ego, cost, artefact, NULL AS feat,
+    CASE WHEN {parchment} THEN 'parchment of ' || spell ELSE coalesce(name, base_type || ' ' || sub_type) END AS label,
+    CASE WHEN base_type = 'book' THEN ' (' || spell || ')' ELSE '' END || CASE WHEN artefact THEN ' {{' || prop1 || ' ' || CAST(value1 AS VARCHAR) || ', ' || prop2 || ' ' || CAST(value2 AS VARCHAR) || '}}' ELSE '' END AS more FROM entries
+  UNION ALL SELECT version, container_id, place, 'features', NULL, NULL, NULL, NULL, NULL, feat, feat, '' FROM features
+  UNION ALL SELECT version, container_id, 'D:1', 'monsters', NULL, NULL, NULL, NULL, NULL, NULL, beast, '' FROM keys, (VALUES ('orc'), ('rat')) b(beast) WHERE k % 3 = 0
+  UNION ALL SELECT version, container_id, 'D:1', 'vaults', NULL, NULL, NULL, NULL, NULL, NULL, 'a vault', '' FROM keys WHERE k % 5 = 4)""".format(parchment=_PARCHMENT)
+
+
+def _rows(spark, d):
+    """(entries written once, everything in a place)."""
+    from ..sources.tables import written
+
+    held = written(A.entries(spark, d).withColumn("name", F.expr(f"case when {_PARCHMENT} then concat('parchment of ', spells[0]) else name end")), "entries")
+    return held, A.place_rows(held)
+
+
+@query("""SELECT l.version, l.container_id, l.place, l.parent, count(e.place) AS entries, coalesce(string_agg(label || more, '; ' ORDER BY category, label, label || more), '') AS listing
+  FROM (SELECT * FROM levels UNION ALL SELECT version, container_id, 'Zot:5', NULL FROM keys WHERE k % 2 = 0) l LEFT JOIN rows_ e USING (version, container_id, place) GROUP BY ALL""", _ROWS)
 def V1_container_detail(spark, d):
-    return views.container_detail(A.levels(spark, d), A.entries(spark, d))
+    held, rows = _rows(spark, d)
+    empty = held.where("cast(container_id as long) % 2 = 0").select(KEY).distinct().selectExpr("version", "container_id", "'Zot:5' as place", "cast(null as string) as parent")
+    return views.container_detail(A.levels_of(held).unionByName(empty), rows)
 
 
-@query("""SELECT version, container_id, min(CASE WHEN place = 'Temple' THEN coalesce(parent, place) END) AS temple, coalesce(string_agg(place, ',') FILTER (WHERE place = 'Sewer'), '') AS portals,
-  coalesce(any_value(a.artefacts), 0) AS artefacts, coalesce(any_value(f.altars), '') AS altars FROM levels
-  LEFT JOIN (SELECT version, container_id, count(*) FILTER (WHERE artefact) AS artefacts FROM entries WHERE cost IS NULL GROUP BY ALL) a USING (version, container_id)
-  LEFT JOIN (SELECT version, container_id, string_agg(DISTINCT feat, ',') AS altars FROM features WHERE feat LIKE 'altar_%' GROUP BY ALL) f USING (version, container_id) GROUP BY version, container_id""")
+@query("""SELECT l.version, l.container_id, temple, portals, coalesce(artefacts, 0) AS artefacts, coalesce(xp, 0) AS xp, coalesce(acq, 0) AS acq, coalesce(altars, '') AS altars
+  FROM (SELECT version, container_id, coalesce(string_agg(place || '@' || parent, ',') FILTER (WHERE place = 'Sewer' AND parent IS NOT NULL), '') AS portals FROM levels GROUP BY ALL) l
+  LEFT JOIN (SELECT version, container_id, count(*) FILTER (WHERE artefact) AS artefacts, CAST(sum(coalesce(quantity, 1)) FILTER (WHERE base_type = 'potion' AND sub_type = 'ring') AS BIGINT) AS xp,
+    CAST(sum(coalesce(quantity, 1)) FILTER (WHERE base_type = 'scroll' AND sub_type = 'bolt') AS BIGINT) AS acq FROM entries WHERE cost IS NULL GROUP BY ALL) a USING (version, container_id)
+  LEFT JOIN (SELECT version, container_id, min(place) FILTER (WHERE feat = 'enter_temple') AS temple, string_agg(feat, ',') FILTER (WHERE feat = 'altar_trog') AS altars FROM features GROUP BY ALL) f USING (version, container_id)""")
 def V2_summaries(spark, d):
-    return views.summaries(A.entries(spark, d), A.levels(spark, d), A.features(spark, d))
+    from ..sources.tables import written
+
+    e = written(A.entries(spark, d).select(*views.PLACE, "row_parent", "base_type", "sub_type", "quantity", "cost", "artefact"), "entries")
+    return views.summaries(e, A.levels_of(e), A.features_of(e), (("potion", "ring", "xp"), ("scroll", "bolt", "acq")), ("altar_trog",))
 
 
 @query("SELECT version, container_id, place, count(*) AS stock, round(sum(cost), 2) AS total, count(*) FILTER (WHERE artefact) AS artefacts FROM entries WHERE cost IS NOT NULL GROUP BY ALL")
@@ -492,14 +522,39 @@ def V4_shops(spark, d):
     return views.shops(A.entries(spark, d)).withColumn("total", F.round("total", 2))
 
 
-@query("SELECT version, CASE WHEN cost IS NOT NULL THEN 'shops' WHEN artefact OR ego IS NOT NULL OR base_type = 'book' THEN 'notable' ELSE 'sundries' END AS section, count(*) AS n FROM entries GROUP BY ALL")
+_SECTIONS = _ROWS + f""", sections AS (SELECT *, CASE WHEN category = 'monsters' THEN 'monsters' WHEN category = 'items' AND cost IS NOT NULL OR feat = 'enter_shop' THEN 'shops'
+    WHEN category = 'items' THEN CASE WHEN rank < 3 THEN 'notable' ELSE 'sundries' END WHEN feat LIKE 'altar_%' THEN 'altars' WHEN feat LIKE 'enter_%' THEN 'ways_on' ELSE 'features' END AS section
+  FROM (SELECT version, container_id, place, category, feat, cost, label, CASE WHEN category = 'items' AND cost IS NULL THEN CASE WHEN artefact THEN 1 WHEN ego IS NOT NULL THEN 2 WHEN base_type = 'book' AND NOT ({_PARCHMENT}) THEN 2 ELSE 3 END END AS rank FROM rows_)
+  UNION ALL SELECT version, container_id, place, 'features', feat, NULL, feat, NULL, 'altars' FROM levels, (VALUES (0, '{places.ALTARS[0]}'), (1, '{places.ALTARS[1]}'), (2, '{places.ALTARS[2]}')) b(bit, feat)
+    WHERE place = 'Temple' AND (CAST(container_id AS BIGINT) >> bit) % 2 = 1)"""
+
+
+@query("SELECT version, place, section, count(*) AS n FROM sections GROUP BY ALL", _SECTIONS)
 def V3_place_sections(spark, d):
-    return views.place_sections(A.entries(spark, d).withColumn("name", F.lit("x"))).groupBy("version", "section").agg(F.count("*").alias("n"))
+    held, rows = _rows(spark, d)
+    return views.place_sections(rows, A.masked_levels_of(held)).groupBy("version", "place", "section").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT version, container_id, CASE feat WHEN 'enter_temple' THEN 'Temple' ELSE 'Sewer' END AS branch, place, {reach_sql('place')} AS reach FROM features WHERE feat IN ('enter_temple', 'enter_sewer')")
+@query("SELECT version, container_id, place, section, label, CAST(row_number() OVER (PARTITION BY version, container_id, place, section ORDER BY rank NULLS FIRST, cost DESC NULLS LAST, label) AS INTEGER) AS position FROM sections", _SECTIONS)
+def O7_ordered_sections(spark, d):
+    held, rows = _rows(spark, d)
+    return views.ordered_sections(views.place_sections(rows, A.masked_levels_of(held))).select(*views.PLACE, "section", "label", "position")
+
+
+@query(f"""SELECT version, container_id, CASE feat WHEN 'enter_temple' THEN 'Temple' ELSE 'Sewer' END AS branch, place, {reach_sql('place')} AS reach, CAST(k % 80 AS INTEGER) AS x, CAST(k % 70 AS INTEGER) AS y,
+    CASE WHEN feat = 'enter_sewer' THEN CAST(k % 50 * 10 AS INTEGER) END AS timeout_turns, CASE WHEN k % 7 = 0 THEN CAST(k % 90 AS VARCHAR) || ' gold' END AS toll_note,
+    CAST(row_number() OVER (PARTITION BY version, container_id ORDER BY {reach_sql('place')}, CASE feat WHEN 'enter_temple' THEN 'Temple' ELSE 'Sewer' END, place) AS INTEGER) AS position
+  FROM (SELECT *, CAST(container_id AS BIGINT) AS k FROM features WHERE feat IN ('enter_temple', 'enter_sewer')
+    UNION ALL SELECT version, container_id, 'D:' || CAST(k % 4 + 1 AS VARCHAR), 'enter_sewer', k FROM (SELECT DISTINCT version, container_id, CAST(container_id AS BIGINT) AS k FROM entries) WHERE k % 3 = 0)""")
 def V7_entrances(spark, d):
-    return views.entrances(A.features(spark, d), A.levels(spark, d))
+    """With a second entrance in each third container."""
+    from ..sources.tables import written
+
+    e = written(A.entries(spark, d).select(*views.PLACE, "row_parent"), "entries")
+    second = e.select(KEY).distinct().where("cast(container_id as long) % 3 = 0").selectExpr("version", "container_id", "concat('D:', cast(cast(container_id as long) % 4 + 1 as string)) as place", "'enter_sewer' as feat")
+    k = "cast(container_id as long)"
+    ways = A.features_of(e).unionByName(second).selectExpr("*", f"cast({k} % 80 as int) as x", f"cast({k} % 70 as int) as y", f"case when feat = 'enter_sewer' then cast({k} % 50 * 10 as int) end as timeout_turns", f"case when {k} % 7 = 0 then concat(cast({k} % 90 as string), ' gold') end as toll_note")
+    return views.entrances(ways, A.levels_of(e))
 
 
 _GROUPS = [("A", "potion", ("ring", "bolt")), ("B", "weapon", ("gear", "ring")), ("C", "nothing", ("none",))]
@@ -542,7 +597,7 @@ def D1_summary(spark, d):
     return audit.audit_summary(A.entries(spark, d))
 
 
-@query("SELECT version, container_id, depth, places, most FROM (SELECT o.*, f.depth, max(places) OVER (PARTITION BY version, depth) AS most FROM (SELECT version, container_id, count(*) AS places FROM levels WHERE place <> 'Sewer' GROUP BY ALL) o JOIN fills f USING (version, container_id)) WHERE places < most")
+@query("SELECT version, container_id, depth, places, most, held FROM (SELECT o.*, f.depth, max(places) OVER (PARTITION BY version, depth) AS most FROM (SELECT version, container_id, count(*) AS places, string_agg(place, ',' ORDER BY place) AS held FROM levels WHERE place <> 'Sewer' GROUP BY ALL) o JOIN fills f USING (version, container_id)) WHERE places < most")
 def D2_short_containers(spark, d):
     return audit.audit_short(A.levels(spark, d), A.fills(spark, d))
 
@@ -574,6 +629,13 @@ def D8_rate_curve(spark, d):
     return audit.rate_curve(log, 10).withColumn("per_min", F.round("per_min", 6))
 
 
+@query("""SELECT round(f, 6) AS first, round(l, 6) AS last, round((l - f) * 100 / f, 6) AS percent FROM (SELECT count(*) FILTER (WHERE bucket = 0) * 60 / sum(value) FILTER (WHERE bucket = 0) AS f, count(*) FILTER (WHERE bucket = 9) * 60 / sum(value) FILTER (WHERE bucket = 9) AS l
+  FROM (SELECT CAST(floor((moment - lo) / ((hi - lo + 1) / 10)) AS INTEGER) AS bucket, value FROM (SELECT CAST(epoch(ts) AS BIGINT) AS moment, value FROM events), (SELECT min(CAST(epoch(ts) AS BIGINT)) AS lo, max(CAST(epoch(ts) AS BIGINT)) AS hi FROM events)))""")
+def A16_rate_drift(spark, d):
+    log = A._table(spark, d, "events").selectExpr("unix_timestamp(cast(ts as timestamp)) as at", "1 as seeds", "value as secs")
+    return audit.rate_drift(log, 10).select(*[F.round(c, 6).alias(c) for c in ("first", "last", "percent")])
+
+
 @query("SELECT DISTINCT base_type, sub_type FROM entries WHERE base_type = 'book'")
 def D9_unweighted_kinds(spark, d):
     return audit.audit_weights(A.entries(spark, d), F.broadcast(A.weights(spark)))
@@ -598,6 +660,17 @@ def N3_pair_lift(spark, d):
     return audit.pair_lift(A.entries(spark, d)).withColumn("lift", F.round("lift", 9))
 
 
+_RICH = _SETS + """, rich AS (SELECT version, container_id, count(*) // 4 AS bucket FROM sets GROUP BY ALL), sized AS (SELECT version, bucket, count(*) AS n FROM rich GROUP BY ALL),
+one AS (SELECT version, bucket, kind, count(*) AS have FROM sets JOIN rich USING (version, container_id) GROUP BY ALL),
+pairs AS (SELECT s.version, s.kind AS a, t.kind AS b, count(*) AS "both" FROM sets s JOIN sets t ON s.version = t.version AND s.container_id = t.container_id AND s.kind < t.kind GROUP BY ALL)"""
+
+
+@query("""SELECT version, a, b, "both", round(e, 6) AS expected, round("both" / e, 6) AS lift FROM (SELECT p.version, p.a, p.b, p."both", sum(x.have * y.have / z.n) AS e FROM pairs p
+  JOIN one x ON x.version = p.version AND x.kind = a JOIN one y ON y.version = p.version AND y.kind = b AND y.bucket = x.bucket JOIN sized z ON z.version = p.version AND z.bucket = x.bucket GROUP BY ALL)""", _RICH)
+def N3_lift_by_richness(spark, d):
+    return audit.lift_by_richness(A.entries(spark, d)).withColumns({c: F.round(c, 6) for c in ("expected", "lift")})
+
+
 @query("SELECT version, depth, avg(CASE WHEN h.container_id IS NULL THEN 0 ELSE 1 END) AS share, count(*) AS containers FROM fills LEFT JOIN (SELECT DISTINCT version, container_id FROM entries WHERE base_type = 'potion' AND sub_type = 'ring') h USING (version, container_id) GROUP BY ALL")
 def N4_cohort_share(spark, d):
     return audit.cohort_share(A.entries(spark, d), A.fills(spark, d), "potion", "ring")
@@ -618,6 +691,11 @@ def N6_class_breakdown(spark, d):
     return audit.class_breakdown(A.entries(spark, d))
 
 
+@query("SELECT version, place, n, round(n / sum(n) OVER (PARTITION BY version), 9) AS share FROM (SELECT version, place, count(*) AS n FROM features WHERE feat = 'enter_temple' GROUP BY ALL)")
+def N6_places_of_feature(spark, d):
+    return audit.places_of_feature(A.features(spark, d), "enter_temple").withColumn("share", F.round("share", 9))
+
+
 @query("SELECT version, container_id, place, 'deep' AS side FROM levels WHERE place LIKE 'Lair%'")
 def N7_prefix_extension(spark, d):
     lv = A.levels(spark, d).select(views.PLACE)
@@ -634,6 +712,11 @@ def N1_exclusion_stats(spark, d):
     return audit.exclusion_stats(views.exclusion_draws(A.entries(spark, d), _GROUPS))
 
 
+@query("SELECT version, count(*) AS containers, count(*) FILTER (WHERE conflict) AS conflicts, count(DISTINCT state) AS states FROM (SELECT version, container_id, bool_or(drawn LIKE 'conflict%') AS conflict, string_agg(drawn, '|' ORDER BY group_name) AS state FROM (" + ORACLES["V8_exclusion_draws"].split("\n", 1)[1][ORACLES["V8_exclusion_draws"].split("\n", 1)[1].index("SELECT k.version"):] + ") GROUP BY ALL) GROUP BY version")
+def N1_exclusion_states(spark, d):
+    return audit.exclusion_states(views.exclusion_draws(A.entries(spark, d), _GROUPS))
+
+
 # ---- names and words by release
 
 _NAMED = """named AS (SELECT l_returnflag AS version, l_orderkey AS k, l_partkey % 10 AS b, p_size AS s,
@@ -786,11 +869,13 @@ def V5_altars(spark, d):
     return views.altars(*_altars(spark, d))
 
 
-@query("SELECT e.version, CASE WHEN f.feat IS NOT NULL THEN 'general' END AS shop_type, count(*) AS stock FROM entries e LEFT JOIN (SELECT * FROM features WHERE feat = 'enter_shop') f ON e.version = f.version AND e.container_id = f.container_id AND e.place = f.place WHERE cost IS NOT NULL GROUP BY ALL")
+@query("SELECT e.version, CASE WHEN f.feat IS NOT NULL THEN 'general' END AS shop_type, count(*) AS stock FROM entries e LEFT JOIN (SELECT *, CASE WHEN CAST(container_id AS BIGINT) % 2 = 0 THEN 1 END AS y FROM features WHERE feat = 'enter_shop') f ON e.version = f.version AND e.container_id = f.container_id AND e.place = f.place AND e.quantity IS NOT DISTINCT FROM f.y WHERE cost IS NOT NULL GROUP BY ALL")
 def J8_shop_stock(spark, d):
-    spot = {"x": F.lit(None).cast("int"), "y": F.lit(1), "shop_type": F.lit(None).cast("string")}
-    rows = A.entries(spark, d).select(*views.PLACE, "cost").withColumns(spot | {"feat": F.lit(None).cast("string")})
-    feats = A.features(spark, d).withColumns(spot | {"cost": F.lit(None).cast("double"), "shop_type": F.lit("general")})
+    """Goods lie at their quantity's spot, some at none; shops at the first or at none."""
+    none = {"x": F.lit(None).cast("int"), "shop_type": F.lit(None).cast("string")}
+    rows = A.entries(spark, d).select(*views.PLACE, "cost", F.col("quantity").alias("y")).withColumns(none | {"feat": F.lit(None).cast("string")})
+    at = F.when(F.col("container_id").cast("long") % 2 == 0, F.lit(1))
+    feats = A.features(spark, d).withColumns(none | {"y": at, "cost": F.lit(None).cast("double"), "shop_type": F.lit("general")})
     return views.shop_stock(rows.unionByName(feats)).groupBy("version", "shop_type").agg(F.count("*").alias("stock"))
 
 

@@ -54,11 +54,33 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills_of(levels(spark, sf_dir))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = entries(spark, sf_dir).select("version", "container_id").distinct().withColumn("o_custkey", F.col("container_id").cast("long"))
+def features_of(rows: DataFrame) -> DataFrame:
+    keys = rows.select("version", "container_id").distinct().withColumn("o_custkey", F.col("container_id").cast("long"))
     return keys.selectExpr("version", "container_id", "concat('D:', cast(o_custkey % 7 + 1 as string)) as place", f"{FEAT} as feat").where("feat is not null")
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features_of(entries(spark, sf_dir))
+
+
+def place_rows(rows: DataFrame) -> DataFrame:
+    """Everything in a place as one table: entries as items, features, two monsters in a third of the containers, and a vault in those
+    without a feature."""
+    keys = rows.select("version", "container_id").distinct().withColumn("k", F.col("container_id").cast("long"))
+    at = ("version", "container_id", "'D:1' as place")
+    beasts = keys.where("k % 3 = 0").selectExpr(*at, "'monsters' as category", "explode(array('orc', 'rat')) as name")
+    vaults = keys.where("k % 5 = 4").selectExpr(*at, "'vaults' as category", "'a vault' as name")
+    out = rows.withColumn("category", F.lit("items"))
+    for more in (features_of(rows).withColumn("category", F.lit("features")), beasts, vaults):
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def masked_levels_of(rows: DataFrame) -> DataFrame:
+    """levels_of() with a mask of altars for temples."""
+    return levels_of(rows).withColumn("altar_mask", F.expr("case when place = 'Temple' then cast(cast(container_id as bigint) % 8 as int) end"))
+
+
 def spell_levels(spark: SparkSession) -> DataFrame:
     return spark.range(0, 51).selectExpr("concat('S', cast(id as string)) as spell", "cast(id % 9 + 1 as int) as spell_level")
 

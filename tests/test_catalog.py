@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import naming, places, text
-from cairn.operators import answers, heat, index, ingest, search, views
+from cairn.operators import answers, audit, heat, index, ingest, search, views
 from cairn.operators.criteria import Brand, Item, NameLike, Props, Term
 from cairn.sources.tables import read_catalog_jsonl, write_snapshot
 from cairn.streaming import catalog as streaming
@@ -351,3 +351,43 @@ def test_queries_equal_their_sql(spark):
         df = catalog.QUERIES[name](spark, DATA)
         got = con.sql(oracle)
         assert table(df.columns, [tuple(r) for r in df.collect()]) == table(got.columns, got.fetchall()), name
+
+
+def test_every_row_of_a_place_is_in_one_section(spark):
+    row = "version string, container_id string, place string, category string, base_type string, sub_type string, ego string, cost double, artefact boolean, name string, feat string, spells array<string>"
+    rows = spark.createDataFrame(
+        [
+            ("v", "1", "D:1", "items", "weapon", "axe", None, None, True, "the Axe", None, []),
+            ("v", "1", "D:1", "items", "weapon", "axe", None, None, None, None, None, None),
+            ("v", "1", "D:1", "items", "book", "x", None, None, False, "parchment of Fog", None, ["Fog"]),
+            ("v", "1", "D:1", "items", "potion", "y", None, 9.0, False, None, None, []),
+            ("v", "1", "D:1", "items", "potion", "z", None, 12.0, False, None, None, []),
+            ("v", "1", "D:1", "monsters", None, None, None, None, None, "orc", None, None),
+            ("v", "1", "D:1", "vaults", None, None, None, None, None, "a vault", None, None),
+            ("v", "1", "D:1", "features", None, None, None, None, None, None, "enter_shop", None),
+            ("v", "1", "D:1", "features", None, None, None, None, None, None, "enter_temple", None),
+        ],
+        row,
+    )
+    levels = spark.createDataFrame([("v", "1", "D:1", 3), ("v", "1", "D:2", None)], "version string, container_id string, place string, altar_mask int")
+    found = values(views.ordered_sections(views.place_sections(rows, levels)), "section", "position", "label")
+    assert found == [
+        ("altars", 1, places.ALTARS[0]), ("altars", 2, places.ALTARS[1]), ("features", 1, "a vault"), ("monsters", 1, "orc"), ("notable", 1, "the Axe"),
+        ("shops", 1, "potion z"), ("shops", 2, "potion y"), ("shops", 3, "enter_shop"), ("sundries", 1, "parchment of Fog"), ("sundries", 2, "weapon axe"), ("ways_on", 1, "enter_temple"),
+    ]
+
+
+def test_lift_by_richness_takes_out_what_rich_containers_share(spark):
+    """Half of the containers hold a, b and four more, half c alone: a and b are together twice as often as by chance, but not among equals."""
+    rich = [{"container_id": str(i), "place": "D:1", "base_type": "potion", "sub_type": s} for i in range(4) for s in "abwxyz"]
+    poor = [{"container_id": str(i), "place": "D:1", "base_type": "potion", "sub_type": "c"} for i in range(4, 8)]
+    e = entry(spark, rich + poor)
+    assert ("potion:a", "potion:b", 2.0) in values(audit.pair_lift(e), "a", "b", "lift")
+    assert ("potion:a", "potion:b", 4, 4.0, 1.0) in values(audit.lift_by_richness(e), "a", "b", "both", "expected", "lift")
+
+
+def test_rate_drift_and_states(spark):
+    log = spark.createDataFrame([(0, 10, 60.0), (5, 1, 1.0), (9, 5, 60.0)], "at long, seeds int, secs double")
+    assert values(audit.rate_drift(log, 5), "first", "last", "percent") == [(10.0, 5.0, -50.0)]
+    draws = spark.createDataFrame([("v", "1", "A", "drew x"), ("v", "1", "B", "unseen"), ("v", "2", "A", "conflict x,y"), ("v", "2", "B", "unseen"), ("v", "3", "A", "drew x"), ("v", "3", "B", "unseen")], "version string, container_id string, group_name string, drawn string")
+    assert values(audit.exclusion_states(draws), "containers", "conflicts", "states") == [(3, 1, 2)]
