@@ -13,9 +13,8 @@ from .catalog import _BANDS, _FOUND, _PROOF, CAP, FLAGSHIP, KEY, POTION, QSUM, _
 
 
 def _indexed(spark, d, shallow: int | None = None):
-    """(entries, fills, index): entries written once, and an index stored and read again; shallow: of places up to that reach only."""
-    e = written(A.entries(spark, d), "entries")
-    f = written(A.fills_of(A.levels_of(e)), "fills")
+    """(entries, fills, index): an index stored and read again; shallow: of places up to that reach only."""
+    e, f = A.entries(spark, d), A.fills(spark, d)
     seen = e if shallow is None else e.where(places.reach_of(F.col("place")) <= shallow)
     folder = fresh_path(spark, "index")
     answers.write_index(seen, f if shallow is None else A.fills_of(A.levels_of(seen)), folder)

@@ -9,7 +9,7 @@ from ..functions import naming, places, text
 from ..operators import audit, heat, index, ingest, search, views
 from ..operators.criteria import Brand, Feature, Item, NameLike, Props, Term, Unique
 from ..sources import adapters as A
-from ..sources.tables import parse_jsonl
+from ..sources.tables import parse_jsonl, stored
 from ..streaming import catalog as stream
 
 KEY = search.KEY
@@ -235,29 +235,35 @@ _POST = f"""post AS (SELECT version, CASE WHEN cost IS NULL THEN 'floor/' ELSE '
   GROUP BY ALL)"""
 
 
+def _postings(spark, d):
+    """The postings, stored by version, those of a key side by side."""
+    return stored(spark, d, "catalog-postings", lambda: index.build_postings(A.entries(spark, d)).repartition("version", "kind", "a", "b").sortWithinPartitions("version", "kind", "a", "b"), by=("version",))
+
+
 @query("SELECT version, kind, a, b, container_id, reach, count FROM post", _POST)
 def I3_postings(spark, d):
-    return index.build_postings(A.entries(spark, d))
+    return _postings(spark, d)
 
 
 @query("SELECT version, kind, a, b, count(*) AS card, max(count) AS most FROM post GROUP BY ALL", _POST)
 def I4_criteria(spark, d):
-    return index.build_criteria(index.build_postings(A.entries(spark, d)))
+    return index.build_criteria(_postings(spark, d))
 
 
 @query(f"SELECT version, container_id, min(reach) AS reach FROM hits GROUP BY ALL", _PROOF)
 def I5_indexed_search(spark, d):
-    return index.search_indexed(index.build_postings(A.entries(spark, d)), [("floor/item", "potion", "bolt", 3), ("floor/item", "weapon", "gear", 1)])
+    return index.search_indexed(_postings(spark, d), [("floor/item", "potion", "bolt", 3), ("floor/item", "weapon", "gear", 1)])
 
 
 @query("SELECT DISTINCT name FROM entries WHERE contains(lower(name), 'ng brand#1')")
 def I6_trigram_names(spark, d):
-    return index.names_like(index.trigrams(A.entries(spark, d).where("name is not null").select("name")), "nG Brand#1")
+    grams = stored(spark, d, "catalog-trigrams", lambda: index.trigrams(A.entries(spark, d).where("name is not null").select("name")).repartition("gram").sortWithinPartitions("gram"))
+    return index.names_like(grams, "nG Brand#1")
 
 
 @query("SELECT version, count(*) AS criteria, CAST(sum(card) AS BIGINT) AS postings, CAST(sum(ceil(card / 512)) AS BIGINT) AS blocks FROM (SELECT version, kind, a, b, count(*) AS card FROM post GROUP BY ALL) GROUP BY version", _POST)
 def A13_index_stats(spark, d):
-    return index.index_stats(index.build_criteria(index.build_postings(A.entries(spark, d))))
+    return index.index_stats(index.build_criteria(_postings(spark, d)))
 
 
 @query("SELECT version, container_id, row_number() OVER (ORDER BY late, version, length(container_id), container_id) AS ord FROM (SELECT DISTINCT version, container_id, CAST(container_id AS BIGINT) % 3 = 0 AS late FROM entries)")
@@ -288,12 +294,8 @@ def Q5_search_many(spark, d):
 
 
 def _heat(spark, d):
-    """Entries, places and fills, each written once: the score reads them several times."""
-    from ..sources.tables import written
-
-    e = written(A.entries(spark, d).drop("props", "name", "ego"), "entries")
-    lv = written(A.levels_of(e), "levels")
-    return e, lv, written(A.fills_of(lv), "fills"), A.spell_levels(spark)
+    """Entries, places and fills, each stored: the score reads them several times."""
+    return A.entries(spark, d), A.levels(spark, d), A.fills(spark, d), A.spell_levels(spark)
 
 
 @query("SELECT version, base_type, sub_type, count, round(tail_p, 9) AS tail_p FROM tails", HEAT)
@@ -316,7 +318,7 @@ def A8_early_spells(spark, d):
 
 def _scores(spark, d):
     e, lv, fl, sp = _heat(spark, d)
-    table = heat.surprise(e, lv, fl, sp, CAP)
+    table = stored(spark, d, "catalog-surprise", lambda: heat.surprise(e, lv, fl, sp, CAP))
     return heat.scores(e, lv, fl, sp, F.broadcast(A.weights(spark)), table, CAP), fl
 
 
@@ -490,10 +492,8 @@ rows_ AS (SELECT version, container_id, place, 'items' AS category, base_type, s
 
 
 def _rows(spark, d):
-    """(entries written once, everything in a place)."""
-    from ..sources.tables import written
-
-    held = written(A.entries(spark, d).withColumn("name", F.expr(f"case when {_PARCHMENT} then concat('parchment of ', spells[0]) else name end")), "entries")
+    """(entries, everything in a place)."""
+    held = A.entries(spark, d).withColumn("name", F.expr(f"case when {_PARCHMENT} then concat('parchment of ', spells[0]) else name end"))
     return held, A.place_rows(held)
 
 
@@ -511,10 +511,7 @@ def V1_container_detail(spark, d):
     CAST(sum(coalesce(quantity, 1)) FILTER (WHERE base_type = 'scroll' AND sub_type = 'bolt') AS BIGINT) AS acq FROM entries WHERE cost IS NULL GROUP BY ALL) a USING (version, container_id)
   LEFT JOIN (SELECT version, container_id, min(place) FILTER (WHERE feat = 'enter_temple') AS temple, string_agg(feat, ',') FILTER (WHERE feat = 'altar_trog') AS altars FROM features GROUP BY ALL) f USING (version, container_id)""")
 def V2_summaries(spark, d):
-    from ..sources.tables import written
-
-    e = written(A.entries(spark, d).select(*views.PLACE, "row_parent", "base_type", "sub_type", "quantity", "cost", "artefact"), "entries")
-    return views.summaries(e, A.levels_of(e), A.features_of(e), (("potion", "ring", "xp"), ("scroll", "bolt", "acq")), ("altar_trog",))
+    return views.summaries(A.entries(spark, d), A.levels(spark, d), A.features(spark, d), (("potion", "ring", "xp"), ("scroll", "bolt", "acq")), ("altar_trog",))
 
 
 @query("SELECT version, container_id, place, count(*) AS stock, round(sum(cost), 2) AS total, count(*) FILTER (WHERE artefact) AS artefacts FROM entries WHERE cost IS NOT NULL GROUP BY ALL")
@@ -548,13 +545,11 @@ def O7_ordered_sections(spark, d):
     UNION ALL SELECT version, container_id, 'D:' || CAST(k % 4 + 1 AS VARCHAR), 'enter_sewer', k FROM (SELECT DISTINCT version, container_id, CAST(container_id AS BIGINT) AS k FROM entries) WHERE k % 3 = 0)""")
 def V7_entrances(spark, d):
     """With a second entrance in each third container."""
-    from ..sources.tables import written
-
-    e = written(A.entries(spark, d).select(*views.PLACE, "row_parent"), "entries")
+    e = A.entries(spark, d)
     second = e.select(KEY).distinct().where("cast(container_id as long) % 3 = 0").selectExpr("version", "container_id", "concat('D:', cast(cast(container_id as long) % 4 + 1 as string)) as place", "'enter_sewer' as feat")
     k = "cast(container_id as long)"
     ways = A.features_of(e).unionByName(second).selectExpr("*", f"cast({k} % 80 as int) as x", f"cast({k} % 70 as int) as y", f"case when feat = 'enter_sewer' then cast({k} % 50 * 10 as int) end as timeout_turns", f"case when {k} % 7 = 0 then concat(cast({k} % 90 as string), ' gold') end as toll_note")
-    return views.entrances(ways, A.levels_of(e))
+    return views.entrances(ways, A.levels(spark, d))
 
 
 _GROUPS = [("A", "potion", ("ring", "bolt")), ("B", "weapon", ("gear", "ring")), ("C", "nothing", ("none",))]
@@ -825,9 +820,7 @@ def J10_entry_spells(spark, d):
   FROM (SELECT l.*, CAST(l.container_id AS BIGINT) AS k, feat, a, CASE WHEN feat = 'enter_shop' THEN coalesce(s, 0) ELSE 0 END AS sold FROM levels l LEFT JOIN features f USING (version, container_id, place)
     LEFT JOIN (SELECT version, container_id, place, count(*) FILTER (WHERE artefact AND cost IS NULL) AS a, count(*) FILTER (WHERE artefact AND cost IS NOT NULL) AS s FROM entries GROUP BY ALL) e USING (version, container_id, place)) l""")
 def V6_standing_facts(spark, d):
-    from ..sources.tables import written
-
-    held = written(A.entries(spark, d).select(views.PLACE + ["row_parent", "artefact", "cost"]), "entries")
+    held = A.entries(spark, d).select(views.PLACE + ["row_parent", "artefact", "cost"])
     items = held.select(*views.PLACE, F.lit("items").alias("category"), "artefact", "cost")
     keys = held.select(KEY).distinct().withColumn("k", F.col("container_id").cast("long"))
     feats = keys.selectExpr("version", "container_id", "concat('D:', cast(k % 7 + 1 as string)) as place", "'features' as category", f"{A.FEAT.replace('o_custkey', 'k')} as feat")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 PLACE = "case when l_suppkey % 10 = 0 then 'Sewer' when l_suppkey % 10 = 1 then concat('Lair:', cast(least(l_linenumber, 5) as string)) when l_suppkey % 10 = 2 then 'Temple' else concat('D:', cast(l_linenumber as string)) end"
 BASE = "case split_part(p_type, ' ', 1) when 'MEDIUM' then 'potion' when 'STANDARD' then 'scroll' when 'LARGE' then 'weapon' when 'PROMO' then 'armour' when 'SMALL' then 'book' when 'ECONOMY' then 'miscellaneous' end"
 FEAT = "case o_custkey % 5 when 0 then 'altar_trog' when 1 then 'enter_shop' when 2 then 'enter_temple' when 3 then 'enter_sewer' end"
@@ -17,6 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries, stored by version, with each container's rows side by side: scans prune by version, and sums by container are
+    mostly done before they are shuffled."""
+    make = lambda: mapped_entries(spark, sf_dir).repartition("version", "container_id").sortWithinPartitions("version", "container_id")
+    return stored(spark, sf_dir, "catalog-entries", make, by=("version",))
+
+
+def mapped_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     joined = lines.join(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).join(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), F.expr("l_partkey = p_partkey"))
     return joined.selectExpr(
@@ -41,7 +50,7 @@ def levels_of(rows: DataFrame) -> DataFrame:
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels_of(entries(spark, sf_dir))
+    return stored(spark, sf_dir, "catalog-levels", lambda: levels_of(entries(spark, sf_dir)), by=("version",))
 
 
 def fills_of(places: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def fills_of(places: DataFrame) -> DataFrame:
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fills_of(levels(spark, sf_dir))
+    return stored(spark, sf_dir, "catalog-fills", lambda: fills_of(levels(spark, sf_dir)), by=("version",))
 
 
 def features_of(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths and schemas of stored tables, by application, folder and name.
+_STORED: dict[tuple[str, str, str], tuple] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """A table derived from the tables in sf_dir: written to the shared folder (partitioned by the columns `by`) when it is first asked
+    for in an application, read from there afterwards, and written anew if it is gone. forget() after a change of what sf_dir holds."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _STORED:
+        path, schema = _STORED[key]
+        try:
+            return spark.read.schema(schema).parquet(path).select(*schema.names)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    df, path = make(), fresh_path(spark, name)
+    df.write.partitionBy(*by).parquet(path)
+    _STORED[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def forget(sf_dir: str) -> None:
+    """Stored tables of sf_dir are not used any more."""
+    for key in [k for k in _STORED if k[1] == sf_dir]:
+        del _STORED[key]
+
+
 def write_snapshot(df: DataFrame, path: str, by: tuple[str, ...] = ("version",)) -> None:
     """Replaces those partitions of a table that df has rows of; others stay. Never the table that df is read from."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

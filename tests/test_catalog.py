@@ -391,3 +391,23 @@ def test_rate_drift_and_states(spark):
     assert values(audit.rate_drift(log, 5), "first", "last", "percent") == [(10.0, 5.0, -50.0)]
     draws = spark.createDataFrame([("v", "1", "A", "drew x"), ("v", "1", "B", "unseen"), ("v", "2", "A", "conflict x,y"), ("v", "2", "B", "unseen"), ("v", "3", "A", "drew x"), ("v", "3", "B", "unseen")], "version string, container_id string, group_name string, drawn string")
     assert values(audit.exclusion_states(draws), "containers", "conflicts", "states") == [(3, 1, 2)]
+
+
+def test_stored_tables_are_made_once_and_again_when_gone_or_forgotten(spark, tmp_path):
+    import shutil
+
+    from cairn.sources import tables
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("0.10", 1), ("b", 2)], "version string, n int")
+
+    ask = lambda: values(tables.stored(spark, "folder", "t", make, by=("version",)), "version", "n")
+    assert ask() == ask() == [("0.10", 1), ("b", 2)] and len(made) == 1
+    (path, _), = [v for k, v in tables._STORED.items() if k[1:] == ("folder", "t")]
+    shutil.rmtree(path)
+    assert ask() == [("0.10", 1), ("b", 2)] and len(made) == 2
+    tables.forget("folder")
+    assert ask() == [("0.10", 1), ("b", 2)] and len(made) == 3
