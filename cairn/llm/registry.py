@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, langid, mixing, packing, pii, quality, simhash, urlfilter, vectors, warc
+from . import huffman, langid, lloyd, mixing, packing, pii, quality, simhash, urlfilter, vectors, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         mixing.op8_pivotal_mixing,
         warc.op9_zip_warc,
         packing.op10_bm25_packing,
+        lloyd.op11_dimension_sharded_lloyd,
     )
 }
-ORACLES = {"op7_url_filter": urlfilter.OP7_SQL, "op9_zip_warc": warc.OP9_SQL}
+ORACLES = {"op7_url_filter": urlfilter.OP7_SQL, "op9_zip_warc": warc.OP9_SQL, "op11_dimension_sharded_lloyd": lloyd.OP11_SQL}
