@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, langid, lloyd, mixing, packing, pii, prefixes, quality, simhash, urlfilter, vectors, warc
+from . import huffman, kernels, langid, lloyd, mixing, packing, pii, prefixes, quality, simhash, urlfilter, vectors, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         warc.op9_zip_warc,
         packing.op10_bm25_packing,
         lloyd.op11_dimension_sharded_lloyd,
+        kernels.op12_fourier_quality,
         prefixes.op13_prefix_trie,
     )
 }
