@@ -239,7 +239,7 @@ def prefix_trie(conversations: DataFrame, shard: int = SHARD, window: int = WIND
     # where a single conversation goes on alone nothing is saved and one leaf follows: only shared prefixes need sums over what lies below
     alone = told.where("n = 1 and depth > 0")
     shared = told.where("n > 1 or depth = 0")
-    hung = alone.join(shared.select(F.col("key").alias("parent")), "parent", "left_semi").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("hung"))
+    hung = alone.groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("hung"))  # summed before it is dealt out, for a parent of very many
     trunk = written(shared.join(hung, "key", "left").select("key", "parent", (F.col("leaf") + F.coalesce("hung", F.lit(0))).alias("leaves"), F.col("own").alias("saved"), "depth"), "trunk")
     deepest = trunk.agg(F.max("depth")).first()[0] or 0
     sums = _subtree_sums(trunk, deepest)
