@@ -87,10 +87,12 @@ ARTEFACT_ONLY = {
 #: Armour codes that began with a small letter before this release.
 CAPITALISED_SINCE = "0.34.1"
 CAPITALISED = ("Guile", "Harm", "Hurl", "Infuse", "Light", "Mayhem", "Ponderous", "Rampage", "Reflect", "Repulsion", "Shadows")
+# Properties that a name may show.
 PROPERTIES = (
-    "*Corrode *Noise *Rage *Silence *Slow +Blink +Inv -Cast -Tele AC Air Alch Archmagi BAcc BDam Bane Clar Conj Delay Dex EV Earth Fire Fly Forge HP Harm Hexes Ice Int "
-    "MP Necro RMsl Rampage Regen RegenMP SH SInv Slay Stlth Str Summ Tloc Will ^Contam ^Drain ^Fragile nupgr rC rCorr rElec rF rMut rN rPois"
-).split()
+    "*Corrode", "*Noise", "*Rage", "*Silence", "*Slow", "+Blink", "+Inv", "-Cast", "-Tele", "AC", "Air", "Alch", "Archmagi", "BAcc", "BDam", "Bane", "Clar", "Conj",
+    "Delay", "Dex", "EV", "Earth", "Fire", "Fly", "Forge", "HP", "Harm", "Hexes", "Ice", "Int", "MP", "Necro", "RMsl", "Rampage", "Regen", "RegenMP", "SH", "SInv",
+    "Slay", "Stlth", "Str", "Summ", "Tloc", "Will", "^Contam", "^Drain", "^Fragile", "nupgr", "rC", "rCorr", "rElec", "rF", "rMut", "rN", "rPois",
+)
 #: (spelling, first release that has it, spelling before).
 RENAMED_PROPERTIES = (("Alch", "0.33.1", "Alchemy"),)
 DRAWBACKS = ("*Corrode", "*Noise", "*Silence", "*Slow", "^Contam", "^Drain", "^Fragile", "-Cast", "-Tele", "Bane")

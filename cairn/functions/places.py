@@ -10,7 +10,12 @@ UNKNOWN = 4611686018427387903
 # The reach of each branch's entrance, and the entrance feature of each portal place.
 ENTRANCES = {"D": 0, "Temple": 4, "Orc": 9, "Lair": 8, "Vaults": 8, "Depths": 15, "Elf": 11, "Crypt": 10, "Snake": 10, "Spider": 10, "Shoals": 10, "Swamp": 10, "Slime": 12, "Zot": 19}
 PORTALS = {"Sewer": "enter_sewer", "Ossuary": "enter_ossuary", "IceCv": "enter_ice_cave", "Volcano": "enter_volcano", "Bailey": "enter_bailey", "Gauntlet": "enter_gauntlet", "Bazaar": "enter_bazaar", "WizLab": "enter_wizlab", "Desolation": "enter_desolation", "Trove": "enter_trove"}
-ALTARS = tuple("altar_" + g for g in "ashenzari cheibriados dithmenos elyvilon fedhas gozag hepliaklqana kikubaaqudgha makhleb nemelex_xobeh okawaru qazlal ru sif_muna the_shining_one trog uskayaw vehumet wu_jian xom yredelemnul zin".split())
+# Altars in order of their bits.
+ALTARS = (
+    "altar_ashenzari", "altar_cheibriados", "altar_dithmenos", "altar_elyvilon", "altar_fedhas", "altar_gozag", "altar_hepliaklqana", "altar_kikubaaqudgha",
+    "altar_makhleb", "altar_nemelex_xobeh", "altar_okawaru", "altar_qazlal", "altar_ru", "altar_sif_muna", "altar_the_shining_one", "altar_trog", "altar_uskayaw",
+    "altar_vehumet", "altar_wu_jian", "altar_xom", "altar_yredelemnul", "altar_zin",
+)
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -39,7 +44,7 @@ def reach_of(place: Column) -> Column:
     """B:n is n places past its branch's entrance, a bare branch its entrance; portals and anything else are unknown."""
     entrance = _lookup({k: v for k, v in ENTRANCES.items()}, branch_of_place(place)).cast("long")
     n = F.substring_index(place, ":", -1).try_cast("long")
-    numbered = F.when(place.contains(":"), entrance + n).otherwise(entrance)
+    numbered = F.when(place.contains(":"), F.try_add(entrance, n)).otherwise(entrance)
     return F.when(is_portal(place), F.lit(UNKNOWN)).otherwise(F.coalesce(numbered, F.lit(UNKNOWN)))
 
 

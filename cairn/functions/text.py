@@ -49,10 +49,10 @@ def short_name(name: Column, base: Column, sub: Column) -> Column:
 
 
 def release_key(version: Column) -> Column:
-    """Sorts as releases do: by dotted numbers, and what has none after all that have, by text."""
+    """Sorts as releases do: by dotted numbers of any length, and what has none after all that have, by text."""
     prefix = F.regexp_extract(version, "^[0-9.]*", 0)
-    numbers = F.when(prefix.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.transform(F.split(prefix, r"\."), lambda x: x.cast("int")))
-    return F.struct(numbers.isNull().alias("unreleased"), F.coalesce(numbers, F.array().cast("array<int>")).alias("numbers"), F.when(numbers.isNull(), version).otherwise("").alias("text"))
+    numbers = F.when(prefix.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.transform(F.split(prefix, r"\."), lambda x: F.struct(F.length(F.ltrim(x, F.lit("0"))).alias("digits"), F.ltrim(x, F.lit("0")).alias("number"))))
+    return F.struct(numbers.isNull().alias("unreleased"), F.coalesce(numbers, F.array().cast("array<struct<digits:int,number:string>>")).alias("numbers"), F.when(numbers.isNull(), version).otherwise("").alias("text"))
 
 
 def is_released(version: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.naming import display_name
 from ..functions.places import is_portal
 from .search import KEY
 
@@ -52,8 +53,16 @@ def audit_weights(entries: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def audit_names(entries: DataFrame) -> DataFrame:
-    """Rows without a stored name where none follows from the kind."""
-    return entries.where("name is null and (base_type is null or sub_type is null or coalesce(artefact, false))")
+    """Rows without a stored name whose columns don't determine one either: nobody can tell what they are. Rows without category are items,
+    where they have a base type, or else features."""
+    from .ingest import backfill
+    from .views import NAMED_BY
+
+    types = ("string", "string", "string", "string", "string", "int", "int", "string", "boolean")
+    full = backfill(entries, dict(zip(NAMED_BY, types)))
+    category = F.coalesce("category", F.when(F.col("base_type").isNotNull(), "items").when(F.col("feat").isNotNull(), "features"))
+    told = display_name(category, *map(F.col, NAMED_BY[1:]))
+    return full.where(F.col("name").isNull() & told.isNull()).select(entries.columns)
 
 
 def _in_slices(log: DataFrame, buckets: int) -> DataFrame:
@@ -145,13 +154,32 @@ def set_entropy(entries: DataFrame) -> DataFrame:
 
 
 def growth_curve(entries: DataFrame) -> DataFrame:
-    """(version, containers, kinds): distinct kinds seen in the first containers by key, at each container that brings a new one."""
+    """(version, container, kinds): distinct kinds seen in the first containers by key (up to 2^64), at each that brings a new one."""
     kind = F.concat_ws(":", "base_type", "sub_type")
-    first = entries.groupBy("version", kind.alias("kind")).agg(F.min(F.col("container_id").cast("long")).alias("first"))
+    first = entries.groupBy("version", kind.alias("kind")).agg(F.min(F.col("container_id").cast("decimal(20,0)")).alias("first"))
     new = first.groupBy("version", "first").agg(F.count("*").alias("new"))
     return new.select("version", F.col("first").alias("container"), F.sum("new").over(Window.partitionBy("version").orderBy("first")).alias("kinds"))
 
 
+def set_growth(sets: DataFrame) -> DataFrame:
+    """sets(version, container_id, held) -> (version, containers, sets): how many distinct `held` the first containers have, in numeric
+    order of keys (up to 2^64), at each rank that brings a new one. Ranks are numbered by ranges and offsets, twice: containers, and then
+    first sights."""
+    from .search import ranked_in
+
+    ranked = ranked_in(sets.select("version", F.col("container_id").cast("decimal(20,0)").alias("key"), "held"), "version", ["key"])
+    first = ranked.groupBy("version", "held").agg((F.min("rank") + 1).alias("containers"))
+    return ranked_in(first.select("version", "containers"), "version", ["containers"]).select("version", "containers", (F.col("rank") + 1).alias("sets"))
+
+
+def growth_law(curve: DataFrame) -> DataFrame:
+    """(version, exponent, sets): the slope of log sets over log containers, 1 where nothing ever repeats and 0 where all has been seen;
+    null for less than two points."""
+    x, y = F.log("containers"), F.log("sets")
+    n, sx, sy, sxx, sxy = F.count("*"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(x * y)
+    return curve.groupBy("version").agg(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx).alias("exponent"), F.max("sets").alias("sets"))
+
+
 def class_breakdown(entries: DataFrame) -> DataFrame:
     return entries.groupBy("version", "base_type").agg(F.count("*").alias("entries"), F.count_if(F.col("cost").isNotNull()).alias("priced"), F.count_if("artefact").alias("artefacts"))
 

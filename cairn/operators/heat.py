@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.places import reach_with_parent, within_cap
+from ..functions.places import UNKNOWN, reach_of, reach_with_parent, within_cap
 from .search import KEY, quantity_sum, ranked_in
 
 BOOK = ("book", "#early-spells")
@@ -123,3 +123,79 @@ def marks(keys: DataFrame, banded: DataFrame) -> DataFrame:
 
 def caps(fills: DataFrame) -> DataFrame:
     return fills.select("version", F.col("depth").alias("cap")).distinct()
+
+
+# ---- all caps at once
+
+
+def placed_for_caps(entries: DataFrame, levels: DataFrame) -> DataFrame:
+    """Unpriced entries with the reach by their place's parent, and from_cap: the least cap that admits the place. What is unknown, of the
+    place or its parent, stands in no cap's way."""
+    known = lambda r: F.when(r != UNKNOWN, r)
+    own, by_parent = reach_of(F.col("place")), reach_with_parent(F.col("place"), F.col("parent"))
+    least = F.coalesce(F.greatest(known(own), F.when(F.col("parent").isNotNull(), known(by_parent))), F.lit(-UNKNOWN))
+    held = levels.select(*KEY, "place", by_parent.alias("reach"), least.alias("from_cap"))
+    return entries.where("cost is null").join(held, [*KEY, "place"])
+
+
+def observed_for_caps(placed: DataFrame, keys: DataFrame, spell_levels: DataFrame, known_caps: list[int]) -> DataFrame:
+    """(version, container_id, cap, base_type, sub_type, count, reach) for keys(version, container_id, depth) at every cap up to their
+    depth: items by kind, and distinct early spells (a row of zero where there are none; without reach).
+
+    One scan and one shuffle for any number of caps: kinds and spells are summed together, a sum for each cap."""
+    caps_now = sorted(set(known_caps))
+    early = {r.spell for r in spell_levels.where(F.col("spell_level") <= EARLY).select("spell").distinct().collect()}  # as many as there are spells in the catalog
+    kind = F.when(F.col("base_type").isNotNull() & F.col("sub_type").isNotNull(), F.array(F.struct("base_type", "sub_type", F.coalesce("quantity", F.lit(1)).cast("long").alias("n"), F.lit(False).alias("spell"))))
+    none = F.array().cast("array<struct<base_type:string,sub_type:string,n:bigint,spell:boolean>>")
+    spells = F.when((F.col("base_type") == BOOK[0]), F.transform(F.filter("spells", lambda x: x.isin(*sorted(early)) if early else F.lit(False)), lambda x: F.struct(F.lit(BOOK[0]).alias("base_type"), x.alias("sub_type"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("spell"))))
+    rows = placed.select(*KEY, "reach", "from_cap", F.explode(F.concat(F.coalesce(kind, none), F.coalesce(spells, none))).alias("k"))
+    within = lambda cap: F.col("from_cap") <= cap
+    sums = rows.groupBy(*KEY, "k.base_type", "k.sub_type", "k.spell").agg(
+        F.array(*[F.struct(F.lit(c).cast("long").alias("cap"), F.sum(F.when(within(c), F.col("k.n"))).alias("count"), F.min(F.when(within(c), F.col("reach"))).alias("reach")) for c in caps_now]).alias("by_cap")
+    )
+    each = sums.join(keys.select(*KEY, "depth"), KEY).select(*KEY, "depth", "base_type", "sub_type", "spell", F.explode(F.filter("by_cap", lambda x: x["count"].isNotNull() & (x["cap"] <= F.col("depth")))).alias("x"))
+    each = each.select(*KEY, F.col("x.cap").alias("cap"), "base_type", "sub_type", "spell", F.col("x.count").alias("count"), F.col("x.reach").alias("reach"))
+    books = each.where("spell").groupBy(*KEY, "cap").agg(F.count("*").alias("count"))
+    asked = keys.select(*KEY, F.explode(F.filter(F.array(*[F.lit(c).cast("long") for c in caps_now]), lambda c: c <= F.col("depth"))).alias("cap"))
+    books = asked.join(books, [*KEY, "cap"], "left").select(*KEY, "cap", F.lit(BOOK[0]).alias("base_type"), F.lit(BOOK[1]).alias("sub_type"), F.coalesce("count", F.lit(0)).alias("count"), F.lit(None).cast("long").alias("reach"))
+    return each.where("not spell").drop("spell").unionByName(books)
+
+
+def cohorts(fills: DataFrame, known_caps: list[int]) -> DataFrame:
+    """(version, cap, cohort): drawn containers as deep as each cap or deeper; cohorts are nested, and each container is counted once in each."""
+    drawn = fills.where("origin = 'fill'").groupBy("version", "depth").agg(F.count("*").alias("n"))
+    each = drawn.select("version", "n", F.explode(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(known_caps))]), lambda c: c <= F.col("depth"))).alias("cap"))
+    return each.groupBy("version", "cap").agg(F.sum("n").alias("cohort"))
+
+
+def surprise_for_caps(observed: DataFrame, fills: DataFrame, known_caps: list[int]) -> DataFrame:
+    """(version, cap, base_type, sub_type, count, tail_p) of drawn containers: by cap and kind the share that holds so many or more."""
+    group = ["version", "cap", "base_type", "sub_type"]
+    drawn = observed.join(fills.where("origin = 'fill'").select(KEY), KEY, "left_semi")
+    each = drawn.groupBy(*group, "count").agg(F.count("*").alias("n"))
+    up = Window.partitionBy(group).orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return each.withColumn("above", F.sum("n").over(up)).join(F.broadcast(cohorts(fills, known_caps)), ["version", "cap"]).select(*group, "count", (F.col("above") / F.col("cohort")).alias("tail_p"))
+
+
+def scores_for_caps(observed: DataFrame, table: DataFrame, sizes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(version, container_id, cap, score): each observed container at each of its caps, from a stored surprise table and cohort sizes, so
+    that a late container scores as it would have with the others."""
+    own = observed.where(F.col("sub_type") != BOOK[1])
+    weighed = with_weight(own, weights).unionByName(observed.where(F.col("sub_type") == BOOK[1]).withColumn("weight", F.lit(BOOK_WEIGHT)))
+    group = ["version", "cap", "base_type", "sub_type"]
+    steps = table.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("count", "tail_p"))).alias("_steps"))
+    below = F.element_at(F.filter("_steps", lambda s: s["count"] <= F.col("count")), -1)
+    found = F.when(F.exists("_steps", lambda s: s["count"] <= F.col("count")), below["tail_p"])
+    # sizes has a row for each version and cap
+    looked = weighed.join(steps, group, "left").join(F.broadcast(sizes), ["version", "cap"]).withColumn("tail_p", F.coalesce(found, 1 / F.col("cohort")))
+    cap = F.col("cap").cast("double")
+    use = F.coalesce(0.5 + 0.5 * ((cap - F.col("reach").cast("double") + 1) / cap), F.lit(1.0))
+    rated = looked.select(*KEY, "cap", (F.col("weight") * -F.log10(F.greatest("tail_p", 1 / F.col("cohort"))) * use).alias("contribution"))
+    total = F.aggregate(F.transform(F.col("_c"), lambda c, i: c * F.pow(F.lit(DECAY), i)), F.lit(0.0), lambda a, b: a + b)
+    return rated.groupBy(*KEY, "cap").agg(F.reverse(F.array_sort(F.collect_list("contribution"))).alias("_c")).select(*KEY, "cap", total.alias("score"))
+
+
+def drop_stale_caps(tables: dict[str, DataFrame], fills: DataFrame) -> dict[str, DataFrame]:
+    """Tables of scores, bands, cohorts and surprise without the caps that no container of the version is filled to any more."""
+    held = F.broadcast(caps(fills))  # a row for each version and depth
+    return {name: t.join(held, ["version", "cap"], "left_semi") for name, t in tables.items()}

@@ -46,14 +46,18 @@ def build_criteria(postings: DataFrame) -> DataFrame:
 
 
 def search_indexed(postings: DataFrame, keys: list[tuple[str, str, str, int]]) -> DataFrame:
-    """Containers with all keys (kind, a, b, min_count): a sum over the postings of any of them, one shuffle."""
+    """Containers with all keys (kind, a, b, min_count): a sum over the postings of any of them, one shuffle. Of equal keys the
+    greatest minimum holds."""
+    least: dict[tuple[str, str, str], int] = {}
+    for *key, n in keys:
+        least[tuple(key)] = max(n, least.get(tuple(key), n))
     match = asked = None
-    for i, (kind, a, b, n) in enumerate(keys):
+    for i, ((kind, a, b), n) in enumerate(least.items()):
         same = (F.col("kind") == kind) & (F.col("a") == a) & (F.col("b") == b)
         test = F.when(same & (F.col("count") >= n), i)
         match, asked = (test, same) if match is None else (F.coalesce(match, test), asked | same)
     hits = postings.where(asked).withColumn("_term", match).where("_term is not null")  # the first filter reaches the scan
-    return hits.groupBy(KEY).agg(F.countDistinct("_term").alias("n"), F.min("reach").alias("reach")).where(F.col("n") == len({k[:3] for k in keys})).drop("n")
+    return hits.groupBy(KEY).agg(F.countDistinct("_term").alias("n"), F.min("reach").alias("reach")).where(F.col("n") == len(least)).drop("n")
 
 
 def trigrams(names: DataFrame, column: str = "name") -> DataFrame:

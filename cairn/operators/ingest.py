@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,23 @@ PREFIX = "RECORD "
 def ingest_lines(lines: DataFrame, prefix: str = PREFIX) -> tuple[DataFrame, DataFrame]:
     """lines(value) -> (records, rejects with reason). Lines without the prefix are noise; a bad line never stops the rest."""
     kept = lines.where(F.col("value").startswith(prefix)).select(F.substr("value", F.lit(len(prefix) + 1)).alias("body"))
-    parsed = kept.withColumn("r", F.from_json("body", RECORD, {"mode": "PERMISSIVE"}))
-    return validate_records(parsed.select("body", "r.*"))
+    parsed = kept.withColumns({"r": F.from_json("body", RECORD, {"mode": "PERMISSIVE"}), "ill": _ill_typed("body")})
+    return validate_records(parsed.select("body", "ill", "r.*"))
+
+
+#: Top fields with the JSON types that they may have; a null is a field left out.
+_TYPES = (("version", "string"), ("seed", "string"), ("level", "string"), ("parent_level", "string"), ("gold", "integer"), ("cats", "object"))
+
+
+def _ill_typed(body: str) -> Column:
+    """The first field whose JSON value has another type than it must have; null: none."""
+    out = F.lit(None).cast("string")
+    for field, kind in reversed(_TYPES):
+        raw = F.variant_get(F.try_parse_json(F.col(body)), f"$.{field}", "variant")
+        found = F.schema_of_variant(raw)
+        right = found.startswith("OBJECT") if kind == "object" else found == ("STRING" if kind == "string" else "BIGINT")
+        out = F.when(raw.isNotNull() & (found != "VOID") & ~right, field).otherwise(out)
+    return out
 
 
 def reject_reason() -> Column:
@@ -29,6 +46,7 @@ def reject_reason() -> Column:
     return (
         F.when(F.col("format").isNull() & F.col("version").isNull() & F.col("seed").isNull(), "not a record")
         .when(F.coalesce(F.col("format") != FORMAT, F.lit(True)), "unknown format")
+        .when(F.col("ill").isNotNull(), F.concat(F.lit("ill-typed "), "ill"))
         .when(F.col("version").isNull(), "no version")
         .when(F.col("seed").isNull(), "no container")
         .when(F.col("level").isNull(), "no place")
@@ -39,7 +57,46 @@ def reject_reason() -> Column:
 
 def validate_records(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = parsed.withColumn("reason", reject_reason())
-    return marked.where("reason is null").drop("reason", "body"), marked.where("reason is not null").select("body", "reason")
+    return marked.where("reason is null").drop("reason", "body", "ill"), marked.where("reason is not null").select("body", "reason")
+
+
+@dataclass(frozen=True)
+class Intake:
+    """What a batch of lines gives: levels (place, parent, gold, altar_mask), entries as they are stored, and rejected lines."""
+
+    levels: DataFrame
+    entries: DataFrame
+    rejects: DataFrame
+    records: DataFrame
+
+    def close(self) -> None:
+        self.records.unpersist()
+
+
+def intake(lines: DataFrame, prefix: str = PREFIX) -> Intake:
+    """lines(value, and arrival where the order of a place's records counts) -> all that is stored of them, in one way: validated, the
+    last record of each place, flattened, pruned, altars of temples as masks, names that follow from columns left out.
+
+    Lines are parsed once: records are kept on disk while the batch is at work, and are parsed anew where an executor is lost.
+    """
+    from pyspark import StorageLevel
+
+    from .views import elide_names
+
+    kept = lines.where(F.col("value").startswith(prefix)).withColumn("body", F.substr("value", F.lit(len(prefix) + 1)))
+    arrival = F.col("arrival") if "arrival" in lines.columns else F.lit(0).cast("long")
+    parsed = kept.select("body", arrival.alias("arrival"), F.from_json("body", RECORD, {"mode": "PERMISSIVE"}).alias("r"), _ill_typed("body").alias("ill"))
+    marked = parsed.select("body", "arrival", "ill", "r.*").withColumn("reason", reject_reason()).persist(StorageLevel.DISK_ONLY)
+    good = marked.where("reason is null")
+    # records of a place that arrived together have no order: the greatest text is taken, in every run the same
+    last = good.groupBy("version", "seed", "level").agg(F.max(F.struct("arrival", "body")).alias("m")).select("version", "seed", "level", F.col("m.body").alias("body"))
+    records = good.join(last, ["version", "seed", "level", "body"], "left_semi").dropDuplicates(["version", "seed", "level"])
+    levels, entries = encode_altar_mask(levels_of_records(records), prune_entries(flatten_entries(records)))
+    return Intake(levels, elide_names(entries), marked.where("reason is not null").select("body", "reason"), marked)
+
+
+def levels_of_records(records: DataFrame) -> DataFrame:
+    return records.select("version", F.col("seed").alias("container_id"), F.col("level").alias("place"), F.col("parent_level").alias("parent"), "gold")
 
 
 def ingest_counts(records: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -189,6 +189,52 @@ def resolve_words(log: DataFrame, vocab: DataFrame) -> DataFrame:
     return all_words.withColumn("verdict", verdict)
 
 
+def readings(items: DataFrame, props: DataFrame) -> DataFrame:
+    """items(base_type, sub_type), props(prop) -> (word, token, how): what each typed word can mean, in ASCII lower case.
+
+    exact: an item's sub type, base type, token (base:sub) and the tail of a sub type after "of", and a property's name. part: one or
+    more whole words of a sub type. Each item has as many rows as its sub type has runs of words.
+    """
+    from ..functions.text import ascii_lower
+
+    token = F.concat("base_type", F.lit(":"), "sub_type")
+    tail = F.when(F.col("sub_type").contains(" of "), F.regexp_replace("sub_type", "^.* of ", ""))
+    words = F.split(F.col("sub_type"), " ")
+    runs = F.flatten(F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.size(words) - i), lambda n: F.array_join(F.slice(words, i + 1, n), " "))))
+    read = lambda w, how: F.struct(ascii_lower(w).alias("word"), F.lit(how).alias("how"))
+    exact = F.array(*[read(w, "exact") for w in (F.col("sub_type"), F.col("base_type"), token, tail)])
+    own = items.where("base_type is not null and sub_type is not null").select("base_type", "sub_type").distinct()
+    of_items = own.select(token.alias("token"), F.explode(F.concat(exact, F.transform(runs, lambda w: read(w, "part")))).alias("r")).select("r.word", "token", "r.how")
+    of_props = props.select("prop").distinct().select(ascii_lower(F.col("prop")).alias("word"), F.concat(F.lit("props:"), "prop").alias("token"), F.lit("exact").alias("how"))
+    return of_items.unionByName(of_props).where("word is not null").distinct()
+
+
+def resolve_readings(log: DataFrame, index: DataFrame) -> DataFrame:
+    """log(word) x readings() -> (word, verdict, tokens): one exact reading resolves a word, several are to pick from; without any, items
+    that have it among the words of their sub type (three letters or more) or that are one edit away (four or more) are suggested, but
+    never run. none: there is nothing near. Near words meet at their one-letter deletions, as in resolve_words()."""
+    from ..functions.text import ascii_lower, within_one_edit
+
+    words = log.select(ascii_lower(F.col("word")).alias("word")).where("word is not null").distinct()
+    exact = index.where("how = 'exact'").join(words, "word", "left_semi").groupBy("word").agg(F.array_sort(F.collect_set("token")).alias("exact"))
+    open_ = words.join(exact, "word", "left_anti")
+    part = open_.where(F.length("word") >= 3).join(index.where("how = 'part'"), "word").select("word", "token")
+
+    def keys(c: str) -> Column:
+        x = F.col(c)
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+        return F.explode(F.array_distinct(F.concat(F.array(x), cut)))
+
+    # properties are only ever meant exactly
+    known = index.where("how = 'exact' and not startswith(token, 'props:')").select(F.col("word").alias("known"), "token")
+    met = open_.where(F.length("word") >= 4).withColumn("k", keys("word")).join(known.select("known").distinct().withColumn("k", keys("known")), "k").select("word", "known").distinct()
+    edit = met.where(within_one_edit(F.col("word"), F.col("known"))).join(known, "known").select("word", "token")
+    near = part.unionByName(edit).groupBy("word").agg(F.array_sort(F.collect_set("token")).alias("near"))
+    told = words.join(exact, "word", "left").join(near, "word", "left")
+    verdict = F.when(F.size("exact") == 1, "resolved").when(F.size("exact") > 1, "pick").when(F.size("near") > 0, "suggest").otherwise("none")
+    return told.select("word", verdict.alias("verdict"), F.coalesce("exact", "near", F.array().cast("array<string>")).alias("tokens"))
+
+
 def search_many(specs: DataFrame, postings: DataFrame) -> DataFrame:
     """specs(query, kind, a, b, min_count) x postings -> (query, version, container_id) holding every criterion of the query."""
     need = specs.groupBy("query").agg(F.count("*").alias("need"))

@@ -79,6 +79,23 @@ def shop_stock(entries: DataFrame) -> DataFrame:
     return stock.drop("shop_type").join(shop, on, "left").withColumn("shop_type", F.col("_type")).select(*stock.columns)
 
 
+def shops_by_spot(entries: DataFrame) -> DataFrame:
+    """(place, x, y, shop_type, name, nth, goods, total, artefacts, stock) of every shop: what lies on its spot is its stock, dearest
+    first, then by name; spots without coordinates are one spot. Shops of one spot list the same goods; nth tells a place's shops apart,
+    by spot, type and name. Empty shops have a row, too. A shop's stock, which is what one spot holds, meets in one row."""
+    label = F.coalesce("name", F.concat_ws(" ", "base_type", "sub_type"))
+    goods = entries.where("cost is not null").groupBy(*PLACE, "x", "y").agg(
+        F.count("*").alias("goods"), F.sum("cost").alias("total"), F.count_if(F.coalesce("artefact", F.lit(False))).alias("artefacts"),
+        F.array_sort(F.collect_list(F.struct((-F.col("cost")).alias("dear"), label.alias("label")))).alias("stock"),
+    )
+    nth = F.row_number().over(Window.partitionBy(PLACE).orderBy("x", "y", "shop_type", "name"))
+    shop = entries.where("feat = 'enter_shop'").select(*PLACE, "x", "y", "shop_type", "name", nth.alias("nth"))
+    on = [shop[c] == goods[c] for c in PLACE] + [shop[c].eqNullSafe(goods[c]) for c in ("x", "y")]
+    held = shop.join(goods, on, "left")
+    stock = F.transform(F.coalesce(goods["stock"], F.array().cast("array<struct<dear:double,label:string>>")), lambda s: s["label"])
+    return held.select(*[shop[c] for c in (*PLACE, "x", "y", "shop_type", "name", "nth")], F.coalesce("goods", F.lit(0)).alias("goods"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("artefacts", F.lit(0)).alias("artefacts"), stock.alias("stock"))
+
+
 def place_sections(rows: DataFrame, levels: DataFrame) -> DataFrame:
     """Rows with the section that lists them (notable, sundries, monsters, altars, ways_on, features or shops), and a row of altars for
     each bit of a place's mask. Every row is in one section; vaults are among the features, priced items among the shops. rank is the
@@ -137,10 +154,41 @@ def collapse_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
 
 
+def report_document(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """(version, container_id, band, new_band, place, heading, place_at, line_at, line): a report of each container as an ordered document.
+
+    Places are in order of reach, portals after the others by their parent's; those with nothing to tell are left out. new_band marks the
+    first place of a band's run. Lines are items (artefacts, then stock, then what is carried, then the rest, each by name), features
+    and monsters; equal lines of a place and section are one with its number, where the first stood. rows are flattened entries with
+    category, feat, name, cost, artefact and carried_by; levels have parent. Equal lines are counted before a place's lines meet.
+    """
+    from ..functions.places import band_label
+
+    art = F.coalesce("artefact", F.lit(False))
+    item = F.col("category") == "items"
+    named = F.coalesce("name", F.when(item, F.concat_ws(" ", "base_type", "sub_type")), F.lit("?"))
+    price = F.when(F.col("cost").isNotNull(), F.concat(F.lit(" — shop, **"), F.format_string("%.2f", "cost"), F.lit("** gold"))).otherwise("")
+    carried = F.when(F.col("carried_by").isNotNull(), F.concat(F.lit(" — carried by **"), "carried_by", F.lit("**"))).otherwise("")
+    told = F.concat(F.lit("`"), named, F.lit("`"), price, carried, F.when(art, " _(artefact)_").otherwise(""))
+    line = F.when(item, told).when(F.col("category") == "features", F.coalesce("name", "feat")).otherwise(F.concat(F.lit("**"), named, F.lit("**")))
+    rank = F.when(~item, 0).when(art, 1).when(F.col("cost").isNotNull(), 2).when(F.col("carried_by").isNotNull(), 3).otherwise(4)
+    section = F.when(item, 1).when(F.col("category") == "features", 2).otherwise(3)
+    lines = rows.where("category in ('items', 'features', 'monsters')").groupBy(*PLACE, section.alias("section"), rank.alias("rank"), F.when(item, named).otherwise(line).alias("by"), line.alias("line")).agg(F.count("*").alias("n"))
+    portal = is_portal(F.col("place"))
+    heading = F.when(F.col("parent").isNotNull(), F.concat("place", F.lit(" _(from "), "parent", F.lit(")_"))).otherwise(F.col("place"))
+    told_places = levels.join(lines.select(PLACE).distinct(), PLACE, "left_semi")
+    run = Window.partitionBy(KEY).orderBy(portal, reach_with_parent(F.col("place"), F.col("parent")), "place")
+    placed = told_places.select(*PLACE, heading.alias("heading"), band_label(F.col("place")).alias("band"), F.row_number().over(run).alias("place_at"), (~band_label(F.col("place")).eqNullSafe(F.lag(band_label(F.col("place"))).over(run))).alias("new_band"))
+    numbered = lines.withColumn("line_at", F.row_number().over(Window.partitionBy(PLACE).orderBy("section", "rank", "by", "line")))
+    many = F.when(F.col("n") > 1, F.concat(F.lit(" ×"), F.col("n").cast("string"))).otherwise("")
+    return placed.join(numbered, PLACE).select(*KEY, "band", "new_band", "place", "heading", "place_at", "line_at", F.concat("line", many).alias("line"))
+
+
 def roster_coverage(roster: DataFrame, entries: DataFrame) -> DataFrame:
     """roster(name) x versions: how many entries have each declared name; 0: never seen."""
     seen = entries.where("name is not null").groupBy("version", "name").agg(F.count("*").alias("seen"))
-    return entries.select("version").distinct().crossJoin(F.broadcast(roster)).join(seen, ["version", "name"], "left").na.fill(0, ["seen"])
+    # versions are few, and are what is sent around; the roster may grow with the data
+    return roster.crossJoin(F.broadcast(entries.select("version").distinct())).join(seen, ["version", "name"], "left").na.fill(0, ["seen"]).select("version", *roster.columns, "seen")
 
 
 def flagged_present(flags: DataFrame, fills: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources.tables import fresh_path, written
 from .catalog import _BANDS, _FOUND, _PROOF, CAP, FLAGSHIP, KEY, POTION, QSUM, _scores, has, query, reach_sql
 
 
-def _indexed(spark, d, shallow: int | None = None):
+def indexed(spark, d, shallow: int | None = None):
     """(entries, fills, index): an index stored and read again; shallow: of places up to that reach only."""
     e, f = A.entries(spark, d), A.fills(spark, d)
     seen = e if shallow is None else e.where(places.reach_of(F.col("place")) <= shallow)
@@ -33,20 +33,20 @@ def _both(one: str, other: str) -> str:
 @query(_both(_TWO_PROPS, _ITEM))
 def Q8_verified_candidates(spark, d):
     """Lists of two properties leave candidates; only the entries tell whether one item has both."""
-    e, _, stored = _indexed(spark, d)
+    e, _, stored = indexed(spark, d)
     return answers.answer(e, stored, [Term(Props(("P1", "P4"))), Term(POTION)])[0]
 
 
 @query(_both(_NAMED, _ITEM))
 def I10_name_fragment(spark, d):
-    e, _, stored = _indexed(spark, d)
+    e, _, stored = indexed(spark, d)
     return answers.answer(e, stored, [Term(NameLike("Ng brand#1")), Term(POTION)])[0]
 
 
 @query(f"SELECT version, container_id, 'declined' AS way FROM ({has(_NAMED)})")
 def I7_declined_to_scan(spark, d):
     """A fragment with more containers than are looked through: the entries are scanned."""
-    e, _, stored = _indexed(spark, d)
+    e, _, stored = indexed(spark, d)
     term = Term(NameLike("ng brand#1"))
     held = answers.fragment_postings(stored, term, most=3)
     found, how = answers.answer(e, stored, [term], most_named=3)
@@ -55,15 +55,15 @@ def I7_declined_to_scan(spark, d):
 
 @query(f"SELECT version, container_id, max(depth) AS built_depth, max(origin) = 'submit' AS submitted, row_number() OVER (ORDER BY version, length(container_id), container_id) AS ord FROM fills GROUP BY version, container_id")
 def I2_mark_built(spark, d):
-    return _indexed(spark, d)[2].ordinals
+    return indexed(spark, d)[2].ordinals
 
 
 @query(f"SELECT version, max(n) AS most FROM (SELECT version, container_id, {QSUM} AS n FROM entries WHERE {_ITEM} GROUP BY ALL) GROUP BY version")
-def I11_ceiling_indexed(spark, d):
+def I11_ceilingindexed(spark, d):
     """From lists of shallow places, and the entries of the containers that have grown since."""
-    e, f, stored = _indexed(spark, d, shallow=3)
+    e, f, stored = indexed(spark, d, shallow=3)
     stale = index.changed(f, stored.ordinals.select(*KEY, F.col("built_depth").alias("depth")))
-    return answers.ceiling_indexed(e, stored, Term(POTION), stale)
+    return answers.ceilingindexed(e, stored, Term(POTION), stale)
 
 
 @query(f"SELECT version, max(n) AS most FROM (SELECT version, container_id, {QSUM} AS n FROM entries WHERE {_ITEM} GROUP BY ALL) GROUP BY version")
@@ -82,7 +82,7 @@ def Q4_count_explained(spark, d):
 @query(f"SELECT version, container_id FROM ({_FOUND})")
 def U4_overlay_answers(spark, d):
     """Lists of shallow places, with the containers that have grown since taken out and searched anew: the same as a scan."""
-    e, f, stored = _indexed(spark, d, shallow=3)
+    e, f, stored = indexed(spark, d, shallow=3)
     return answers.answer_now(e, f, stored, FLAGSHIP, most_changed=10_000_000)[0]
 
 
@@ -103,7 +103,7 @@ _AUDITED = {
 @query(" UNION ALL ".join(f"SELECT '{name}' AS query, '{way}' AS way, count(*) AS found, CAST(0 AS BIGINT) AS differing FROM ({has(test)})" for name, (_, test, way) in _AUDITED.items()))
 def I12_equivalence_audit(spark, d):
     """Ten searches by the index and by a scan: no container may differ."""
-    e, _, stored = _indexed(spark, d)
+    e, _, stored = indexed(spark, d)
     return answers.audit_equivalence(e, stored, {name: terms for name, (terms, _, _) in _AUDITED.items()})
 
 

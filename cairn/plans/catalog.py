@@ -15,6 +15,8 @@ from ..streaming import catalog as stream
 KEY = search.KEY
 U = places.UNKNOWN
 CAP = 9
+#: Caps that are scored together.
+CAPS = (7, 9, 13)
 
 # ---- SQL of the mapping
 
@@ -51,12 +53,13 @@ fills AS (SELECT version, container_id, coalesce(max(CASE WHEN place <> 'Sewer'
 features AS (SELECT version, container_id, 'D:' || CAST(k % 7 + 1 AS VARCHAR) AS place,
     CASE k % 5 WHEN 0 THEN 'altar_trog' WHEN 1 THEN 'enter_shop' WHEN 2 THEN 'enter_temple' WHEN 3 THEN 'enter_sewer' END AS feat
   FROM (SELECT DISTINCT version, container_id, CAST(container_id AS BIGINT) AS k FROM entries) WHERE k % 5 <> 4)"""
-#: What follows from the tables for the score at CAP.
-HEAT = f"""
+def heat_sql(cap: int) -> str:
+    """What follows from the tables for the score at a cap."""
+    return f"""
 ok AS (SELECT *, CASE WHEN place = 'Sewer' AND parent IS NOT NULL THEN {reach_sql("parent")} ELSE {reach_sql("place")} END AS reach FROM levels
-  WHERE ({reach_sql("place")} <= {CAP} OR {reach_sql("place")} = {U}) AND (parent IS NULL OR place <> 'Sewer' OR {reach_sql("parent")} <= {CAP} OR {reach_sql("parent")} = {U})),
+  WHERE ({reach_sql("place")} <= {cap} OR {reach_sql("place")} = {U}) AND (parent IS NULL OR place <> 'Sewer' OR {reach_sql("parent")} <= {cap} OR {reach_sql("parent")} = {U})),
 placed AS (SELECT e.*, ok.reach FROM entries e JOIN ok USING (version, container_id, place) WHERE cost IS NULL),
-allkeys AS (SELECT version, container_id, origin FROM fills WHERE depth >= {CAP}),
+allkeys AS (SELECT version, container_id, origin FROM fills WHERE depth >= {cap}),
 obs AS (SELECT version, container_id, base_type, sub_type, CAST(sum(coalesce(quantity, 1)) AS BIGINT) AS count, min(reach) AS reach
   FROM placed SEMI JOIN allkeys USING (version, container_id) WHERE base_type IS NOT NULL GROUP BY ALL),
 book AS (SELECT k.version, k.container_id, count(DISTINCT p.spell) AS count FROM allkeys k LEFT JOIN
@@ -73,11 +76,14 @@ looked AS (SELECT w.version, w.container_id, w.base_type, w.sub_type, w.count, w
     coalesce(arg_max(t.tail_p, t.count) FILTER (WHERE t.count <= w.count), 1 / max(cohort)) AS tail_p
   FROM weighed w JOIN sizes USING (version) LEFT JOIN tails t ON t.version = w.version AND t.base_type = w.base_type AND t.sub_type = w.sub_type
   WHERE weight IS NOT NULL GROUP BY ALL),
-contrib AS (SELECT version, container_id, weight * -log10(greatest(tail_p, 1 / cohort)) * coalesce(0.5 + 0.5 * (({CAP} - CAST(reach AS DOUBLE) + 1) / {CAP}), 1.0) AS c FROM looked),
+contrib AS (SELECT version, container_id, weight * -log10(greatest(tail_p, 1 / cohort)) * coalesce(0.5 + 0.5 * (({cap} - CAST(reach AS DOUBLE) + 1) / {cap}), 1.0) AS c FROM looked),
 scores AS (SELECT version, container_id, sum(c * pow(0.6, r - 1)) AS score FROM
   (SELECT *, row_number() OVER (PARTITION BY version, container_id ORDER BY c DESC) AS r FROM contrib) GROUP BY ALL)"""
 
 
+HEAT = heat_sql(CAP)
+
+
 def sql(body: str, more: str = "") -> str:
     return f"WITH {CTE}{',' + more if more else ''}\n{body}"
 
@@ -235,24 +241,24 @@ _POST = f"""post AS (SELECT version, CASE WHEN cost IS NULL THEN 'floor/' ELSE '
   GROUP BY ALL)"""
 
 
-def _postings(spark, d):
+def stored_postings(spark, d):
     """The postings, stored by version, those of a key side by side."""
     return stored(spark, d, "catalog-postings", lambda: index.build_postings(A.entries(spark, d)).repartition("version", "kind", "a", "b").sortWithinPartitions("version", "kind", "a", "b"), by=("version",))
 
 
 @query("SELECT version, kind, a, b, container_id, reach, count FROM post", _POST)
 def I3_postings(spark, d):
-    return _postings(spark, d)
+    return stored_postings(spark, d)
 
 
 @query("SELECT version, kind, a, b, count(*) AS card, max(count) AS most FROM post GROUP BY ALL", _POST)
 def I4_criteria(spark, d):
-    return index.build_criteria(_postings(spark, d))
+    return index.build_criteria(stored_postings(spark, d))
 
 
 @query(f"SELECT version, container_id, min(reach) AS reach FROM hits GROUP BY ALL", _PROOF)
 def I5_indexed_search(spark, d):
-    return index.search_indexed(_postings(spark, d), [("floor/item", "potion", "bolt", 3), ("floor/item", "weapon", "gear", 1)])
+    return index.search_indexed(stored_postings(spark, d), [("floor/item", "potion", "bolt", 3), ("floor/item", "weapon", "gear", 1)])
 
 
 @query("SELECT DISTINCT name FROM entries WHERE contains(lower(name), 'ng brand#1')")
@@ -263,7 +269,7 @@ def I6_trigram_names(spark, d):
 
 @query("SELECT version, count(*) AS criteria, CAST(sum(card) AS BIGINT) AS postings, CAST(sum(ceil(card / 512)) AS BIGINT) AS blocks FROM (SELECT version, kind, a, b, count(*) AS card FROM post GROUP BY ALL) GROUP BY version", _POST)
 def A13_index_stats(spark, d):
-    return index.index_stats(index.build_criteria(_postings(spark, d)))
+    return index.index_stats(index.build_criteria(stored_postings(spark, d)))
 
 
 @query("SELECT version, container_id, row_number() OVER (ORDER BY late, version, length(container_id), container_id) AS ord FROM (SELECT DISTINCT version, container_id, CAST(container_id AS BIGINT) % 3 = 0 AS late FROM entries)")
@@ -300,8 +306,7 @@ def _heat(spark, d):
 
 @query("SELECT version, base_type, sub_type, count, round(tail_p, 9) AS tail_p FROM tails", HEAT)
 def H4_surprise(spark, d):
-    e, lv, fl, sp = _heat(spark, d)
-    return heat.surprise(e, lv, fl, sp, CAP).withColumn("tail_p", F.round("tail_p", 9))
+    return _surprise(spark, d).where(F.col("cap") == CAP).drop("cap").withColumn("tail_p", F.round("tail_p", 9))
 
 
 @query("SELECT version, container_id, base_type, sub_type, count, reach FROM obs", HEAT)
@@ -316,10 +321,26 @@ def A8_early_spells(spark, d):
     return heat.early_spells(e, lv, heat.cohort(fl, CAP, submitted=True), sp, CAP)
 
 
+def observed(spark, d):
+    """What containers hold at each of CAPS, stored: one scan of the entries for all."""
+    make = lambda: heat.observed_for_caps(heat.placed_for_caps(A.entries(spark, d), A.levels(spark, d)), A.fills(spark, d), A.spell_levels(spark), list(CAPS))
+    return stored(spark, d, "catalog-observed", make, by=("version",))
+
+
+def _surprise(spark, d):
+    return heat.surprise_for_caps(observed(spark, d), A.fills(spark, d), list(CAPS))
+
+
+def all_scores(spark, d, seen=None):
+    """Scores at all CAPS of what is observed, from the stored surprise table."""
+    table = stored(spark, d, "catalog-surprise", lambda: _surprise(spark, d))
+    seen = observed(spark, d) if seen is None else seen
+    return heat.scores_for_caps(seen, table, heat.cohorts(A.fills(spark, d), list(CAPS)), F.broadcast(A.weights(spark)))
+
+
 def _scores(spark, d):
-    e, lv, fl, sp = _heat(spark, d)
-    table = stored(spark, d, "catalog-surprise", lambda: heat.surprise(e, lv, fl, sp, CAP))
-    return heat.scores(e, lv, fl, sp, F.broadcast(A.weights(spark)), table, CAP), fl
+    seen = observed(spark, d).where(F.col("cap") == CAP)
+    return all_scores(spark, d, seen).drop("cap"), A.fills(spark, d)
 
 
 @query("SELECT version, container_id, round(score, 6) AS score FROM scores", HEAT)
@@ -354,9 +375,45 @@ def H9_cohort_size(spark, d):
 
 @query("SELECT version, container_id, round(score, 6) AS score FROM scores SEMI JOIN (SELECT * FROM fills WHERE origin = 'submit') USING (version, container_id)", HEAT)
 def H10_score_late(spark, d):
+    scored, fl = _scores(spark, d)
+    return scored.join(fl.where("origin = 'submit'"), KEY, "left_semi").withColumn("score", F.round("score", 6))
+
+
+_EACH_CAP = " UNION ALL ".join(f"SELECT version, container_id, CAST({cap} AS BIGINT) AS cap, round(score, 6) AS score FROM (WITH {heat_sql(cap)} SELECT * FROM scores)" for cap in CAPS)
+
+
+@query(_EACH_CAP)
+def H10_all_caps(spark, d):
+    """Every container at every cap up to its depth, from one scan."""
+    return all_scores(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT s.* FROM ({_EACH_CAP}) s JOIN fills f USING (version, container_id) WHERE origin = 'submit'")
+def H10_late_at_all_caps(spark, d):
+    """Containers that came after the table was made: observed alone, scored at each cap from the stored table."""
     e, lv, fl, sp = _heat(spark, d)
-    late = fl.where(f"origin = 'submit' and depth >= {CAP}").select(KEY)
-    return heat.scores(e, lv, fl, sp, F.broadcast(A.weights(spark)), heat.surprise(e, lv, fl, sp, CAP), CAP, late).withColumn("score", F.round("score", 6))
+    late = fl.where("origin = 'submit'")
+    own = e.join(late.select(KEY), KEY, "left_semi")
+    return all_scores(spark, d, heat.observed_for_caps(heat.placed_for_caps(own, lv), late, sp, list(CAPS))).withColumn("score", F.round("score", 6))
+
+
+@query(" UNION ALL ".join(f"SELECT version, CAST({cap} AS BIGINT) AS cap, base_type, sub_type, count, round(tail_p, 9) AS tail_p FROM (WITH {heat_sql(cap)} SELECT * FROM tails)" for cap in CAPS))
+def H4_surprise_at_all_caps(spark, d):
+    return _surprise(spark, d).withColumn("tail_p", F.round("tail_p", 9))
+
+
+@query("SELECT 'scores' AS name, version, cap, count(*) AS n FROM (SELECT version, depth AS cap FROM fills) GROUP BY ALL UNION ALL SELECT t.name, version, 13, 1 FROM (SELECT DISTINCT version FROM fills WHERE depth = 13), (VALUES ('bands'), ('cohorts'), ('surprise')) t(name)")
+def H1_stale_caps_dropped(spark, d):
+    """Tables by cap lose the caps that no container has any more: 100 was held once, 13 still is."""
+    f = A.fills(spark, d)
+    one = f.select("version").distinct()
+    kept = f.where("depth = 13").select("version", F.col("depth").alias("cap")).distinct().unionByName(one.withColumn("cap", F.lit(100).cast("long")))
+    scored = f.select("version", F.col("depth").alias("cap")).unionByName(one.withColumn("cap", F.lit(100).cast("long")))
+    out = None
+    for name, t in heat.drop_stale_caps({"scores": scored, "bands": kept, "cohorts": kept, "surprise": kept}, f).items():
+        part = t.groupBy(F.lit(name).alias("name"), "version", "cap").agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT DISTINCT version, depth AS cap FROM fills")
@@ -678,7 +735,7 @@ def N5_set_entropy(spark, d):
 
 @query("SELECT version, first AS container, CAST(sum(new) OVER (PARTITION BY version ORDER BY first) AS BIGINT) AS kinds FROM (SELECT version, first, count(*) AS new FROM (SELECT version, base_type || ':' || sub_type AS kind, min(CAST(container_id AS BIGINT)) AS first FROM entries GROUP BY ALL) GROUP BY ALL)")
 def N5_growth_curve(spark, d):
-    return audit.growth_curve(A.entries(spark, d))
+    return audit.growth_curve(A.entries(spark, d)).withColumn("container", F.col("container").cast("long"))
 
 
 @query("SELECT version, base_type, count(*) AS entries, count(*) FILTER (WHERE cost IS NOT NULL) AS priced, count(*) FILTER (WHERE artefact) AS artefacts FROM entries GROUP BY ALL")

@@ -4,78 +4,36 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_hash
 from ..operators import ingest
 from ..operators.index import trigrams
-from ..sources.tables import fresh_path, written
+from ..sources.tables import fresh_path
+from .store import CatalogStore, Log, checkpoint_epoch
 
 
-class Pointers:
-    """Which folder holds the present state of each bucket: rows (batch, bucket, path) that batches add to a table of their own.
+class PlaceStore(CatalogStore):
+    """Entry rows by place: a place of a batch replaces the old. Of a place's records in a batch the last by arrival counts."""
 
-    A batch that is sent again sees the state before it and writes the same anew, whether or not it had come to its end; what a
-    batch left half-written is never pointed at. So the state outlives the process, and a reader never sees half a batch.
-    """
-
-    SCHEMA = "batch long, bucket int, path string"
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, f"{folder}/pointers"
-
-    def rows(self, before: int | None = None) -> list:
-        """The latest pointer of each bucket, of batches before one or of all; no more rows than buckets reach the driver."""
-        try:
-            known = self.spark.read.schema(self.SCHEMA).parquet(self.folder)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-        known = known if before is None else known.where(F.col("batch") < before)
-        return known.groupBy("bucket").agg(F.max(F.struct("batch", "path")).alias("p")).select("bucket", "p.*").collect()
-
-    def add(self, batch: int, paths: dict[int, str]) -> None:
-        rows = [(batch, bucket, path) for bucket, path in sorted(paths.items())]
-        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
-
-
-class PlaceStore:
-    """Entries by place, in buckets by container: a batch rewrites the buckets that it touches and leaves the others as they are."""
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, record: str | None = None):
-        self.spark, self.folder, self.buckets, self.record = spark, folder, buckets, record
-        self.pointers = Pointers(spark, folder)
-
-    def _read(self, rows: list) -> DataFrame | None:
-        out = None
-        for row in rows:
-            part = self.spark.read.parquet(row.path)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        return out
+    def __init__(self, spark: SparkSession, folder: str, record: str | None = None):
+        super().__init__(spark, folder)
+        self.record = record
 
     @property
     def current(self) -> DataFrame | None:
-        return self._read(self.pointers.rows())
+        found = self.tables()
+        return None if found is None else found[1]
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64("version", "container_id"), F.lit(self.buckets)).cast("int")
-        latest = written(ingest.latest_per_place(batch, record=self.record).withColumn("_bucket", bucket), "batch")
-        touched = {r[0] for r in latest.select("_bucket").distinct().collect()}
-        if not touched:
-            return
-        old = self._read([r for r in self.pointers.rows(before=batch_id) if r.bucket in touched])
-        rows = latest if old is None else ingest.upsert_places(old.withColumn("_bucket", bucket), latest)
-        path = f"{self.folder}/b{batch_id}-{uuid.uuid4().hex}"
-        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-        self.pointers.add(batch_id, {k: f"{path}/_bucket={k}" for k in touched})
+    def upsert(self, batch: DataFrame, batch_id: int, epoch: str = "") -> bool:
+        return self.append(None, ingest.latest_per_place(batch, record=self.record), epoch, batch_id)
 
 
 def stream_ingest(source: DataFrame, store: PlaceStore, checkpoint: str):
     """source: a stream of entry rows with version, container_id, place and arrival. A place sent again replaces the old, however late."""
-    return source.writeStream.foreachBatch(store.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = lambda batch, batch_id: store.upsert(batch, batch_id, checkpoint_epoch(batch.sparkSession, checkpoint))
+    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_counts(source: DataFrame) -> DataFrame:
@@ -92,33 +50,34 @@ def stream_flags(source: DataFrame, key: bytes, watermark: str | None = None) ->
 
 
 class NameIndex:
-    """A trigram index with the highest id that it covers; each batch adds the trigrams of the names beyond it, and then its mark."""
+    """A trigram index with the highest id that it covers (its mark); each batch adds the trigrams of the names beyond it."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.pointers = spark, folder, Pointers(spark, folder)
+        self.spark, self.folder, self.entered = spark, folder, Log(spark, folder)
 
     @property
     def mark(self) -> int:
-        return max((r.bucket for r in self.pointers.rows()), default=0)
+        return self.entered.last("")[2]
 
     @property
     def grams(self) -> DataFrame | None:
-        paths = [r.path for r in self.pointers.rows()]
+        paths = [r.path for r in self.entered.rows().select("path").collect()]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def catch_up(self, batch: DataFrame, batch_id: int) -> None:
-        mark = max((r.bucket for r in self.pointers.rows(before=batch_id)), default=0)
+    def catch_up(self, batch: DataFrame, batch_id: int, epoch: str = "") -> None:
+        seq, done, mark = self.entered.last(epoch)
         new = batch.where(F.col("id") > mark)
-        top = new.agg(F.max("id")).first()[0]
+        top = None if batch_id <= done else new.agg(F.max("id")).first()[0]
         if top is None:
             return
-        path = f"{self.folder}/b{batch_id}-{uuid.uuid4().hex}"
+        path = f"{self.folder}/names-{uuid.uuid4().hex}"
         trigrams(new.withColumnRenamed("val", "name")).write.parquet(path)
-        self.pointers.add(batch_id, {top: path})  # the bucket is the mark: the same batch sent again points to the same
+        self.entered.enter(seq + 1, epoch, batch_id, "names", path, top)
 
 
 def stream_name_index(source: DataFrame, index: NameIndex, checkpoint: str):
-    return source.writeStream.foreachBatch(index.catch_up).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = lambda batch, batch_id: index.catch_up(batch, batch_id, checkpoint_epoch(batch.sparkSession, checkpoint))
+    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:

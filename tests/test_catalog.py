@@ -228,7 +228,7 @@ def test_streams(spark, tmp_path):
 
 def test_a_batch_sent_again_changes_nothing(spark, tmp_path):
     schema = "version string, container_id string, place string, x string, arrival long, record long"
-    send = lambda rows, n: streaming.PlaceStore(spark, str(tmp_path / "s"), buckets=4, record="record").upsert(spark.createDataFrame(rows, schema), n)
+    send = lambda rows, n: streaming.PlaceStore(spark, str(tmp_path / "s"), record="record").upsert(spark.createDataFrame(rows, schema), n)
     assert streaming.PlaceStore(spark, str(tmp_path / "s")).current is None
     send([("v", str(i), "D:1", "old", 1, i) for i in range(20)], 0)
     late = [("v", "3", "D:1", "lost", 5, 1), ("v", "3", "D:1", "won", 5, 2), ("v", "3", "D:1", "early", 4, 9)]
