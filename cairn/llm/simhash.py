@@ -21,12 +21,14 @@ SEED = 42
 SLOTS = tuple(c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0)
 #: Slots that a pair within 2 bits shares at least, as it is equal at 6 byte positions or more.
 MATCHES = 3
-#: Pairs of lists of up to so many fingerprints are tallied; members of longer lists, whose pairs grow with the square of their
-#: length, meet at single-bit neighbours instead, which is exact, too.
-LIST_LIMIT = 16
+#: Lists of more fingerprints are split by a further position each, until they are as short or SPLITS positions have been added: two
+#: bytes, then two nibbles of the last two bytes, after which 8 bits are free, so that no list has more than 256.
+LIST_LIMIT, SPLITS = 16, 4
 _CHUNK = 1 << 16
 #: Lists that a shingle set stands in for near_copies(), and the minimum hashes that two sets share to meet in one.
 LISTS, TOGETHER = 24, 4
+#: Single minimum hashes that split a long list, and the members of a list, or of a block of one, that are compared in one row.
+FINE, GATHERED = 16, 256
 #: Bits of a set's bitmap, by which pairs are told that can't have the similarity.
 BITS = 1024
 
@@ -66,30 +68,55 @@ def postings(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.bytes", "fp")
 
 
-def tallied(index: DataFrame) -> DataFrame:
-    """(u, v, n), u < v: in how many lists of the index two fingerprints meet."""
-    lists = index.groupBy("slot", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+def _unit(fp: Column, q: Column) -> Column:
+    """The bits of fp at a position: 0 to 7 are its bytes, 8 to 23 its nibbles."""
+    shift, mask = F.when(q < 8, q * 8).otherwise((q - 8) * 4), F.when(q < 8, 255).otherwise(15)
+    return F.call_function("shiftrightunsigned", fp, shift.cast("int")).bitwiseAND(mask.cast("long"))
+
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """(u, v, n), u < v: in how many slots two fingerprints of lists(slot, bytes, unlike, fp) meet. A list gives only pairs that differ at
+    its positions `unlike`: those that are equal there meet in another list of the slot, so that a slot counts once."""
+    held = lists.groupBy("slot", "bytes", "unlike").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = F.flatten(F.transform("fps", lambda x, k: F.transform(F.slice("fps", k + 2, F.size("fps")), lambda y: F.struct(x.alias("u"), y.alias("v")))))
-    return lists.select(F.explode(pairs).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("n"))
+    met = held.select("unlike", F.explode(pairs).alias("p")).where(F.forall("unlike", lambda q: _unit(F.col("p.u"), q) != _unit(F.col("p.v"), q)))
+    return met.groupBy("p.u", "p.v").agg(F.count("*").alias("n"))
+
+
+def split(lists: DataFrame, step: int) -> DataFrame:
+    """Each list(slot, bytes, left, unlike, fp) by one position more. A pair within 2 bits differs at 2 positions at most, so of any three
+    positions left it is equal at one: three lists for each fingerprint, and a pair meets in that of the first at which it is equal."""
+    each = lists.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("q", F.col("left")[F.col("i")])
+    left = F.filter("left", lambda x: x != F.col("q"))
+    if step == 1:  # two bytes are left: their nibbles
+        left = F.flatten(F.transform(left, lambda p: F.array(8 + 2 * p, 9 + 2 * p)))
+    return each.select("slot", F.xxhash64("bytes", "q", _unit(F.col("fp"), F.col("q"))).alias("bytes"), left.alias("left"), F.concat("unlike", F.slice("left", F.lit(1), F.col("i"))).alias("unlike"), "fp")
 
 
 def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp, no repeats) at 1 or 2 differing bits; they join all and only what such pairs join.
+    """Edges (u, v), u < v, of all distinct fingerprints (column fp, no repeats) at 1 or 2 differing bits.
 
-    Short lists: shared slots are counted by pair, pairs with MATCHES or more are retained and verified bit by bit. A pair that
-    shares a long list as well may count too few, but both of it are members of a long list.
-    Long lists: two fingerprints differ in at most 2 bits if and only if one is, or both are next to, some value one bit away;
-    each member of a long list emits these 65 values, and those that meet at a value (65 at most) are joined to the least.
+    Shared slots of the index are counted by pair, pairs with MATCHES or more are retained and verified bit by bit. Lists of more than
+    list_limit are first split by further positions; the slots that a pair shares stay the same.
     """
-    index = postings(fps)
-    sizes = index.groupBy("slot", "bytes").count().where("count > 1")
-    short = index.join(sizes.where(F.col("count") <= list_limit), ["slot", "bytes"], "left_semi")
-    found = tallied(short).where(F.col("n") >= MATCHES).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2).select("u", "v")
-    hot = index.join(sizes.where(F.col("count") > list_limit), ["slot", "bytes"], "left_semi").select("fp").distinct()
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
-    met = hot.select("fp", F.explode(around).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    star = met.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
-    return found.unionByName(star)
+    rest = F.array(*[F.array(*[F.lit(k) for k in range(8) if k not in slot]) for slot in SLOTS])
+    now = postings(fps).select("slot", "bytes", rest[F.col("slot")].alias("left"), F.array().cast("array<int>").alias("unlike"), "fp")
+    parts, key = [], ["slot", "bytes", "unlike"]
+    for step in range(SPLITS + 1):
+        sizes = now.groupBy(key).count().where("count > 1")
+        if step == SPLITS:
+            parts.append(now.join(sizes, key, "left_semi"))
+            break
+        sizes = written(sizes, "sizes")
+        parts.append(now.join(sizes.where(F.col("count") <= list_limit), key, "left_semi"))
+        long = sizes.where(F.col("count") > list_limit)
+        if long.isEmpty():
+            break
+        now = split(written(now.join(long, key, "left_semi"), "long"), step)
+    lists = parts[0]
+    for part in parts[1:]:
+        lists = lists.unionByName(part)
+    return tallied(lists).where(F.col("n") >= MATCHES).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,13 +149,16 @@ def shingle_set(text: str, shingle_words: int) -> np.ndarray:
     return np.unique(np.array([hashed(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [], np.uint64))
 
 
-def _positions(hashes: np.ndarray) -> list[int]:
-    """A key for each of LISTS positions: TOGETHER minimum hashes of the set. Sets of similarity s agree at one with chance s ** TOGETHER."""
+def _positions(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """A key for each of LISTS positions: TOGETHER minimum hashes of the set. Sets of similarity s agree at one with chance s ** TOGETHER.
+    And the first FINE minimum hashes one by one."""
     draw = np.random.default_rng(SEED).integers(0, 1 << 63, (2, LISTS * TOGETHER), np.uint64)
     least = np.full(LISTS * TOGETHER, (1 << 64) - 1, np.uint64)
     for at in range(0, len(hashes), 2048):
         least = np.minimum(least, (hashes[at : at + 2048, None] * (2 * draw[0] + 1) + draw[1]).min(0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least.reshape(LISTS, TOGETHER))] if len(hashes) else []
+    if not len(hashes):
+        return [], []
+    return [xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least.reshape(LISTS, TOGETHER))], least[:FINE].tolist()
 
 
 def _signed(values) -> list[int]:
@@ -144,13 +174,13 @@ def _sets(shingle_words: int):
 
 
 def _signatures(shingle_words: int):
-    @arrow_udf("digest long, size int, keys array<long>, bits binary")
+    @arrow_udf("digest long, size int, keys array<long>, fine array<long>, bits binary")
     def signatures(texts: pa.Array) -> pa.Array:
         found = [shingle_set(t, shingle_words) for t in texts.to_pylist()]
         digests = pa.array(_signed([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found]), pa.int64())
-        keys = pa.array([_signed(_positions(h)) for h in found], pa.list_(pa.int64()))
+        keys, fine = (pa.array([_signed(x) for x in each], pa.list_(pa.int64())) for each in (zip(*map(_positions, found)) if found else ([], [])))
         bits = pa.array([_bits(h) for h in found], pa.binary())
-        return pa.StructArray.from_arrays([digests, pa.array([len(h) for h in found], pa.int32()), keys, bits], names=["digest", "size", "keys", "bits"])
+        return pa.StructArray.from_arrays([digests, pa.array([len(h) for h in found], pa.int32()), keys, fine, bits], names=["digest", "size", "keys", "fine", "bits"])
 
     return signatures
 
@@ -198,16 +228,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     At 0.8 fingerprints of 64 bits lie up to 18 bits apart and more, where no guaranteed minimum of shared positions remains. So sets
     meet in lists of positional minimum hashes (at 0.8, 3 pairs in a million meet in none), and every link is verified on whole sets.
     First each list's members are compared with one of them, another in each list; then, where a list still holds several
-    components, all pairs between them, of which bitmaps leave those that can be alike. So a large group of near copies is joined in
-    proportion to its size.
+    components, pairs between them, of which bitmaps leave those that can be alike. So a large group of near copies is joined in
+    proportion to its size. Lists of more than GATHERED members, such as those of a passage that very many unlike texts share, are split by
+    12 or more single minimum hashes apart from the list's own (a pair at 0.8 agrees at none with a chance of 4 in a billion); what even
+    these don't split is compared block by block of GATHERED members, so that no row holds more than two blocks.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     signed = written(texts.select("id", F.xxhash64("text").alias("source"), _signatures(shingle_words)("text").alias("s")).select("id", "source", "s.*"), "signatures")
-    classes = written(signed.groupBy("digest").agg(F.min("id").alias("first"), F.min("source").alias("source"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
-    every = classes.select("digest", "source", "size", F.explode("keys").alias("key"))
+    classes = written(signed.groupBy("digest").agg(F.min("id").alias("first"), F.min("source").alias("source"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fine").alias("fine"), F.first("bits").alias("bits")), "classes")
+    every = classes.select("digest", "source", "size", F.posexplode("keys").alias("list", "key"))
     lists = every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("digest", "key").alias("draw"), "digest", "size")).alias("lead")).where("n > 1")
-    index = written(every.join(lists, "key").select("key", "digest", "source", "size", "lead"), "index")
+    index = written(every.join(lists, "key").select("key", "list", "digest", "source", "size", "lead"), "index")
     wanted = index.select("source").distinct()
     shown = texts.withColumn("source", F.xxhash64("text")).join(wanted, "source", "left_semi").select("source", _sets(shingle_words)("text").alias("hashes"))
     shown = shown.groupBy("source").agg(F.first("hashes").alias("hashes"))
@@ -222,9 +254,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     led = index.where("digest <> lead.digest").where(fits).select(F.least("digest", "lead.digest").alias("u"), F.greatest("digest", "lead.digest").alias("v"))
     first = written(alike(led), "links")
     joined = connected_components(first)
-    parts = written(index.select("key", "digest", "size").join(joined.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "size", F.coalesce("component", "digest").alias("part")), "parts")
-    mixed = parts.join(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most"), "key", "left_semi")
-    held = mixed.join(classes.select("digest", "bits"), "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "part", "size", "bits")).alias("members"))
+    parts = index.select("key", "list", "digest", "size").join(joined.withColumnRenamed("node", "digest"), "digest", "left").select("key", "list", "digest", "size", F.coalesce("component", "digest").alias("part"))
+    mixed = lambda rows: written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most"), "key").drop("least", "most"), "mixed")
+    whole = mixed(written(parts, "parts"))
+    fine = whole.where(F.col("n") > GATHERED).join(classes.select("digest", "fine"), "digest").select("key", "list", "digest", "size", "part", F.posexplode("fine").alias("at", "least")).where(F.floor(F.col("at") / TOGETHER) != F.col("list"))
+    finer = mixed(fine.select(F.xxhash64("key", "at", "least").alias("key"), "list", "digest", "size", "part"))
+    lists = [rows.where(F.col("n") <= GATHERED).select("key", F.lit(0).alias("block"), F.lit(0).alias("other"), "digest", "part", "size") for rows in (whole, finer)]
+    # members of a list that is still long lie in blocks by hash; each goes to the pairs of its block with all
+    blocks = F.ceil(F.col("n") / F.lit(GATHERED)).cast("int")
+    own = finer.where(F.col("n") > GATHERED).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("digest", "key"), blocks.cast("long")).cast("int")})
+    paired = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"), "digest", "part", "size")
+    members = lists[0].unionByName(lists[1]).unionByName(paired).join(classes.select("digest", "bits"), "digest")
+    held = members.groupBy("key", "block", "other").agg(F.collect_list(F.struct("digest", "part", "size", "bits")).alias("members"))
     second = alike(held.select(F.explode(_pairs(similarity)("members")).alias("p")).select("p.u", "p.v"))
     found = connected_components(first.unionByName(second)).withColumnRenamed("node", "digest")
     rooted = classes.select("digest", "first").join(found, "digest", "left").withColumn("root", F.coalesce("component", "digest"))

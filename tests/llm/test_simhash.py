@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from cairn.llm import simhash
@@ -62,7 +63,8 @@ def test_links_join_what_brute_force_joins(spark, limit):
             fps.add(v - 2**64 if v >= 2**63 else v)
     fps = sorted(fps)
     edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), limit)
-    assert all(bin((r.u ^ r.v) & (2**64 - 1)).count("1") <= 2 for r in edges.collect())
+    found = sorted((r.u, r.v) for r in edges.collect())  # each pair once, by whatever lists
+    assert found == [(u, v) for i, u in enumerate(fps) for v in fps[i + 1 :] if bin((u ^ v) & (2**64 - 1)).count("1") <= 2]
     got = {r.node: r.component for r in connected_components(edges).collect()}
     want = plain_components([f & (2**64 - 1) for f in fps], fps)
     assert [got.get(f, f) for f in fps] == want
@@ -74,7 +76,8 @@ def test_tallies_tell_shared_positions(spark):
     base = rng.integers(0, 256, 8)
     rows = {tuple(np.where(rng.random(8) < 0.6, base, rng.integers(0, 256, 8)).tolist()) for _ in range(120)}
     fps = sorted(int.from_bytes(bytes(r), "little", signed=True) for r in rows)
-    got = {(r.u, r.v): r.n for r in simhash.tallied(simhash.postings(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    index = simhash.postings(spark.createDataFrame([(f,) for f in fps], "fp long")).withColumn("unlike", F.array().cast("array<int>"))
+    got = {(r.u, r.v): r.n for r in simhash.tallied(index).collect()}
     equal = lambda a, b: sum(x == y for x, y in zip(a.to_bytes(8, "little", signed=True), b.to_bytes(8, "little", signed=True)))
     for i, u in enumerate(fps):
         for v in fps[i + 1 :]:
@@ -137,6 +140,32 @@ def test_near_copies_are_found_by_similarity(spark, docs, rng):
     assert far > 0 and simhash.near_copies(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("gathered", [4, 16])
+def test_long_lists_are_split(spark, docs, rng, monkeypatch, gathered):
+    """Texts around a passage that all share: most are unlike, some near enough to be compared, few alike; lists are far longer than what
+    is compared in one row, some of them even after they are split by single minimum hashes."""
+    monkeypatch.setattr(simhash, "GATHERED", gathered)
+    passage = words(rng, 60)
+    rows = [(i, passage + " " + words(rng, rng.choice([40, 60, 200]))) for i in range(60)]
+    near = words(rng, 90).split()
+    for i in range(60):  # similarities of 0.6 to 0.85 with each other
+        changed = list(near)
+        for at in rng.sample(range(90), rng.choice([1, 2, 2, 3])):
+            changed[at] = f"c{i}"
+        rows.append((1000 + i, " ".join(changed)))
+    got = simhash.near_copies(docs(rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, c) for (i, _), c in zip(rows, plain_copies(rows)))
+
+
+def test_many_fingerprints_of_one_list(spark):
+    """Thousands of fingerprints that are equal at six bytes, so that bytes alone don't split their lists."""
+    fps = [0x0102030405060000 + x for x in range(0, 65536, 13)]
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    near = set(fps)
+    masks = [1 << a for a in range(16)] + [(1 << a) | (1 << b) for a in range(16) for b in range(a)]
+    assert sorted((r.u, r.v) for r in edges.collect()) == sorted((f, f ^ m) for f in fps for m in masks if f ^ m in near and f < f ^ m)
+
+
 def test_bitmaps_lose_no_pair():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 900, np.uint64)
