@@ -37,9 +37,11 @@ def audit_counter(counter: DataFrame, recount: DataFrame) -> DataFrame:
 
 
 def audit_range(fills: DataFrame, version: str, low: int, high: int) -> DataFrame:
-    """Keys of a closed range that are missing, or there only by submission."""
+    """Keys of a closed range (up to 2^64) that are missing, or there only by submission."""
+    from .ingest import key_range
+
     have = fills.where(F.col("version") == version).select("container_id", "origin")
-    return fills.sparkSession.range(low, high + 1).select(F.col("id").cast("string").alias("container_id")).join(have, "container_id", "left").select("container_id", F.when(F.col("origin").isNull(), "missing").when(F.col("origin") == "submit", "submitted").alias("state")).where("state is not null")
+    return key_range(fills.sparkSession, low, high - low + 1).join(have, "container_id", "left").select("container_id", F.when(F.col("origin").isNull(), "missing").when(F.col("origin") == "submit", "submitted").alias("state")).where("state is not null")
 
 
 def undeclared(observed: DataFrame, declared: DataFrame) -> DataFrame:

@@ -201,15 +201,27 @@ def drop_containers(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys, ["version", "container_id"], "left_anti")
 
 
+def drop_everywhere(tables: dict[str, DataFrame], state: DataFrame, keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables without the containers, index state without their versions): whatever names a container loses it, and an index that was
+    built with it is current no more."""
+    gone = keys.select("version", "container_id").distinct()
+    return {name: drop_containers(t, gone) for name, t in tables.items()}, state.join(gone.select("version").distinct(), "version", "left_anti")
+
+
 def backfill(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The table with each missing column as nulls of its type."""
     return table.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in table.columns})
 
 
 def missing_keys(fills: DataFrame, version: str, start: int, n: int) -> DataFrame:
-    """Of n keys from start, those without a fill of the version; submitted ones count as missing."""
+    """Of n keys from start (up to 2^64), those without a fill of the version; submitted ones count as missing."""
     have = fills.where((F.col("version") == version) & (F.col("origin") == "fill")).select("container_id")
-    return fills.sparkSession.range(start, start + n).select(F.col("id").cast("string").alias("container_id")).join(have, "container_id", "left_anti")
+    return key_range(fills.sparkSession, start, n).join(have, "container_id", "left_anti")
+
+
+def key_range(spark, start: int, n: int) -> DataFrame:
+    """container_id of n keys from start, as decimal text; keys may be beyond 2^63."""
+    return spark.range(n).select((F.col("id").cast("decimal(20,0)") + F.lit(str(start)).cast("decimal(20,0)")).cast("string").alias("container_id"))
 
 
 def record_flags(flags: DataFrame, key: bytes) -> DataFrame:

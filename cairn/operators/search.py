@@ -157,6 +157,11 @@ def distinct_vocab(entries: DataFrame, kind: str) -> DataFrame:
     raise ValueError(kind)
 
 
+def props_long(entries: DataFrame) -> DataFrame:
+    """A row for each property of each entry: (version, container_id, place, base_type, cost, quantity, prop, value)."""
+    return entries.select(*KEY, "place", "base_type", "cost", "quantity", F.explode("props").alias("_p")).select("*", "_p.prop", "_p.value").drop("_p")
+
+
 def vocabulary(entries: DataFrame) -> DataFrame:
     out = None
     for kind in ("items", "props", "egos"):

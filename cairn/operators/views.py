@@ -131,7 +131,19 @@ def entrances(features: DataFrame, levels: DataFrame) -> DataFrame:
     return found.withColumn("position", F.row_number().over(Window.partitionBy(KEY).orderBy("reach", "branch", "place")))
 
 
-def exclusion_draws(entries: DataFrame, groups: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
+# Groups of kinds of which a container draws one at most, with their class.
+EXCLUSIONS = (
+    ("wand A", "wand", ("charming", "paralysis")),
+    ("wand B", "wand", ("iceblast", "roots", "warping")),
+    ("wand C", "wand", ("acid", "light", "quicksilver")),
+    ("scroll", "scroll", ("butterflies", "summoning")),
+    ("evoker A", "miscellaneous", ("condenser vane", "tin of tremorstones")),
+    ("evoker B", "miscellaneous", ("Gell's gravitambourine", "phial of floods")),
+    ("evoker C", "miscellaneous", ("box of beasts", "sack of spiders")),
+)
+
+
+def exclusion_draws(entries: DataFrame, groups=EXCLUSIONS) -> DataFrame:
     """(container, group_name, drawn) for every container and group: members seen, in order; none: unseen; several: a conflict."""
     keys = entries.select(KEY).distinct()
     table = keys.sparkSession.createDataFrame([(name, base, m) for name, base, ms in groups for m in ms], "group_name string, base_type string, sub_type string")
@@ -191,8 +203,10 @@ def roster_coverage(roster: DataFrame, entries: DataFrame) -> DataFrame:
     return roster.crossJoin(F.broadcast(entries.select("version").distinct())).join(seen, ["version", "name"], "left").na.fill(0, ["seen"]).select("version", *roster.columns, "seen")
 
 
-def flagged_present(flags: DataFrame, fills: DataFrame) -> DataFrame:
-    return flags.join(fills.select(KEY), KEY, "left_semi")
+def flagged_present(flags: DataFrame, fills: DataFrame, order: str | None = None) -> DataFrame:
+    """Flags of containers that are there; order: a column that they come in the order of, as they were given."""
+    kept = flags.join(fills.select(KEY), KEY, "left_semi")
+    return kept if order is None else kept.orderBy(order)
 
 
 def reach_order(levels: DataFrame) -> DataFrame:

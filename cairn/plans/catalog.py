@@ -210,8 +210,7 @@ def J5_anti_join(spark, d):
 
 @query("SELECT version, prop, count(*) AS rows, CAST(sum(value) AS BIGINT) AS total FROM props GROUP BY ALL")
 def J6_properties_long(spark, d):
-    long = A.entries(spark, d).select("version", F.explode("props").alias("p"))
-    return long.groupBy("version", F.col("p.prop").alias("prop")).agg(F.count("*").alias("rows"), F.sum("p.value").alias("total"))
+    return search.props_long(A.entries(spark, d)).groupBy("version", "prop").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
 
 
 @query("SELECT DISTINCT version, 'items' AS kind, base_type || ':' || sub_type AS word FROM entries UNION SELECT version, 'props', prop FROM props WHERE value >= 1 UNION SELECT version, 'egos', ego FROM entries WHERE ego IS NOT NULL")
@@ -293,7 +292,7 @@ def I9_overlay(spark, d):
 @query(f"SELECT q AS query, version, container_id FROM (SELECT 'a' AS q, version, container_id FROM ({_FOUND}) UNION ALL SELECT 'b', version, container_id FROM post WHERE kind = 'floor/prop' AND b = 'P1' AND count >= 2)", _POST)
 def Q5_search_many(spark, d):
     specs = spark.createDataFrame([("a", "floor/item", "potion", "bolt", 3), ("a", "floor/item", "weapon", "gear", 1), ("b", "floor/prop", "", "P1", 2)], "query string, kind string, a string, b string, min_count int")
-    return search.search_many(F.broadcast(specs), index.build_postings(A.entries(spark, d)))
+    return search.search_many(F.broadcast(specs), stored_postings(spark, d))
 
 
 # ---- score
@@ -497,6 +496,14 @@ def S16_sample_counts(spark, d):
     return ingest.sample_counts(A.fills(spark, d))
 
 
+@query("SELECT CAST(18446744073709551000::HUGEINT + k AS VARCHAR) AS container_id FROM range(0, 616) t(k) WHERE k % 5 <> 0 OR k % 7 = 0")
+def S19_missing_keys_beyond_63_bits(spark, d):
+    """The last keys of 64 bits; every fifth is filled, but for those that are there by submission only."""
+    shifted = A.fills(spark, d).where("version = 'A'").select("version", F.explode(F.array(*[F.lit(k) for k in range(0, 616, 5)])).alias("k")).distinct()
+    keyed = shifted.select("version", (F.col("k").cast("decimal(20,0)") + F.lit("18446744073709551000").cast("decimal(20,0)")).cast("string").alias("container_id"), F.when(F.col("k") % 7 == 0, "submit").otherwise("fill").alias("origin"))
+    return ingest.missing_keys(keyed, "A", 18446744073709551000, 616)
+
+
 @query("SELECT CAST(k AS VARCHAR) AS container_id FROM range(1, 501) t(k) WHERE CAST(k AS VARCHAR) NOT IN (SELECT container_id FROM fills WHERE version = 'A' AND origin = 'fill')")
 def S19_missing_keys(spark, d):
     return ingest.missing_keys(A.fills(spark, d), "A", 1, 500)
@@ -522,6 +529,18 @@ def S17_drop_containers(spark, d):
     return ingest.drop_containers(A.entries(spark, d), A.fills(spark, d).where("origin = 'submit'").select(KEY)).agg(F.count("*").alias("entries"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t} ANTI JOIN (SELECT * FROM fills WHERE origin = 'submit' AND version <> 'R') USING (version, container_id)" for t in ("entries", "levels", "fills", "features")) + " UNION ALL SELECT 'current ' || version, count(*) FROM (SELECT DISTINCT version FROM fills ANTI JOIN (SELECT version FROM fills WHERE origin = 'submit' AND version <> 'R') USING (version)) GROUP BY ALL")
+def S17_drop_everywhere(spark, d):
+    """Containers go from every table, and the index of their versions is current no more."""
+    tables = {"entries": A.entries(spark, d), "levels": A.levels(spark, d), "fills": A.fills(spark, d), "features": A.features(spark, d)}
+    keys = A.fills(spark, d).where("origin = 'submit' and version <> 'R'")
+    left, state = ingest.drop_everywhere(tables, ingest.sample_counts(A.fills(spark, d)), keys)
+    out = state.groupBy(F.concat(F.lit("current "), "version").alias("name")).agg(F.count("*").alias("n"))
+    for name, t in left.items():
+        out = out.unionByName(t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    return out
+
+
 @query("SELECT event_type AS version, CAST(user_id AS VARCHAR) AS container_id, min(ts) AS at FROM events GROUP BY ALL")
 def S21_first_flags(spark, d):
     flags = A._table(spark, d, "events").selectExpr("event_type as version", "cast(user_id as string) as container_id", "'s' as session", "props as query", "ts as at")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, search, views, walk
+from ..functions.naming import spell_tier
+from ..functions.tables import fixed_table, rows_of
+from ..operators import audit, heat, search, views, walk
 from ..sources import adapters as A
 from .catalog import query, reach_sql
 
@@ -137,3 +139,45 @@ def D10_unknown_features(spark, d):
     f = A.features(spark, d)
     rows = f.withColumn("feat", F.expr("case when feat = 'altar_trog' then 'strange_device' when feat <> 'enter_shop' then feat end")).withColumn("category", F.lit("features")).withColumn("name", F.lit(None).cast("string"))
     return audit.audit_names(rows).groupBy("version", F.coalesce("feat", F.lit("no name")).alias("feat")).agg(F.count("*").alias("n"))
+
+
+_KIND = [(b, s) for b, s, _ in rows_of("weights")]
+_WEIGHTS = "(VALUES " + ", ".join("('{}', '{}', {})".format(b, s.replace("'", "''"), w) for b, s, w in rows_of("weights")) + ")"
+_KINDS = f"kinds AS (SELECT base, CASE WHEN p_partkey % 3 = 0 AND sub <> '*' THEN sub WHEN sub = '*' THEN 'something' ELSE sub || ' of old' END AS sub FROM part JOIN (SELECT *, row_number() OVER () - 1 AS i FROM {_WEIGHTS} w(base, sub, weight)) w ON p_partkey % {len(_KIND)} = i)"
+
+
+@query(f"SELECT k.base AS base_type, k.sub AS sub_type, coalesce(e.weight, w.weight)::DOUBLE AS weight, count(*) AS n FROM kinds k LEFT JOIN {_WEIGHTS} e(base, sub, weight) USING (base, sub) LEFT JOIN (SELECT * FROM {_WEIGHTS} t(base, sub, weight) WHERE sub = '*') w ON w.base = k.base WHERE coalesce(e.weight, w.weight) IS NOT NULL GROUP BY ALL", _KINDS)
+def F18_all_kinds(spark, d):
+    """Every kind of the table of weights, and kinds that only its class has a weight for."""
+    table = F.array(*[F.struct(F.lit(b).alias("base"), F.lit(s).alias("sub")) for b, s in _KIND])
+    of = A._table(spark, d, "part").select("p_partkey", table[(F.col("p_partkey") % len(_KIND)).cast("int")].alias("k"))
+    sub = F.when((F.col("p_partkey") % 3 == 0) & (F.col("k.sub") != "*"), F.col("k.sub")).when(F.col("k.sub") == "*", "something").otherwise(F.concat("k.sub", F.lit(" of old")))
+    kinds = of.select(F.col("k.base").alias("base_type"), sub.alias("sub_type")).groupBy("base_type", "sub_type").agg(F.count("*").alias("n"))
+    return heat.with_weight(kinds, F.broadcast(fixed_table(spark, "weights")))
+
+
+_SPELLS = "(VALUES " + ", ".join("({}, '{}', {})".format(i, s.replace("'", "''"), n) for i, (s, n) in enumerate(rows_of("spell_levels"))) + ")"
+
+
+@query(f"SELECT spell, l AS spell_level, CASE WHEN l >= 8 THEN 'high' WHEN l >= 5 THEN 'mid' ELSE 'low' END AS tier, count(*) AS parts FROM part JOIN {_SPELLS} t(i, spell, l) ON p_partkey % {len(rows_of('spell_levels'))} = i GROUP BY ALL")
+def F19_all_spells(spark, d):
+    names = F.array(*[F.lit(s) for s, _ in rows_of("spell_levels")])
+    of = A._table(spark, d, "part").select(names[(F.col("p_partkey") % len(rows_of("spell_levels"))).cast("int")].alias("spell"))
+    known = of.join(F.broadcast(fixed_table(spark, "spell_levels")), "spell")
+    return known.groupBy("spell", "spell_level", spell_tier(F.col("spell_level")).alias("tier")).agg(F.count("*").alias("parts"))
+
+
+_MEMBER = [(g, b, m) for g, b, ms in views.EXCLUSIONS for m in ms]
+_GROUP_VALUES = "(VALUES " + ", ".join("({}, '{}', '{}', '{}')".format(i, g, b, m.replace("'", "''")) for i, (g, b, m) in enumerate(_MEMBER)) + ")"
+
+
+@query(
+    f"SELECT k.version, k.container_id, g AS group_name, CASE count(DISTINCT m) WHEN 0 THEN 'unseen' WHEN 1 THEN 'drew ' || min(m) ELSE 'conflict ' || string_agg(DISTINCT m, ',' ORDER BY m) END AS drawn FROM (SELECT DISTINCT version, container_id FROM drawn) k CROSS JOIN (SELECT DISTINCT g FROM {_GROUP_VALUES} t(i, g, b, m)) LEFT JOIN drawn USING (version, container_id, g) GROUP BY ALL",
+    f"drawn AS (SELECT l_returnflag AS version, CAST(l_orderkey AS VARCHAR) AS container_id, g, m FROM lineitem LEFT JOIN {_GROUP_VALUES} t(i, g, b, m) ON l_partkey % 40 = i)",
+)
+def V8_default_groups(spark, d):
+    """The seven groups that come with the package: what each container drew, of some nothing, of some two at once."""
+    table = F.array(*[F.struct(F.lit(b).alias("base"), F.lit(m).alias("sub")) for _, b, m in _MEMBER])
+    i = (F.col("l_partkey") % 40).cast("int")
+    rows = A._table(spark, d, "lineitem").select(F.col("l_returnflag").alias("version"), F.col("l_orderkey").cast("string").alias("container_id"), F.when(i < len(_MEMBER), F.get(table, i)).alias("k"))
+    return views.exclusion_draws(rows.select("version", "container_id", F.col("k.base").alias("base_type"), F.col("k.sub").alias("sub_type")))

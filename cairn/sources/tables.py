@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,14 +36,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Paths and schemas of stored tables, by application, folder and name.
-_STORED: dict[tuple[str, str, str], tuple] = {}
+#: Paths and schemas of stored tables, by application, folder, its state and name.
+_STORED: dict[tuple[str, str, str, str], tuple] = {}
+
+
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """A digest of names, sizes and times of a folder's files, two levels deep: another after any of its tables was written anew."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen, todo = [], [(root, 0)]
+    while todo:
+        at, depth = todo.pop()
+        for status in files.listStatus(at):
+            seen.append(f"{status.getPath().getName()}:{status.getLen()}:{status.getModificationTime()}")
+            if status.isDirectory() and depth < 1:
+                todo.append((status.getPath(), depth + 1))
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
     """A table derived from the tables in sf_dir: written to the shared folder (partitioned by the columns `by`) when it is first asked
-    for in an application, read from there afterwards, and written anew if it is gone. forget() after a change of what sf_dir holds."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    for in an application, read from there afterwards, and written anew if it is gone, or if the files in sf_dir have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir), name)
     if key in _STORED:
         path, schema = _STORED[key]
         try:

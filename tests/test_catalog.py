@@ -404,10 +404,14 @@ def test_stored_tables_are_made_once_and_again_when_gone_or_forgotten(spark, tmp
         made.append(1)
         return spark.createDataFrame([("0.10", 1), ("b", 2)], "version string, n int")
 
-    ask = lambda: values(tables.stored(spark, "folder", "t", make, by=("version",)), "version", "n")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    ask = lambda: values(tables.stored(spark, str(folder), "t", make, by=("version",)), "version", "n")
     assert ask() == ask() == [("0.10", 1), ("b", 2)] and len(made) == 1
-    (path, _), = [v for k, v in tables._STORED.items() if k[1:] == ("folder", "t")]
+    (path, _), = [v for k, v in tables._STORED.items() if k[1] == str(folder) and k[3] == "t"]
     shutil.rmtree(path)
     assert ask() == [("0.10", 1), ("b", 2)] and len(made) == 2
-    tables.forget("folder")
+    tables.forget(str(folder))
     assert ask() == [("0.10", 1), ("b", 2)] and len(made) == 3
+    (folder / "orders.parquet").write_text("new rows")
+    assert ask() == [("0.10", 1), ("b", 2)] and len(made) == 4
