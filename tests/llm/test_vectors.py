@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from cairn.llm import vectors
 
@@ -47,10 +46,59 @@ def test_search_recall_and_fallback():
     graph, medoids = vectors.build(x, 1), vectors.medoids_of(x)
     assert ((graph[:, : vectors.NEAR + vectors.FAR] >= 0).sum(1) <= vectors.NEAR + vectors.FAR).all() and not (graph == np.arange(len(x))[:, None]).any()
     truth = x @ x.T >= 0.9
-    got = vectors.search(x, graph, medoids, x, vectors.BEAM)
+    got, visited = vectors.search(x, graph, medoids, x, vectors.BEAM)
     assert not (got & ~truth).any() and (got & truth).sum() / truth.sum() > 0.97
-    look, recall = vectors.audited(x, graph, x, np.arange(len(x)))
-    assert recall >= vectors.RECALL_PIECE or (look(x) == truth).all()
+    others = np.arange(len(x)) < 800
+    assert vectors.search(x, graph, medoids, x[others], vectors.BEAM)[1] < 0.3 * others.sum() * len(x)  # far fewer than the piece has
+    look, recall, by_graph = vectors.audited(x, graph, x, np.arange(len(x)))
+    assert recall >= vectors.RECALL_PIECE if by_graph else (look(x) == truth).all()
+
+
+def test_candidates_without_the_whole_matrix():
+    x = vectors.unit(np.random.default_rng(6).normal(size=(600, 16)))
+    near, sims = vectors.candidates_of(x, np.random.default_rng(1))
+    rows = np.arange(len(x))[:, None]
+    assert (near != rows).all() and (np.diff(sims, axis=1) <= 0).all()
+    assert np.allclose(np.where(near >= 0, (x[rows] * x[near]).sum(2), -2), np.where(near >= 0, sims, -2))
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in near)
+
+
+def test_turned_vectors_have_the_cosine():
+    x = vectors.unit(np.random.default_rng(6).normal(size=(50, 9)))
+    y = vectors.turned(x, 1, 0.93)
+    assert np.allclose((x * y).sum(1), 0.93) and np.allclose((y * y).sum(1), 1)
+    assert np.allclose(vectors.turned(np.ones((2, 1)), 1, 0.93), 1)
+
+
+def test_a_broken_search_is_told_where_links_are_rare(spark):
+    """Links in 1 of 1000 vectors: a search that finds nothing, or half, is seen in the planted queries, and in true links where drawn."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    x[1] = x[0] + rng.normal(size=32) * 0.1
+    x[7] = x[2000] + rng.normal(size=32) * 0.1
+    reps = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "rep long, copies long, embedding array<double>")
+    planted = vectors.written(vectors._planted(reps, 0.9), "planted")
+    made = [(r.rep, r.source) for r in planted.collect()]
+    true = [(0, 1), (2000, 7)]
+    table = lambda pairs: spark.createDataFrame(pairs, "u long, v long")
+    links, audit = vectors.measured(reps, table(true + made), planted, 0.9)
+    assert sorted((r.u, r.v) for r in links.collect()) == [(0, 1), (7, 2000)] and audit["planted_recall"] == 1 and audit["recall"] in (None, 1.0)
+    links, audit = vectors.measured(reps, table(made[: len(made) // 2]), planted, 0.9)
+    assert links.count() == 0 and audit["planted_recall"] == 0.5 and audit["recall"] in (None, 0.0) and (audit["recall"] is None) == (audit["linked"] == 0)
+    assert vectors.measured(reps, table([]), planted, 0.9)[1]["planted_recall"] == 0
+
+
+def test_links_are_symmetric(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_SHARD", 60)
+    monkeypatch.setattr(vectors, "PIECE", 50)
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(200, 10))
+    rows = list(enumerate(np.concatenate((x, x[:150] + rng.normal(size=(150, 10)) * 0.25, x[:3], x[:3])).tolist()))
+    got = sorted((r.vec_id, r.n_links) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    u = vectors.unit(np.array([v for _, v in rows]))
+    degree = (u @ u.T >= 0.9).sum(1) - 1
+    assert all(n <= d for (_, n), d in zip(got, degree)) and sum(n for _, n in got) % 2 == 0
+    assert sum(n for _, n in got) >= 0.97 * degree.sum()
 
 
 def test_more_shards_and_pieces(spark, monkeypatch):
@@ -74,26 +122,20 @@ def test_planted_links_among_many(spark, monkeypatch):
     small = x[:300].repeat(2, 0) + rng.normal(size=(600, 24)) * 0.15
     hot = x[300] + rng.normal(size=(700, 24)) * 0.15
     x = np.concatenate((x, small, hot))
-    got = sorted((r.vec_id, r.n_links, r.component_id, r.recall) for r in vectors.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect())
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.recall, r.planted_recall) for r in vectors.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect())
     u = vectors.unit(x)
     true = (u @ u.T >= 0.9).sum(1) - 1
     found = np.array([g[1] for g in got])
     assert (found <= true).all() and vectors.mean_recall(found, true) >= 0.98
     assert vectors.mean_recall(found[:900], true[:900]) >= 0.97  # those in small groups
-    assert 0.98 <= got[0][3] <= 1
+    assert vectors.RECALL_ALL <= got[0][3] <= 1 and vectors.RECALL_ALL <= got[0][4] <= 1
 
 
 def test_recall_counts_queries_not_links():
-    assert vectors.mean_recall(np.array([1000, 0, 0]), np.array([1000, 2, 0])) == 0.5 and vectors.mean_recall(np.array([0]), np.array([0])) == 1.0
+    assert vectors.mean_recall(np.array([1000, 0, 0]), np.array([1000, 2, 0])) == 0.5 and np.isnan(vectors.mean_recall(np.array([0]), np.array([0])))
 
 
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = vectors.near_vectors(spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in one) == [(1, 0, 1, True), (2, 0, 2, True)]
-
-
-@pytest.mark.parametrize("labels,pairs,want", [(4, [(0, 1), (2, 3)], [0, 0, 2, 2]), (5, [(4, 3), (3, 2), (2, 1)], [0, 1, 1, 1, 1])])
-def test_merged_labels(labels, pairs, want):
-    a, b = np.array(pairs).T
-    assert vectors.merged_labels(np.arange(labels), a, b).tolist() == want
