@@ -107,6 +107,18 @@ def _counts(rows: DataFrame, conditions: list[Column]) -> list[tuple[float, floa
     return [(float(row[2 * i] or 0), float(row[2 * i + 1] or 0)) for i in range(len(conditions))]
 
 
+def _by_condition(rows: DataFrame, tests: list[tuple[str, bool, int]]) -> list[tuple[float, float]]:
+    """(low rows, good rows) that fulfil each test (measure, above, bin): one sum by measure and bin, in one job, and cumulative sums of
+    these few numbers (there are no more bins than cuts)."""
+    each = rows.select("low", "n", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m in MEASURES])).alias("x"))
+    sums = {(r.measure, r.bin): (float(r.low or 0), float(r.good or 0)) for r in each.groupBy("x.measure", "x.bin").agg(F.sum(F.when(F.col("low") == 1, F.col("n"))).alias("low"), F.sum(F.when(F.col("low") == 0, F.col("n"))).alias("good")).collect()}
+    out = []
+    for measure, above, k in tests:
+        held = [v for (m, b), v in sums.items() if m == measure and (b > k) == above]
+        out.append((sum(v[0] for v in held), sum(v[1] for v in held)))
+    return out
+
+
 def _bits(p: float, n: float) -> float:
     from math import log2
 
@@ -145,9 +157,12 @@ def learn(labelled: DataFrame) -> list[Rule]:
     failed = 0
     while len(rules) < MAX_RULES and failed < MAX_RULES:
         growing, chosen = rows.where("grow"), []
-        (p, n), = _counts(growing, [F.lit(True)])
+        everything = (MEASURES[0], True, -1)
+        found = _by_condition(growing, [everything, *tests])
+        p, n = found.pop(0)
         while len(chosen) < MAX_CONDITIONS and p and n:
-            found = _counts(growing, [column(t) for t in tests]) if tests else []
+            if chosen:
+                found = _by_condition(growing, tests)
             if not found:
                 break
             gain, best = max(((a * (_bits(a, b) - _bits(p, n)), i) for i, (a, b) in enumerate(found)), key=lambda x: (x[0], -x[1]))
