@@ -13,7 +13,7 @@ from .common import own_names, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains of it, for paths that start with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: One of these blocks.
+#: The vocabulary where a caller names none: one of these blocks.
 STRICT = ("bestiality", "camgirls", "casino", "cheap-pills", "escort", "hardcore", "hentai", "malware", "phishing", "porn", "spam-farm", "viagra", "warez", "xxx")
 #: Distinct terms of these block when their weights add up to SOFT_LIMIT.
 SOFT = (("adult", 2), ("bet", 1), ("bonus", 1), ("cheap", 1), ("crack", 1), ("dating", 1), ("free", 1), ("hot", 1), ("keygen", 2), ("loan", 1), ("nude", 2), ("pills", 2), ("poker", 2), ("prize", 1), ("replica", 1), ("sexy", 2), ("slots", 2), ("spam", 2), ("torrent", 1), ("win", 1))
@@ -62,17 +62,40 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+#: Terms of a vocabulary table, which all tasks get: its size is checked.
+MOST_TERMS = 200_000
+
+
+def vocabulary(terms: DataFrame) -> tuple[tuple, tuple]:
+    """(strict, soft) of a table (term, weight): weight 0 is strict, as is null; of a term given twice the strict or heavier one holds.
+    Terms are lower-cased (A-Z); null and empty ones, and those below 0, are left out. More than MOST_TERMS are an error."""
+    low = F.translate(F.trim(F.col("term").cast("string")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    weight = F.coalesce(F.col("weight").cast("int"), F.lit(0))
+    known = terms.select(low.alias("term"), weight.alias("weight")).where("term <> '' and weight >= 0").groupBy("term").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
+    rows = known.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    rows.sort()
+    return tuple(r.term for r in rows if r.low == 0), tuple((r.term, r.high) for r in rows if r.low > 0)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[tuple, tuple]:
+    """vocabulary() of a CSV file with the header term,weight, at a path that Spark reads."""
+    return vocabulary(spark.read.csv(path, schema="term string, weight int", header=True, comment="#"))
+
+
 def judged(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, limit: int = SOFT_LIMIT) -> DataFrame:
     """pages with host, path, rule (null: none fits), strict_hits, soft_hits, soft_weight and verdict (allow or block).
 
     The longest rule that fits decides; else one strict hit or soft terms of `limit` weight together block. A null URL fits no
-    rule, has no hits and is allowed. Own columns of these names are replaced. Rows are judged one by one, without a shuffle.
+    rule, has no hits and is allowed. Own columns of these names are replaced. Rows are judged one by one, without a shuffle. strict and
+    soft are those of read_vocabulary() or the ones above.
     """
-    strict, soft = tuple(strict), tuple(map(tuple, soft))
+    terms = pages.sparkSession.sparkContext.broadcast((tuple(strict), tuple(map(tuple, soft))))  # once to each executor; see MOST_TERMS
 
     @arrow_udf("strict int, soft int, weight int")
     def counted(urls: pa.Array) -> pa.Array:
-        rows = [hits(u, strict, soft) for u in urls.to_pylist()]
+        rows = [hits(u, *terms.value) for u in urls.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(3)], names=["strict", "soft", "weight"])
 
     host, path = parts(F.col(url_col))

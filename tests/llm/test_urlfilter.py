@@ -37,3 +37,21 @@ def test_long_urls_repeats_and_columns_of_any_name(spark):
     df = spark.createDataFrame([(i, u, "own", "own") for i, u in enumerate(cases)], "page_id long, url string, hits string, _hits string")
     rows = urlfilter.judged(df).collect()
     assert {r.url: r.verdict for r in rows} == cases and {(r.hits, r._hits) for r in rows} == {("own", "own")}
+
+
+def test_vocabulary_from_a_table(spark, tmp_path):
+    (tmp_path / "terms.csv").write_text("term,weight\n# a remark\nBadWord,0\nsoft-one,2\nsoft-one,1\nother,1\nboth,3\nboth,\n,5\nnever,-1\n")
+    strict, soft = urlfilter.read_vocabulary(spark, str(tmp_path / "terms.csv"))
+    assert strict == ("badword", "both") and soft == (("other", 1), ("soft-one", 2))
+    urls = ["http://a/badword", "http://a/badwords", "http://a/Other.SOFT-ONE", "http://a/other/other", "http://casino/", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: (r.verdict, r.strict_hits, r.soft_weight) for r in urlfilter.judged(df, strict=strict, soft=soft).collect()}
+    assert [got[u] for u in urls] == [("block", 1, 0), ("allow", 0, 0), ("block", 0, 3), ("allow", 0, 1), ("allow", 0, 0), ("allow", 0, 0)]
+
+
+def test_a_vocabulary_too_large_is_refused(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(urlfilter, "MOST_TERMS", 2)
+    with pytest.raises(ValueError):
+        urlfilter.vocabulary(spark.createDataFrame([("a", 1), ("b", 1), ("c", 0)], "term string, weight int"))
