@@ -166,8 +166,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names.
 
-    Rows meet their copies by id, source, size and text; where several are alike in all these, the k-th of them takes the k-th of
-    their numbers of copies, so that only like rows are ever numbered.
+    Rows meet their copies by id, source, size and text; where several are alike in all these, as many of them as the mix says are taken
+    once, twice and so on. Only like rows are ever numbered, by ranges and offsets, so that no task holds all rows of one kind.
     """
     keys = ["k_id", "k_source", "k_size", "k_mark", "k_none"]
 
@@ -175,15 +175,22 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         none = F.col("id").isNull().cast("int") + 2 * F.col("source").isNull().cast("int")
         return df.select(F.coalesce("id", F.lit(0).cast("long")).alias("k_id"), F.coalesce("source", F.lit("")).alias("k_source"), F.col("size").alias("k_size"), F.col("mark").alias("k_mark"), none.alias("k_none"), *more)
 
-    copies = keyed(_rounded_mix(docs, id_col, text_col, source_col, **how), "took").groupBy(keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("took"), False).alias("copies"))
+    # like rows are taken as often as each other, but for one copy more or less: few steps (copies, rows)
+    counted = keyed(_rounded_mix(docs, id_col, text_col, source_col, **how), "took").groupBy(*keys, "took").agg(F.count("*").alias("rows"))
+    copies = written(counted.groupBy(keys).agg(F.sum("rows").alias("n"), F.sort_array(F.collect_list(F.struct("took", "rows")), False).alias("steps")), "copies")
     text = F.col("row")[text_col].cast("string")
     row = docs.select(F.struct("*").alias("row"))
     sized = row.select("row", F.col("row")[id_col].cast("long").alias("id"), F.col("row")[source_col].alias("source"), F.coalesce(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
-    joined = keyed(sized, "row").join(copies.where("n > 1 or copies[0] > 0"), keys)
-    alone = joined.where("n = 1").select("row", F.col("copies")[0].alias("times"))
-    place = F.row_number().over(Window.partitionBy(keys).orderBy(F.lit(0)))
-    alike = joined.where("n > 1").withColumn("k", place).select("row", F.expr("copies[k - 1]").alias("times"))
-    return alone.unionByName(alike).where("times > 0").select("row", F.explode(F.expr("sequence(1, cast(times as int))"))).select("row.*")
+    out = keyed(sized, "row").join(copies.where("n = 1 and steps[0].took > 0"), keys).select("row", F.col("steps")[0]["took"].alias("times"))
+    several = copies.where("n > 1")
+    if not several.isEmpty():
+        alike = keyed(sized, "row").join(several, keys).withColumns({"one": F.lit(1).cast("long"), "tie": F.monotonically_increasing_id()})
+        numbered = written(_sums_before(alike, [*map(F.col, keys), F.col("tie")], before="one"), "alike")
+        first = numbered.groupBy(keys).agg(F.min("before").alias("first"))
+        k = F.col("before") - F.col("first")
+        upto = F.aggregate("steps", F.struct(F.lit(0).cast("long").alias("rows"), F.lit(None).cast("long").alias("took")), lambda s, x: F.when(s["took"].isNotNull(), s).otherwise(F.struct((s["rows"] + x["rows"]).alias("rows"), F.when(k < s["rows"] + x["rows"], x["took"].cast("long")).alias("took"))))
+        out = out.unionByName(numbered.join(first, keys).select("row", upto["took"].alias("times")))
+    return out.where("times > 0").select("row", F.explode(F.expr("sequence(1, cast(times as int))"))).select("row.*")
 
 
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import pytest
 
@@ -98,3 +99,16 @@ def test_empty(docs):
     assert mixing.repeated(docs([])).count() == 0
     (one,) = mixing.mixed(docs([(1, "")])).collect()
     assert (one.size, one.target, one.taken) == (0, 0.0, 0)
+
+
+def test_like_rows_are_repeated_as_often_as_the_mix_says(docs):
+    """A third of all rows alike, but for columns that the mix doesn't read: their copies are those of mixed(), whichever row has them."""
+    rows = [(7, "five words of this text", "en" if i % 2 else "de", "a", None) for i in range(400)] + [(i, "w " * (i % 9), "en", "ab"[i % 2], None) for i in range(600)]
+    df = docs(rows, extra=True).repartition(6)
+    count = lambda found: sorted(Counter(found).items(), key=str)
+    want = Counter()
+    for r in mixing.mixed(df).collect():
+        want[(r.doc_id, r.source)] += r.copies
+    got = mixing.repeated(df)
+    assert got.columns == df.columns
+    assert count((r.doc_id, r.source) for r in got.collect()) == sorted(((k, v) for k, v in want.items() if v), key=str)
