@@ -24,11 +24,20 @@ def build_bitmaps(postings: DataFrame, ordinals: DataFrame) -> DataFrame:
     return grouped.agg(F.bitmap_construct_agg(F.bitmap_bit_position("ord")).alias("bits"), F.count("*").alias("card"))
 
 
-def write_bitmaps(bitmaps: DataFrame, folder: str) -> None:
-    """Sorted by list and bucket within files of a version, so that filters on both skip row groups."""
+def in_order(bitmaps: DataFrame) -> DataFrame:
+    """Sorted by list and bucket, so that filters on both skip row groups of what is written."""
     order = ["version", *_LIST, "least", "bucket"]
-    bitmaps.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("version").parquet(f"{folder}/bitmaps")
-    bitmaps.sparkSession.read.parquet(f"{folder}/bitmaps").groupBy(*_LIST, "least").agg(F.sum("card").alias("card")).write.parquet(f"{folder}/cards")
+    return bitmaps.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def cards_of(bitmaps: DataFrame) -> DataFrame:
+    """(kind, a, b, least, card): the length of each list."""
+    return bitmaps.groupBy(*_LIST, "least").agg(F.sum("card").alias("card"))
+
+
+def write_bitmaps(bitmaps: DataFrame, folder: str) -> None:
+    in_order(bitmaps).write.partitionBy("version").parquet(f"{folder}/bitmaps")
+    cards_of(bitmaps.sparkSession.read.parquet(f"{folder}/bitmaps")).write.parquet(f"{folder}/cards")
 
 
 def _is(key: Sequence) -> F.Column:

@@ -54,10 +54,10 @@ def search_indexed(postings: DataFrame, keys: list[tuple[str, str, str, int]]) -
     match = asked = None
     for i, ((kind, a, b), n) in enumerate(least.items()):
         same = (F.col("kind") == kind) & (F.col("a") == a) & (F.col("b") == b)
-        test = F.when(same & (F.col("count") >= n), i)
-        match, asked = (test, same) if match is None else (F.coalesce(match, test), asked | same)
+        test = same & (F.col("count") >= n)
+        match, asked = (F.when(test, 1 << i), same) if match is None else (match.when(test, 1 << i), asked | same)
     hits = postings.where(asked).withColumn("_term", match).where("_term is not null")  # the first filter reaches the scan
-    return hits.groupBy(KEY).agg(F.countDistinct("_term").alias("n"), F.min("reach").alias("reach")).where(F.col("n") == len(least)).drop("n")
+    return hits.groupBy(KEY).agg(F.bit_or("_term").alias("n"), F.min("reach").alias("reach")).where(F.col("n") == (1 << len(least)) - 1).drop("n")  # no distinct count, so rows are not expanded
 
 
 def trigrams(names: DataFrame, column: str = "name") -> DataFrame:

@@ -28,12 +28,18 @@ class Windowed:
 
 
 def write_windows(rows: DataFrame, folder: str, windows: int) -> None:
-    """rows dealt into about so many windows of equal size, each sorted by key. A container is never cut, however large."""
-    dealt = rows.repartitionByRange(windows, *KEY).withColumn("window", F.spark_partition_id()).sortWithinPartitions(*KEY)
-    dealt.write.partitionBy("window").parquet(f"{folder}/rows")
-    stored = read_rows(rows.sparkSession, folder, rows.schema)
-    spans = stored.groupBy("version", "window").agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"), F.countDistinct("container_id").alias("containers"))
-    spans.coalesce(1).sortWithinPartitions("version", "low").write.parquet(f"{folder}/windows")
+    in_windows(rows, windows).write.partitionBy("window").parquet(f"{folder}/rows")
+    spans_of(read_rows(rows.sparkSession, folder, rows.schema)).write.parquet(f"{folder}/windows")
+
+
+def in_windows(rows: DataFrame, windows: int) -> DataFrame:
+    """rows with window, dealt into about so many of equal size, each sorted by key. A container is never cut, however large."""
+    return rows.repartitionByRange(windows, *KEY).withColumn("window", F.spark_partition_id()).sortWithinPartitions(*KEY)
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
+    spans = rows.groupBy("version", "window").agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"), F.countDistinct("container_id").alias("containers"))
+    return spans.coalesce(1).sortWithinPartitions("version", "low")
 
 
 def read_rows(spark: SparkSession, folder: str, schema) -> DataFrame:

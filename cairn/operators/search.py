@@ -115,7 +115,7 @@ def evidence(entries: DataFrame, found: DataFrame, terms: Sequence[Term]) -> Dat
     rows = kept.withColumn("term", F.explode(F.filter(marks, lambda x: x.isNotNull()))).withColumn("reach", reach_of(F.col("place")))
     label = F.coalesce("name", F.concat_ws(" ", "base_type", "sub_type"))
     first = F.min(F.struct("reach", "place", label.alias("name"))).alias("first")
-    return rows.groupBy(*KEY, "term").agg(quantity_sum(F.lit(True)).alias("total"), first, F.countDistinct(label).alias("names")).select(*KEY, "term", "total", "first.*", "names")
+    return rows.groupBy(*KEY, "term").agg(quantity_sum(F.lit(True)).alias("total"), first, F.size(F.collect_set(label)).cast("long").alias("names")).select(*KEY, "term", "total", "first.*", "names")
 
 
 def keyset_page(found: DataFrame, after: str | None, limit: int) -> DataFrame:

@@ -33,8 +33,8 @@ def _both(one: str, other: str) -> str:
 @query(_both(_TWO_PROPS, _ITEM))
 def Q8_verified_candidates(spark, d):
     """Lists of two properties leave candidates; only the entries tell whether one item has both."""
-    e, _, stored = indexed(spark, d)
-    return answers.answer(e, stored, [Term(Props(("P1", "P4"))), Term(POTION)])[0]
+    e, f, stored = indexed(spark, d)
+    return answers.answer(e, stored, [Term(Props(("P1", "P4"))), Term(POTION)], fills=f)[0]
 
 
 @query(_both(_NAMED, _ITEM))

@@ -7,20 +7,17 @@ import random
 from ..operators import answers, bitmaps, index, pages
 from ..operators.criteria import Term
 from ..sources import adapters as A
-from ..sources.tables import fresh_path
+from ..sources.tables import stored
 from .answers import _AUDITED, _ITEM, indexed
 from .catalog import _FOUND, FLAGSHIP, POTION, has, query, stored_postings
 
 
 def _bitmaps(spark, d):
-    """(bitmaps, cards, ordinals, postings), stored and read again."""
-    postings, ordinals = stored_postings(spark, d), index.assign_ordinals(A.entries(spark, d))
-    folder = fresh_path(spark, "bitmaps")
-    ordinals.write.parquet(f"{folder}/ordinals")
-    ordinals = spark.read.parquet(f"{folder}/ordinals")
-    bitmaps.write_bitmaps(bitmaps.build_bitmaps(postings, ordinals), folder)
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return read("bitmaps"), read("cards"), ordinals, postings
+    """(bitmaps, cards, ordinals, postings), each stored once."""
+    postings = stored_postings(spark, d)
+    ordinals = stored(spark, d, "catalog-ordinals", lambda: index.assign_ordinals(A.entries(spark, d)))
+    maps = stored(spark, d, "catalog-bitmaps", lambda: bitmaps.in_order(bitmaps.build_bitmaps(postings, ordinals)), by=("version",))
+    return maps, stored(spark, d, "catalog-cards", lambda: bitmaps.cards_of(maps)), ordinals, postings
 
 
 _GEAR = "base_type = 'weapon' AND sub_type = 'gear' AND cost IS NULL"
@@ -35,9 +32,9 @@ def J7_rarest_first(spark, d):
 
 
 def _windowed(spark, d):
-    e, folder = A.entries(spark, d), fresh_path(spark, "windows")
-    pages.write_windows(e, folder, 24)
-    return pages.read_windows(spark, folder, e.schema)
+    e = A.entries(spark, d)
+    rows = stored(spark, d, "catalog-windows", lambda: pages.in_windows(e, 24), by=("window",))
+    return pages.Windowed(rows, stored(spark, d, "catalog-spans", lambda: pages.spans_of(rows)))
 
 
 @query(f"SELECT version, container_id, n1, n2 FROM ({_FOUND}) WHERE version = 'R' AND container_id > '3' ORDER BY container_id LIMIT 16")
@@ -67,5 +64,5 @@ _WALKED = ("item", "two properties", "name", "nothing")
 @query("SELECT query, unnest(['sets', 'evidence', 'reaches', 'repeats', 'fill']) AS check, true AS ok FROM (VALUES " + ", ".join(f"('{q}')" for q in _WALKED) + ") t(query)")
 def I12_walks(spark, d):
     """Both ways of an answer walked page by page, by key and by reach."""
-    e, _, stored = indexed(spark, d)
-    return answers.audit_walks(e, stored, {name: _AUDITED[name][0] for name in _WALKED}, limit=100, most_pages=3)
+    e, _, lists = indexed(spark, d)
+    return answers.audit_walks(e, lists, {name: _AUDITED[name][0] for name in _WALKED}, limit=100, most_pages=3)
