@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import places, text
-from cairn.operators import audit, search, views, walk
+from cairn.functions.tables import fixed_table
+from cairn.operators import audit, heat, ingest, search, views, walk
 
 
 def order(spark, levels, features=()):
@@ -93,6 +94,54 @@ def test_growth_with_keys_beyond_63_bits(spark):
     assert str(audit.growth_curve(e).first().container) == "18446744073709551615"
 
 
+def test_all_caps_are_the_single_ones(spark):
+    """Counts, tails and scores of three caps from one scan are those of three scans, one for each."""
+    names = "version string, container_id string, place string, base_type string, sub_type string, quantity int, cost double, spells array<string>"
+    given = [("v", str(c), p, b, s, q, None, sp) for c in range(12) for p, b, s, q, sp in (("D:2", "potion", "x", c % 4 + 1, []), ("D:8", "potion", "x", 2, []), (f"D:{c % 12 + 1}", "scroll", "y", None, []), ("Sewer", "book", "z", 1, ["S1", "S2"]), ("D:6", "book", "z", 1, ["S2", "S9"]), ("Odd", "potion", "w", c % 3 + 1, []))]
+    e = spark.createDataFrame(given, names)
+    lv = e.select("version", "container_id", "place").distinct().withColumn("parent", F.when(F.col("place") == "Sewer", F.concat(F.lit("D:"), (F.col("container_id").cast("int") % 10 + 1).cast("string"))))
+    fills = spark.createDataFrame([("v", str(c), c + 1, "submit" if c % 5 == 0 else "fill") for c in range(12)], "version string, container_id string, depth long, origin string")
+    levels = spark.createDataFrame([("S1", 1), ("S2", 4), ("S9", 9)], "spell string, spell_level int")
+    weights = spark.createDataFrame([("potion", "*", 30.0), ("scroll", "y", 20.0)], "base_type string, sub_type string, weight double")
+    caps = [3, 7, 9]
+    seen = heat.observed_for_caps(heat.placed_for_caps(e, lv), fills, levels, caps)
+    table = heat.surprise_for_caps(seen, fills, caps)
+    scored = heat.scores_for_caps(seen, table, heat.cohorts(fills, caps), weights)
+    told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for cap in caps:
+        one = heat.surprise(e, lv, fills, levels, cap)
+        assert told(table.where(F.col("cap") == cap).select(one.columns)) == told(one)
+        assert told(scored.where(F.col("cap") == cap).drop("cap")) == told(heat.scores(e, lv, fills, levels, weights, one, cap))
+    late = fills.where("container_id = '10'")
+    again = heat.scores_for_caps(heat.observed_for_caps(heat.placed_for_caps(e, lv), late, levels, caps), table, heat.cohorts(fills, caps), weights)
+    assert told(again) == told(scored.where("container_id = '10'")) and again.count() == 3
+    kept = heat.drop_stale_caps({"scores": spark.createDataFrame([("v", 3, 1.0), ("v", 99, 1.0)], "version string, cap long, score double")}, fills)
+    assert [r.cap for r in kept["scores"].collect()] == [3]
+
+
+def test_fixed_tables_and_the_callers_own(spark, tmp_path):
+    own = fixed_table(spark, "weights")
+    assert own.count() == 186 and own.where("sub_type = '*'").count() > 5 and fixed_table(spark, "spell_levels").count() == 132
+    (tmp_path / "w.csv").write_text("base_type,sub_type,weight\n# a remark\npotion,*,3\n")
+    assert [tuple(r) for r in fixed_table(spark, "weights", str(tmp_path / "w.csv")).collect()] == [("potion", "*", 3.0)]
+
+
+def test_lines_are_taken_in_one_way(spark):
+    """Ill-typed fields are turned away, the last line of a place counts, vaults go, pooled altars are a mask, plain names are left out."""
+    import json
+
+    def line(at, level="D:1", **more):
+        return (at, ingest.PREFIX + json.dumps({"format": 4, "version": "v", "seed": "1", "level": level} | more))
+
+    item = {"kind": "item", "name": "potion of haste", "base_type": "potion", "sub_type": "haste", "quantity": 1}
+    lines = [line(1, cats={"items": [item, item]}), line(2, cats={"items": [item], "vaults": [{"name": "v"}]}), line(3, "Temple", gold=7, cats={"features": [{"feat": "altar_xom", "text": "an altar"}, {"feat": "altar_lugonu", "text": "an altar"}]}), line(4, "D:2", gold="much"), line(5, 7), line(6, "D:3", cats=[1]), (7, "noise"), (8, ingest.PREFIX + "{broken")]
+    taken = ingest.intake(spark.createDataFrame(lines, "arrival long, value string"))
+    assert sorted((r.place, r.gold, r.altar_mask) for r in taken.levels.collect()) == [("D:1", None, None), ("Temple", 7, 1 << 19)]
+    assert sorted((r.place, r.category, r.name, r.feat) for r in taken.entries.collect()) == [("D:1", "items", None, None), ("Temple", "features", None, "altar_lugonu")]
+    assert sorted(r.reason for r in taken.rejects.collect()) == ["ill-typed cats", "ill-typed gold", "ill-typed level", "not a record"]
+    taken.close()
+
+
 def test_odd_text_is_no_error(spark):
     df = spark.createDataFrame([("Zot:9223372036854775807", "0.99999999999"), ("Zot:99999999999999999999", "0.10"), ("Zot:x", "0.9")], "p string, v string")
     assert [r[0] for r in df.select(places.reach_of(F.col("p"))).collect()] == [places.UNKNOWN] * 3
