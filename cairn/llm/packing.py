@@ -137,7 +137,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
 
     Null texts are empty and still have the end id; rows with a null or repeated id are documents like others. Every id is in
     exactly one piece. Only the last sequences of a partition are shorter than the window, each as long as a power of two, so
-    nothing is padded. Document frequencies and the mean length are those of all documents. No documents give no rows.
+    nothing is padded. Document frequencies and the mean length are those of all documents. No documents give no rows. Other columns are
+    not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     size = max(encoder(tokenizer).vocabulary, end_id + 1)

@@ -202,7 +202,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A row per row of docs: id, the five statistics, base_failed, rule (of the list; 0: none) and kept.
 
     Labels are rows (id, quality): 0 low, 1 good; others are left out, as are ids without a document. An id labelled twice counts
-    twice. Rows with a null id are judged, but never labelled. A third of the labelled rows, by hash of the id, prune; the others grow.
+    twice. Other columns of docs and labels are not read. Rows with a null id are judged, but never labelled. A third of the labelled rows, by hash of the id, prune; the others grow.
     """
     stats = written(statistics(docs, id_col, text_col), "statistics")
     marked = labels.select(F.col(id_col), F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("low")).where("low is not null")

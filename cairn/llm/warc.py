@@ -249,7 +249,8 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """One record per row in packages in folder; returns their paths. Files of attempts that Spark didn't count are not listed.
 
     Null html is empty. Of rows with the least id of a payload all are responses, should that id repeat; rows with a null id
-    come after all others. No rows give no packages.
+    come after all others. No rows give no packages. Other columns are not read. A payload of any length is one record; packages end
+    at records, and records are read back by range.
     """
 
     def run(batches):

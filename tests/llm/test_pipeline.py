@@ -5,10 +5,13 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairn.llm import langid, mixing
+from cairn.llm.common import written
 
+from .conftest import words
 from .test_mixing import plain_targets
 from .test_packing import check
 from .test_pii import CARD, EMAIL, IP, PHONE, luhn
@@ -69,3 +72,27 @@ def test_run(spark):
     assert set(pieces.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
     lengths = [r["sum(length)"] for r in pieces.groupBy("sequence_id").sum("length").collect()]
     assert all(0 < n <= 2048 and n & (n - 1) == 0 for n in lengths)
+
+
+def through(spark, docs):
+    """docs through all five stages, each written and read again; rows after each."""
+    counts = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, DATA), "stage")
+        counts.append(docs.count())
+    return docs, counts
+
+
+def test_an_empty_table_goes_through(spark, docs):
+    assert through(spark, docs([]))[1] == [0] * 5
+
+
+def test_odd_rows_go_through(spark, docs, rng):
+    """Nulls in every column, repeated rows, a very long text, and columns with the names that stages use themselves."""
+    plain = [(i, words(rng, 80), "en", "ab"[i % 2]) for i in range(30)]
+    odd = [(None, None, None, None), (40, None, "en", "a"), (41, "", None, None), (42, words(rng, 60), None, None), (42, plain[3][1], "en", "a"), plain[0], plain[0], (43, "alpha1 beta2 " * 120_000, "en", "b"), (None, words(rng, 70), "en", None)]
+    table = docs([(*r, None) for r in plain + odd]).withColumns({"row": F.lit("x"), "scores": F.lit(1), "hits": F.lit(2), "took": F.lit(3), "fine": F.lit(4), "bits": F.lit(5)})
+    pieces, counts = through(spark, table.repartition(3))
+    assert counts[0] > 0 and counts[0] >= counts[1] == counts[2] > 0 and counts[4] > 0
+    lengths = [r["sum(length)"] for r in pieces.groupBy("sequence_id").sum("length").collect()]
+    assert all(0 < n <= 2048 and n & (n - 1) == 0 for n in lengths)
