@@ -67,10 +67,11 @@ class Intake:
     levels: DataFrame
     entries: DataFrame
     rejects: DataFrame
-    records: DataFrame
+    kept: tuple[DataFrame, ...]
 
     def close(self) -> None:
-        self.records.unpersist()
+        for table in self.kept:
+            table.unpersist()
 
 
 def intake(lines: DataFrame, prefix: str = PREFIX) -> Intake:
@@ -87,12 +88,11 @@ def intake(lines: DataFrame, prefix: str = PREFIX) -> Intake:
     arrival = F.col("arrival") if "arrival" in lines.columns else F.lit(0).cast("long")
     parsed = kept.select("body", arrival.alias("arrival"), F.from_json("body", RECORD, {"mode": "PERMISSIVE"}).alias("r"), _ill_typed("body").alias("ill"))
     marked = parsed.select("body", "arrival", "ill", "r.*").withColumn("reason", reject_reason()).persist(StorageLevel.DISK_ONLY)
-    good = marked.where("reason is null")
     # records of a place that arrived together have no order: the greatest text is taken, in every run the same
-    last = good.groupBy("version", "seed", "level").agg(F.max(F.struct("arrival", "body")).alias("m")).select("version", "seed", "level", F.col("m.body").alias("body"))
-    records = good.join(last, ["version", "seed", "level", "body"], "left_semi").dropDuplicates(["version", "seed", "level"])
+    last = F.max_by(F.struct("parent_level", "gold", "cats"), F.struct("arrival", "body")).alias("r")
+    records = marked.where("reason is null").groupBy("version", "seed", "level").agg(last).select("version", "seed", "level", "r.*").persist(StorageLevel.DISK_ONLY)
     levels, entries = encode_altar_mask(levels_of_records(records), prune_entries(flatten_entries(records)))
-    return Intake(levels, elide_names(entries), marked.where("reason is not null").select("body", "reason"), marked)
+    return Intake(levels, elide_names(entries), marked.where("reason is not null").select("body", "reason"), (marked, records))
 
 
 def levels_of_records(records: DataFrame) -> DataFrame:
@@ -107,10 +107,12 @@ def ingest_counts(records: DataFrame, rejects: DataFrame) -> DataFrame:
 def flatten_entries(records: DataFrame) -> DataFrame:
     """One row per entry; what a carrier holds follows it as rows that name it in carried_by. A missing name is the text."""
     none = F.array().cast(f"array<{ENTRY}>")
-    out = None
-    for cat in ("features", "items", "monsters", "vaults"):
-        own = records.select("version", F.col("seed").alias("container_id"), F.col("level").alias("place"), F.lit(cat).alias("category"), F.posexplode(F.coalesce(F.col(f"cats.{cat}"), none)).alias("entry_order", "e"))
-        out = own if out is None else out.unionByName(own)
+
+    def told(cat: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"cats.{cat}"), none), lambda e, i: F.struct(F.lit(cat).alias("category"), i.alias("entry_order"), e.alias("e")))
+
+    each = F.explode(F.concat(*[told(cat) for cat in ("features", "items", "monsters", "vaults")]))  # one pass for all four
+    out = records.select("version", F.col("seed").alias("container_id"), F.col("level").alias("place"), each.alias("t")).select(*PLACE, "t.*")
     bare = F.struct(*[F.col("e")[n].alias(n) for n in [f.split()[0] for f in _ITEM.split(", ")]])
     name = F.coalesce("e.name", "e.text")
     held = F.transform(F.coalesce(F.col("e.items"), F.array().cast(f"array<struct<{_FIELDS}>>")), lambda i: F.struct(name.alias("carried_by"), i.alias("e")))

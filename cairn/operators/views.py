@@ -161,9 +161,10 @@ def report_lines(entries: DataFrame) -> DataFrame:
     return counted.select(*PLACE, "rank", F.when(F.col("n") > 1, F.concat("label", F.lit(" x"), F.col("n").cast("string"))).otherwise(F.col("label")).alias("line"))
 
 
-def collapse_lines(lines: DataFrame) -> DataFrame:
-    """lines(line, pos) -> (line, n, pos of the first)."""
-    return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+def collapse_lines(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """lines(*by, line, pos) -> (*by, line, n, pos of the first, at): equal lines once, numbered in the order in which they first stood."""
+    once = lines.groupBy(*by, "line").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    return once.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "line")))
 
 
 def report_document(rows: DataFrame, levels: DataFrame) -> DataFrame:

@@ -990,6 +990,23 @@ def T4_arrivals(spark, d):
     return stream.finished(stream.stream_counts(source), "complete")
 
 
+_SESSIONS = "SELECT event_type AS version, CAST(user_id % 200 AS VARCHAR) AS container_id, event_id % 7 AS s, props AS query, ts AS \"at\" FROM events"
+_FLAG = "event_type as version", "cast(user_id % 200 as string) as container_id", "concat('session ', cast(event_id % 7 as string)) as session", "props as query", "ts as at"
+
+
+@query(f'SELECT version, container_id, substr(query, 1, 500) AS query, "at" FROM (SELECT *, row_number() OVER (PARTITION BY version, container_id, s ORDER BY "at", query) AS r FROM ({_SESSIONS})) WHERE r = 1')
+def S21_first_flags_of_sessions(spark, d):
+    """Seven sessions flag the same containers again and again: the first flag of each stays, and sessions are told apart by their hashes."""
+    flags = ingest.record_flags(A._table(spark, d, "events").selectExpr(*_FLAG), b"key")
+    return flags.where(F.col("session").rlike("^[0-9a-f]{64}$")).select("version", "container_id", "query", "at")
+
+
+@query(f"SELECT version, container_id, count(DISTINCT s) AS sessions FROM ({_SESSIONS}) GROUP BY ALL")
+def T5_flag_stream_of_sessions(spark, d):
+    first = stream.finished(stream.stream_flags(_event_stream(spark, d).selectExpr(*_FLAG), b"key"))
+    return first.groupBy("version", "container_id").agg(F.count("*").alias("sessions"))
+
+
 @query("SELECT DISTINCT event_type AS version, CAST(user_id AS VARCHAR) AS container_id FROM events")
 def T5_flag_stream(spark, d):
     source = _event_stream(spark, d).selectExpr("event_type as version", "cast(user_id as string) as container_id", "'s' as session", "props as query", "ts as at")

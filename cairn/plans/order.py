@@ -181,3 +181,10 @@ def V8_default_groups(spark, d):
     i = (F.col("l_partkey") % 40).cast("int")
     rows = A._table(spark, d, "lineitem").select(F.col("l_returnflag").alias("version"), F.col("l_orderkey").cast("string").alias("container_id"), F.when(i < len(_MEMBER), F.get(table, i)).alias("k"))
     return views.exclusion_draws(rows.select("version", "container_id", F.col("k.base").alias("base_type"), F.col("k.sub").alias("sub_type")))
+
+
+@query("SELECT kind, line, n, pos, CAST(row_number() OVER (PARTITION BY kind ORDER BY pos, line) AS INTEGER) AS at FROM (SELECT p_type AS kind, split_part(p_name, ' ', 2) AS line, count(*) AS n, min(p_partkey) AS pos FROM part GROUP BY ALL)".replace(" AS at ", ' AS "at" '))
+def A14_collapsed_lines(spark, d):
+    """Equal lines of a kind once, with their number, where the first of them stood."""
+    lines = A._table(spark, d, "part").selectExpr("p_type as kind", "split_part(p_name, ' ', 2) as line", "p_partkey as pos")
+    return views.collapse_lines(lines, ("kind",))
