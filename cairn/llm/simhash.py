@@ -208,20 +208,56 @@ def possible_pairs(part: np.ndarray, size: np.ndarray, bits: np.ndarray, similar
 
 
 def _pairs(similarity: float):
+    """Of a row's members the pairs of unlike parts that may have the similarity, in one row only of all those that a pair meets in: that
+    of the first list that it shares, and in a list that is split that of the first minimum hash. Of two blocks only pairs between them;
+    of a block with the members of lesser parts (other -1), pairs of these only in block 0."""
+
     @arrow_udf("array<struct<u:long,v:long>>")
     def pairs(lists: pa.Array) -> pa.Array:
         out = []
-        for members in lists:
-            m = members.values
-            digest, part, size = (m.field(k).to_numpy(zero_copy_only=False) for k in ("digest", "part", "size"))
+        for row in lists:
+            members, number, at, block, other = (row[k] for k in ("members", "list", "at", "block", "other"))
+            m, number, at, block, other = members.values, number.as_py(), at.as_py(), block.as_py(), other.as_py()
+            digest, part, size, side = (m.field(k).to_numpy(zero_copy_only=False) for k in ("digest", "part", "size", "side"))
             bits = np.frombuffer(b"".join(m.field("bits").to_pylist()), np.uint64).reshape(len(digest), -1)
-            ends = digest[possible_pairs(part, size.astype(np.int64), bits, similarity)]
+            keys, fine = (m.field(k).flatten().to_numpy(zero_copy_only=False).reshape(len(digest), -1) for k in ("keys", "fine"))
+            i, j = possible_pairs(part, size.astype(np.int64), bits, similarity).T
+            keep = (keys[i] == keys[j]).argmax(1) == number
+            if at >= 0:
+                keep &= ((fine[i] == fine[j]) & (np.arange(FINE) // TOGETHER != number)).argmax(1) == at
+            if other < 0:
+                keep &= (side[i] >= 0) | (side[j] >= 0) | (block == 0)
+            elif block != other:
+                keep &= side[i] != side[j]
+            ends = digest[np.stack((i[keep], j[keep]), 1)]
             out.append([{"u": u, "v": v} for u, v in zip(ends.min(1).tolist(), ends.max(1).tolist())])
         return pa.array(out, pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())])))
 
     return pairs
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Members (key, part, ...) of lists that hold several parts, with the list's length n, its largest part, and how many are of others."""
+    counts = rows.groupBy("key", "part").agg(F.count("*").alias("c"))
+    lists = counts.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("parts"), F.max(F.struct("c", "part")).alias("top")).where("parts > 1")
+    return written(rows.join(lists.select("key", "n", F.col("top.part").alias("major"), (F.col("n") - F.col("top.c")).alias("minors")), "key"), "mixed")
+
+
+_MEMBER = ("key", "list", "at", "block", "other", "side", "digest", "part", "size")
+
+
+def _in_rows(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members as they are compared in rows, members of lists that are still too long): lists of at most GATHERED in one row; of longer ones
+    with at most so many apart from the largest part, a block of this part and all the others in each row."""
+    none = F.lit(0)
+    short = mixed.where(F.col("n") <= GATHERED).withColumns({"block": none, "other": none, "side": none}).select(*_MEMBER)
+    led = mixed.where((F.col("n") > GATHERED) & (F.col("minors") <= GATHERED)).withColumn("blocks", F.ceil(F.col("n") / F.lit(GATHERED)).cast("int"))
+    major = F.col("part") == F.col("major")
+    own = F.array(F.pmod(F.xxhash64("digest", "key"), F.col("blocks").cast("long")).cast("int"))
+    dealt = led.withColumns({"side": F.when(major, 0).otherwise(-1), "other": F.lit(-1), "block": F.explode(F.when(major, own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))})
+    return short.unionByName(dealt.select(*_MEMBER)), mixed.where((F.col("n") > GATHERED) & (F.col("minors") > GATHERED))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: id_col, component_id, kept, as near_duplicates(), linked by the Jaccard similarity of their shingles.
 
@@ -229,9 +265,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meet in lists of positional minimum hashes (at 0.8, 3 pairs in a million meet in none), and every link is verified on whole sets.
     First each list's members are compared with one of them, another in each list; then, where a list still holds several
     components, pairs between them, of which bitmaps leave those that can be alike. So a large group of near copies is joined in
-    proportion to its size. Lists of more than GATHERED members, such as those of a passage that very many unlike texts share, are split by
-    12 or more single minimum hashes apart from the list's own (a pair at 0.8 agrees at none with a chance of 4 in a billion); what even
-    these don't split is compared block by block of GATHERED members, so that no row holds more than two blocks.
+    proportion to its size. Of lists with more than GATHERED members the largest component is dealt into blocks, each of which meets the
+    few others. Where these are more than GATHERED too, as for a passage that very many unlike texts share, the list is split by 12 or
+    more single minimum hashes apart from its own (a pair at 0.8 agrees at none with a chance of 4 in a billion); what even these don't
+    split is compared in pairs of blocks, so that no row holds a list. A pair is compared in the first list that it meets in only.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -255,18 +292,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = written(alike(led), "links")
     joined = connected_components(first)
     parts = index.select("key", "list", "digest", "size").join(joined.withColumnRenamed("node", "digest"), "digest", "left").select("key", "list", "digest", "size", F.coalesce("component", "digest").alias("part"))
-    mixed = lambda rows: written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most"), "key").drop("least", "most"), "mixed")
-    whole = mixed(written(parts, "parts"))
-    fine = whole.where(F.col("n") > GATHERED).join(classes.select("digest", "fine"), "digest").select("key", "list", "digest", "size", "part", F.posexplode("fine").alias("at", "least")).where(F.floor(F.col("at") / TOGETHER) != F.col("list"))
-    finer = mixed(fine.select(F.xxhash64("key", "at", "least").alias("key"), "list", "digest", "size", "part"))
-    lists = [rows.where(F.col("n") <= GATHERED).select("key", F.lit(0).alias("block"), F.lit(0).alias("other"), "digest", "part", "size") for rows in (whole, finer)]
+    whole = _mixed(written(parts.withColumn("at", F.lit(-1)), "parts"))
+    rows, long = _in_rows(whole)
+    fine = long.join(classes.select("digest", "fine"), "digest").select("key", "list", "digest", "size", "part", F.posexplode("fine").alias("at", "least")).where(F.floor(F.col("at") / TOGETHER) != F.col("list"))
+    more, long = _in_rows(_mixed(fine.select(F.xxhash64("key", "at", "least").alias("key"), "list", "at", "digest", "size", "part")))
     # members of a list that is still long lie in blocks by hash; each goes to the pairs of its block with all
-    blocks = F.ceil(F.col("n") / F.lit(GATHERED)).cast("int")
-    own = finer.where(F.col("n") > GATHERED).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("digest", "key"), blocks.cast("long")).cast("int")})
-    paired = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"), "digest", "part", "size")
-    members = lists[0].unionByName(lists[1]).unionByName(paired).join(classes.select("digest", "bits"), "digest")
-    held = members.groupBy("key", "block", "other").agg(F.collect_list(F.struct("digest", "part", "size", "bits")).alias("members"))
-    second = alike(held.select(F.explode(_pairs(similarity)("members")).alias("p")).select("p.u", "p.v"))
+    own = long.withColumn("blocks", F.ceil(F.col("n") / F.lit(GATHERED)).cast("int")).withColumn("side", F.pmod(F.xxhash64("digest", "key"), F.col("blocks").cast("long")).cast("int"))
+    paired = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"block": F.least("side", "with"), "other": F.greatest("side", "with")})
+    members = rows.unionByName(more).unionByName(paired.select(*_MEMBER)).join(classes.select("digest", "bits", "keys", "fine"), "digest")
+    held = members.groupBy("key", "list", "at", "block", "other").agg(F.collect_list(F.struct("digest", "part", "size", "side", "bits", "keys", "fine")).alias("members"))
+    held = held.select(F.struct("members", "list", "at", "block", "other").alias("row"))
+    second = alike(held.select(F.explode(_pairs(similarity)("row")).alias("p")).select("p.u", "p.v"))
     found = connected_components(first.unionByName(second)).withColumnRenamed("node", "digest")
     rooted = classes.select("digest", "first").join(found, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
