@@ -27,8 +27,9 @@ LIST_LIMIT, SPLITS = 16, 4
 _CHUNK = 1 << 16
 #: Lists that a shingle set stands in for near_copies(), and the minimum hashes that two sets share to meet in one.
 LISTS, TOGETHER = 24, 4
-#: Single minimum hashes that split a long list, and the members of a list, or of a block of one, that are compared in one row.
-FINE, GATHERED = 16, 256
+#: Single minimum hashes that split a long list, and the members of a list, or of a block of one, that are compared in one row: a row of
+#: two blocks has 2 MB, and its pairs take a second.
+FINE, GATHERED = 16, 4096
 #: Bits of a set's bitmap, by which pairs are told that can't have the similarity.
 BITS = 1024
 
@@ -195,8 +196,8 @@ def _bits(hashes: np.ndarray) -> bytes:
 def possible_pairs(part: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
     """Rows (i, j), i < j, of unlike parts whose sets may have the similarity: a bit that only one set has is a shingle that the other lacks."""
     found = []
-    for at in range(0, len(part), 64):
-        a = slice(at, at + 64)
+    for at in range(0, len(part), 32):
+        a = slice(at, at + 32)
         shared = np.bitwise_count(bits[a, None, :] & bits[None, at:, :]).sum(2, dtype=np.int64)
         own = np.bitwise_count(bits[at:]).sum(1, dtype=np.int64)
         most = np.minimum((size[a] - own[: len(size[a])])[:, None], (size[at:] - own)[None, :]) + shared
@@ -220,10 +221,11 @@ def _pairs(similarity: float):
             m, number, at, block, other = members.values, number.as_py(), at.as_py(), block.as_py(), other.as_py()
             digest, part, size, side = (m.field(k).to_numpy(zero_copy_only=False) for k in ("digest", "part", "size", "side"))
             bits = np.frombuffer(b"".join(m.field("bits").to_pylist()), np.uint64).reshape(len(digest), -1)
-            keys, fine = (m.field(k).flatten().to_numpy(zero_copy_only=False).reshape(len(digest), -1) for k in ("keys", "fine"))
+            keys = m.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(digest), -1)
             i, j = possible_pairs(part, size.astype(np.int64), bits, similarity).T
             keep = (keys[i] == keys[j]).argmax(1) == number
             if at >= 0:
+                fine = m.field("fine").flatten().to_numpy(zero_copy_only=False).reshape(len(digest), -1)
                 keep &= ((fine[i] == fine[j]) & (np.arange(FINE) // TOGETHER != number)).argmax(1) == at
             if other < 0:
                 keep &= (side[i] >= 0) | (side[j] >= 0) | (block == 0)
@@ -300,9 +302,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = long.withColumn("blocks", F.ceil(F.col("n") / F.lit(GATHERED)).cast("int")).withColumn("side", F.pmod(F.xxhash64("digest", "key"), F.col("blocks").cast("long")).cast("int"))
     paired = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"block": F.least("side", "with"), "other": F.greatest("side", "with")})
     members = rows.unionByName(more).unionByName(paired.select(*_MEMBER)).join(classes.select("digest", "bits", "keys", "fine"), "digest")
+    # 31 bits of each key tell whether a pair met in an earlier list: at the 24 keys of a pair they err once in 90 million
+    low = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    members = members.withColumns({"keys": low("keys"), "fine": F.when(F.col("at") >= 0, low("fine"))})
     held = members.groupBy("key", "list", "at", "block", "other").agg(F.collect_list(F.struct("digest", "part", "size", "side", "bits", "keys", "fine")).alias("members"))
     held = held.select(F.struct("members", "list", "at", "block", "other").alias("row"))
-    second = alike(held.select(F.explode(_pairs(similarity)("row")).alias("p")).select("p.u", "p.v"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # of rows that hold lists
+    second = written(alike(held.select(F.explode(_pairs(similarity)("row")).alias("p")).select("p.u", "p.v")), "second")
+    small_batches(docs.sparkSession)
     found = connected_components(first.unionByName(second)).withColumnRenamed("node", "digest")
     rooted = classes.select("digest", "first").join(found, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
