@@ -23,9 +23,10 @@ NEAR, FAR, ALPHA, BEAM = 12, 4, 1.2, 12
 GROUP = 128
 #: Planted queries: as many, at this cosine to a vector of the table, which they must find; and vectors drawn for the audit over all, of
 #: which those with a true link count.
-PLANTED, PLANTED_COSINE, AUDIT_ALL = 256, 0.93, 2048
-#: Queries held against brute force in each piece. Below these mean recalls the search is widened.
-AUDIT_PIECE, RECALL_PIECE, RECALL_ALL = 32, 0.99, 0.97
+PLANTED, PLANTED_COSINE, AUDIT_ALL = 256, 0.95, 2048
+#: Queries held against brute force in each piece. Below these mean recalls the search is widened: in a piece, of true links over all
+#: vectors, and of planted queries, for which it is what the operator promises at least.
+AUDIT_PIECE, RECALL_PIECE, RECALL_ALL, RECALL_PLANTED = 32, 0.97, 0.97, 0.9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -333,7 +334,7 @@ def _one_length(reps: DataFrame, cosine: float) -> tuple[DataFrame, dict]:
     index = written(index.join(united, "rep").select(*_CELL, "piece", "rep", "copies", "embedding", "home", "near", F.lit(True).alias("node")), "index")
     planted = _planted(reps, cosine)
     everyone = reps.unionByName(planted.select("rep", F.lit(0).cast("long").alias("copies"), "embedding"))
-    for probes in sorted({min(p, len(c)) for p in (PROBES, 4 * PROBES, len(c))}):
+    for probes in sorted({min(p, len(c)) for p in (PROBES, 2 * PROBES, 4 * PROBES, len(c))}):
         asked = everyone.mapInPandas(lambda frames, p=probes: (_homes(f, c, p) for f in frames), _PLACED)
         asked = written(_into_cells(asked, pivots, CELLS * probes // min(PROBES, len(c))), "asked")
         loads = asked.groupBy(_CELL).agg(F.ceil(F.count("*") / F.lit(2 * PIECE)).cast("int").alias("parts")).join(counts, _CELL)
@@ -341,8 +342,7 @@ def _one_length(reps: DataFrame, cosine: float) -> tuple[DataFrame, dict]:
         nodes = index.join(loads.drop("pieces"), _CELL).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         both = written(nodes.unionByName(queries).groupBy(*_CELL, "piece", "part").applyInPandas(lambda f: _piece(f, cosine), "u long, v long, recall double, asked long, graph boolean"), "found")
         found, audit = measured(reps, both.where("u is not null").select("u", "v"), planted, cosine)
-        told = [v for v in (audit["recall"], audit["planted_recall"]) if v is not None]
-        if min(told, default=1.0) >= RECALL_ALL:
+        if (audit["recall"] is None or audit["recall"] >= RECALL_ALL) and (audit["planted_recall"] or 0.0) >= RECALL_PLANTED:
             break
     by_graph, asked_all = both.where("u is null").agg(F.sum(F.when(F.col("graph"), F.col("asked"))), F.sum("asked")).first()
     return found, audit | {"by_graph": (by_graph or 0) / asked_all if asked_all else None}
