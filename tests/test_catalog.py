@@ -393,6 +393,15 @@ def test_rate_drift_and_states(spark):
     assert values(audit.exclusion_states(draws), "containers", "conflicts", "states") == [(3, 1, 2)]
 
 
+def test_moments_are_rounded_to_seconds_before_they_are_sliced(spark, tmp_path):
+    moments = [0.0, 9.4, 9.6, 10.5, 11.5, 99.0]
+    rows = spark.createDataFrame([(float(m),) for m in moments], "at double").selectExpr("timestamp_micros(cast(at * 1000000 as bigint)) as ts", "60D as value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    import __spark_entry__ as driver
+
+    assert values(driver.queries()["D8_rate_curve"](spark, str(tmp_path)), "bucket", "runs") == [(0, 2), (1, 3), (9, 1)]
+
+
 def test_stored_tables_are_made_once_and_again_when_gone_or_forgotten(spark, tmp_path):
     import shutil
 
