@@ -258,6 +258,16 @@ def test_the_way_of_an_answer(corpus, tmp_path):
     assert answers.answer_now(corpus, grown, stored, [Term(Item("potion", "haste"))], most_changed=0)[1] == "scan"
 
 
+def test_an_audit_asks_the_lists_however_long_they_are(corpus, tmp_path, monkeypatch):
+    answers.write_index(corpus, corpus.selectExpr("version", "container_id", "1L as depth", "'fill' as origin").distinct(), str(tmp_path / "i"))
+    stored = answers.read_index(corpus.sparkSession, str(tmp_path / "i"))
+    monkeypatch.setattr(answers.fragment_postings, "__defaults__", (0,))
+    monkeypatch.setattr(answers.answer, "__defaults__", (0, None))
+    named = {"name": [Term(NameLike("Wyrm"))]}
+    assert answers.answer(corpus, stored, named["name"])[1] == "scan"
+    assert values(answers.audit_equivalence(corpus, stored, named), "query", "way", "found", "differing") == [("name", "postings", 1, 0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_entry_has_rows(spark):
     import __spark_entry__
