@@ -142,6 +142,17 @@ def test_lines_are_taken_in_one_way(spark):
     taken.close()
 
 
+def test_a_filter_does_not_parse_lines_again(spark):
+    body = '{"format":4,"version":"v","seed":"1","level":"D:1","gold":%s,"cats":%s}'
+    rows = [("5", "{}"), ("5", '[{"items":[]}]'), ('"5"', "{}"), ("null", "null"), ("5.5", "{}")]
+    checked = ingest.checked_lines(spark.createDataFrame([(ingest.PREFIX + body % r,) for r in rows], "value string").repartition(2))
+    for kept in ("reason is null", "reason is not null"):
+        plan = checked.where(kept)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("parse_json") + plan.count("parseJson") <= 1
+    assert sorted(str(r.reason) for r in checked.collect()) == ["None", "None", "ill-typed cats", "ill-typed gold", "ill-typed gold"]
+    assert tuple(ingest.counts_of_lines(checked).first()) == (2, 0, 3)
+
+
 def test_odd_text_is_no_error(spark):
     df = spark.createDataFrame([("Zot:9223372036854775807", "0.99999999999"), ("Zot:99999999999999999999", "0.10"), ("Zot:x", "0.9")], "p string, v string")
     assert [r[0] for r in df.select(places.reach_of(F.col("p"))).collect()] == [places.UNKNOWN] * 3
