@@ -268,6 +268,18 @@ def test_an_audit_asks_the_lists_however_long_they_are(corpus, tmp_path, monkeyp
     assert values(answers.audit_equivalence(corpus, stored, named), "query", "way", "found", "differing") == [("name", "postings", 1, 0)]
 
 
+def test_places_that_do_not_deepen_a_container_are_searched_anew(corpus, spark, tmp_path):
+    haste = {"container_id": "1", "base_type": "potion", "sub_type": "haste"}
+    fills = corpus.selectExpr("version", "container_id", "9L as depth", "'fill' as origin").distinct()
+    answers.write_index(corpus, fills, str(tmp_path / "i"))
+    stored = answers.read_index(spark, str(tmp_path / "i"))
+    now = corpus.unionByName(entry(spark, [{"place": "Sewer", "quantity": 4, **haste}, {"place": "D:1", **haste, "container_id": "7"}]))
+    for levels in (None, now.select("version", "container_id", "place").distinct()):
+        found, how = answers.answer_now(now, fills, stored, [Term(Item("potion", "haste"), 3)], levels=levels)
+        assert how == "postings" and values(found, "container_id") == [("1",), ("2",), ("4",)]
+    assert values(answers.outgrown(stored, fills, now), "container_id") == [("1",)]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_entry_has_rows(spark):
     import __spark_entry__
