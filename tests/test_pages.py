@@ -180,3 +180,20 @@ def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
     assert size(tmp_path) - before < before / 50
     levels, entries = store.tables()
     assert levels.count() == entries.count() == 50_000 and entries.where("startswith(name, 'b')").count() == 50
+
+
+def test_streamed_lines_are_written_by_many_tasks(spark, monkeypatch):
+    import __spark_entry__ as driver
+    from cairn.plans import intake
+
+    paths = []
+    monkeypatch.setattr(intake, "fresh_path", lambda s, name, real=intake.fresh_path: paths.append((name, real(s, name))) or paths[-1][1])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert driver.queries()["T1_streamed_lines"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sent, late = [path for name, path in paths if name == "lines"]
+    parts = lambda path: sum(f.startswith("part-") for f in os.listdir(path))
+    assert parts(sent) > 3 and parts(late) > 1
