@@ -157,3 +157,16 @@ def test_odd_text_is_no_error(spark):
     df = spark.createDataFrame([("Zot:9223372036854775807", "0.99999999999"), ("Zot:99999999999999999999", "0.10"), ("Zot:x", "0.9")], "p string, v string")
     assert [r[0] for r in df.select(places.reach_of(F.col("p"))).collect()] == [places.UNKNOWN] * 3
     assert [r.v for r in df.orderBy(text.release_key(F.col("v"))).collect()] == ["0.9", "0.10", "0.99999999999"]
+
+
+def test_ill_typed_fields_are_told_by_their_first(spark):
+    """Top fields of every type; entries that are null, missing or no object; keys that come twice count by their last value."""
+    good = {"version": '"v"', "seed": '"1"', "level": '"D:1"', "parent_level": "null", "gold": "5", "cats": "{}"}
+    odd = [{"version": "5"}, {"seed": '{"a":1}'}, {"level": "[1]"}, {"parent_level": "true"}, {"gold": "5.5"}, {"gold": "true"}, {"gold": "3000000000"}, {"cats": "7"}, {"cats": '"{}"'}, {"cats": "null"}, {"cats": '{"items":7}'}, {"gold": '"x"', "version": "1.5"}, {"gold": '5,"gold":"x"'}]
+    line = lambda n, more: (n, ingest.PREFIX + '{"format":4,' + ",".join(f'"{k}":{v}' for k, v in (good | more).items()) + "}")
+    lines = [line(n, more) for n, more in enumerate(odd)] + [(13, ingest.PREFIX + '{"format":4,"version":"v","seed":"1","level":"D:1"}'), (14, ingest.PREFIX + '{"format":4,"version":"v"')]
+    checked = ingest.checked_lines(spark.createDataFrame(lines, "n int, value string"))
+    got = [(r.reason, r.version, r.gold) for r in checked.orderBy("n").collect()]
+    ill = [f"ill-typed {x}" for x in ("version", "seed", "level", "parent_level", "gold", "gold", None, "cats", "cats", None, None, "version", "gold")]
+    assert [g[0] for g in got] == [None if x.endswith("None") else x for x in ill] + [None, "not a record"]
+    assert got[0][1] == "5" and got[6] == (None, "v", None) and got[13][1:] == ("v", None)
