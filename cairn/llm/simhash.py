@@ -150,6 +150,14 @@ def shingle_set(text: str, shingle_words: int) -> np.ndarray:
     return np.unique(np.array([hashed(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [], np.uint64))
 
 
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of a shingle set; none: 0."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _positions(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     """A key for each of LISTS positions: TOGETHER minimum hashes of the set. Sets of similarity s agree at one with chance s ** TOGETHER.
     And the first FINE minimum hashes one by one."""
@@ -175,13 +183,13 @@ def _sets(shingle_words: int):
 
 
 def _signatures(shingle_words: int):
-    @arrow_udf("digest long, size int, keys array<long>, fine array<long>, bits binary")
+    @arrow_udf("digest long, fp long, size int, keys array<long>, fine array<long>, bits binary")
     def signatures(texts: pa.Array) -> pa.Array:
         found = [shingle_set(t, shingle_words) for t in texts.to_pylist()]
         digests = pa.array(_signed([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found]), pa.int64())
         keys, fine = (pa.array([_signed(x) for x in each], pa.list_(pa.int64())) for each in (zip(*map(_positions, found)) if found else ([], [])))
         bits = pa.array([_bits(h) for h in found], pa.binary())
-        return pa.StructArray.from_arrays([digests, pa.array([len(h) for h in found], pa.int32()), keys, fine, bits], names=["digest", "size", "keys", "fine", "bits"])
+        return pa.StructArray.from_arrays([digests, pa.array(_signed([folded(h) for h in found]), pa.int64()), pa.array([len(h) for h in found], pa.int32()), keys, fine, bits], names=["digest", "fp", "size", "keys", "fine", "bits"])
 
     return signatures
 
@@ -263,9 +271,10 @@ def _in_rows(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: id_col, component_id, kept, as near_duplicates(), linked by the Jaccard similarity of their shingles.
 
-    At 0.8 fingerprints of 64 bits lie up to 18 bits apart and more, where no guaranteed minimum of shared positions remains. So sets
-    meet in lists of positional minimum hashes (at 0.8, 3 pairs in a million meet in none), and every link is verified on whole sets.
-    First each list's members are compared with one of them, another in each list; then, where a list still holds several
+    Fingerprints come first, as in near_duplicates(): sets whose fingerprints are equal or within 2 bits, by the index and its counts of
+    shared slots, are verified on whole sets. But at 0.8 fingerprints of 64 bits lie up to 18 bits apart and more, where no guaranteed
+    minimum of shared positions remains. So sets also meet in lists of positional minimum hashes (at 0.8, 3 pairs in a million meet in none), and every link is verified on whole sets.
+    Each fingerprint's sets are compared with one of them, and these with each other; each list's members with one of them, another in each list; then, where a list still holds several
     components, pairs between them, of which bitmaps leave those that can be alike. So a large group of near copies is joined in
     proportion to its size. Of lists with more than GATHERED members the largest component is dealt into blocks, each of which meets the
     few others. Where these are more than GATHERED too, as for a passage that very many unlike texts share, the list is split by 12 or
@@ -275,23 +284,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     signed = written(texts.select("id", F.xxhash64("text").alias("source"), _signatures(shingle_words)("text").alias("s")).select("id", "source", "s.*"), "signatures")
-    classes = written(signed.groupBy("digest").agg(F.min("id").alias("first"), F.min("source").alias("source"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fine").alias("fine"), F.first("bits").alias("bits")), "classes")
+    classes = written(signed.groupBy("digest").agg(F.min("id").alias("first"), F.min("source").alias("source"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fine").alias("fine"), F.first("bits").alias("bits")), "classes")
     every = classes.select("digest", "source", "size", F.posexplode("keys").alias("list", "key"))
     lists = every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("digest", "key").alias("draw"), "digest", "size")).alias("lead")).where("n > 1")
     index = written(every.join(lists, "key").select("key", "list", "digest", "source", "size", "lead"), "index")
-    wanted = index.select("source").distinct()
+    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
+    heads = written(classes.groupBy("fp").agg(F.min(F.struct("digest", "source", "size")).alias("head")), "heads")
+    same = classes.join(heads, "fp").where("digest <> head.digest").select(F.struct("digest", "source", "size").alias("a"), F.col("head").alias("b"))
+    apart = links(heads.select("fp")).join(heads.toDF("u", "a"), "u").join(heads.toDF("v", "b"), "v").select("a", "b")
+    close = written(same.unionByName(apart).where(fits(F.col("a.size"), F.col("b.size"))), "close")
+    asked = index.select("digest", "source").unionByName(close.select("a.digest", "a.source")).unionByName(close.select("b.digest", "b.source")).distinct()
+    wanted = asked.select("source").distinct()
     shown = texts.withColumn("source", F.xxhash64("text")).join(wanted, "source", "left_semi").select("source", _sets(shingle_words)("text").alias("hashes"))
     shown = shown.groupBy("source").agg(F.first("hashes").alias("hashes"))
-    sets = written(index.select("digest", "source").distinct().join(shown, "source").select("digest", "hashes"), "sets")
+    sets = written(asked.join(shown, "source").select("digest", "hashes"), "sets")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of pairs (u, v) of digests: edges at `similarity` or more."""
         both = pairs.distinct().join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("both", F.size(F.array_intersect("a", "b")))
         return both.where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
-    fits = F.least("size", "lead.size") >= similarity * F.greatest("size", "lead.size")
-    led = index.where("digest <> lead.digest").where(fits).select(F.least("digest", "lead.digest").alias("u"), F.greatest("digest", "lead.digest").alias("v"))
-    first = written(alike(led), "links")
+    led = index.where("digest <> lead.digest").where(fits(F.col("size"), F.col("lead.size"))).select(F.least("digest", "lead.digest").alias("u"), F.greatest("digest", "lead.digest").alias("v"))
+    met = close.select(F.least("a.digest", "b.digest").alias("u"), F.greatest("a.digest", "b.digest").alias("v"))
+    first = written(alike(met.unionByName(led)), "links")
     joined = connected_components(first)
     parts = index.select("key", "list", "digest", "size").join(joined.withColumnRenamed("node", "digest"), "digest", "left").select("key", "list", "digest", "size", F.coalesce("component", "digest").alias("part"))
     whole = _mixed(written(parts.withColumn("at", F.lit(-1)), "parts"))

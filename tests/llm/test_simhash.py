@@ -196,6 +196,30 @@ def test_pipeline_drops_near_copies(spark, docs, rng):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(rows), "").collect()) == [1, 3]
 
 
+def test_near_copies_come_through_the_index_of_fingerprints(spark, docs, rng, monkeypatch):
+    """Fingerprints of the shingle sets reach the index, and pairs that it gives are links where the sets are alike, and only there."""
+    rows, seen, links = [], [], simhash.links
+    for base in range(20):
+        w = words(rng, 400)
+        rows += [(10 * base, w), (10 * base + 1, w + " tail"), (10 * base + 2, words(rng, 400))]
+    rows.append((999, "a b c"))
+    prints = [simhash.folded(simhash.shingle_set(t, 5)) for _, t in rows]
+    assert prints[-1] == xxhash.xxh64_intdigest(b"a b c", 42) and simhash.folded(simhash.shingle_set("", 5)) == 0
+
+    def spied(fps):
+        found = written(links(fps), "links")
+        seen.append((sorted(r.fp % (1 << 64) for r in fps.collect()), {(r.u % (1 << 64), r.v % (1 << 64)) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(simhash, "links", spied)
+    got = simhash.near_copies(docs(rows)).collect()
+    ((given, pairs),) = seen
+    assert given == sorted(set(prints))
+    near = {frozenset((a, b)) for a in given for b in given if 0 < (a ^ b).bit_count() <= 2}
+    assert {frozenset(p) for p in pairs} == near and near
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, c) for (i, _), c in zip(rows, plain_copies(rows)))
+
+
 def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.one_of_each(docs([])).count() == 0
