@@ -137,14 +137,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
         import zstandard
 
         enc, z = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], enc.dtype).tobytes()
         counts = np.zeros(max(enc.vocabulary, end_id + 1), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [enc.ids(t) + end for t in part.column(1).to_pylist()]
-                counts += np.bincount(np.frombuffer(b"".join(rows), enc.dtype), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // enc.dtype.itemsize for r in rows], pa.int64()), pa.array([z.compress(r) for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], schema=schema)
+        for keys, ids, ends in enc.encoded(batches, end_id):
+            counts += np.bincount(ids, minlength=len(counts))
+            sizes, ends = np.diff(ends, prepend=0), ends.tolist()
+            rows = [z.compress(ids[a:b]) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], schema=schema)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([z.compress(counts.tobytes())], pa.binary())], schema=schema)
 

@@ -69,6 +69,54 @@ def test_small_caches_give_the_same_ids(monkeypatch, rng):
         assert np.frombuffer(e.ids(text), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def same_in_groups(e, texts, end_id=7):
+    ids, ends = e.all_ids(texts, end_id)
+    assert len(ends) == len(texts) and ends[-1] == len(ids)
+    for text, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, end_id], text
+
+
+PARTS = ["a", "Word", "don't", "9", "²", "\u00a0", "\x85", "\x1c", "日本", "’", "é", "«", "!", "'", "'s", "'re", "'ve", "'ll", "l", "e", "r", " ", "  ", "\n", "\t", "\u2003", "I'Ll", "<|endoftext|>", "\x00"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=9).map("".join), min_size=1, max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_texts_encoded_together_are_those_encoded_alone(texts):
+    same_in_groups(encoder(PATH), texts)
+
+
+def test_pairs_of_characters_encoded_together():
+    same_in_groups(encoder(PATH), [f"a{chr(i)}{chr(j)} {chr(j)}9{chr(i)}'{chr(i)}{chr(j)}" for i in range(256) for j in range(0, 256, 17)])
+
+
+def test_a_group_asks_the_library_once_for_its_new_words(monkeypatch, rng):
+    from cairn.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 7)
+    e, calls = Encoder(PATH), []
+    asked = e.words.find_all
+    e.words.find_all = lambda words: calls.append(len(words)) or asked(words)
+    for _ in range(5):
+        same_in_groups(e, [f"{words(rng, 40).encode('latin-1', 'ignore').decode('latin-1')} x{rng.random()}y's" for _ in range(50)])
+    assert len(calls) == 5 and min(calls) > 50
+
+
+def test_groups_are_bounded_and_keep_the_order(monkeypatch, rng):
+    import pyarrow as pa
+
+    from cairn.llm import tokens
+
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 300)
+    monkeypatch.setattr(tokens, "GROUP_TEXTS", 5)
+    texts = [words(rng, rng.choice([0, 1, 10, 200])) for _ in range(150)]
+    e = Encoder(PATH)
+    groups = list(e.encoded([pa.record_batch({"key": pa.array(range(a, a + 75)), "text": pa.array(texts[a : a + 75])}) for a in (0, 75)], 7))
+    assert [k for keys, _, _ in groups for k in keys] == list(range(150))
+    assert all(len(keys) == 1 or (len(keys) <= 5 and sum(len(texts[k]) for k in keys) <= 300) for keys, _, _ in groups)
+    assert [i for _, ids, _ in groups for i in ids.tolist()] == [i for t in texts for i in [*e.tokenizer.encode(t, add_special_tokens=False).ids, 7]]
+    assert list(e.encoded([], 7)) == []
+
+
 def test_special_strings_and_latin_pairs():
     e = Encoder(PATH)
     texts = ["a<|endoftext|>b", "it's  they'll\u00a0x \x85y\r\n z", "9²³ ½¾ ªº µ×÷"] + [f"a{chr(i)}{chr(j)} {chr(j)}9{chr(i)}" for i in range(256) for j in range(0, 256, 17)]
