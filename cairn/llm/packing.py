@@ -33,22 +33,19 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str
         import zstandard
 
         enc, z, full = encoder(tokenizer), zstandard.ZstdCompressor(level=1), 0
-        end = np.array([end_id], enc.dtype).tobytes()
         size = max(enc.vocabulary, end_id + 1)
         holding, mixed = np.zeros(size, np.int64), np.random.default_rng(7).permutation(size)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = []
-                for key, text in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256].to_pylist()):
-                    ids = np.frombuffer(enc.ids(text) + end, enc.dtype)
-                    in_order = np.sort(ids, kind="stable")  # of 16 bits, by radix
-                    holding[in_order[np.flatnonzero(np.diff(in_order, prepend=in_order[:1] + 1))]] += 1
-                    for start in range(0, len(ids), window):
-                        piece = ids[start : start + window]
-                        whole = len(piece) == window
-                        rows.append((key, start, len(piece), crc32(piece) if whole else None, len(ids), full if whole else None, None if whole else int(mixed[piece].min()), None if whole else z.compress(piece.tobytes()), None))
-                        full += whole
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for keys, every, ends in enc.encoded(batches, end_id):
+            rows, ends = [], ends.tolist()
+            for key, a, b in zip(keys, [0, *ends], ends):
+                ids = every[a:b]
+                holding[ids] += 1  # by one, however often the document holds an id
+                for start in range(0, len(ids), window):
+                    piece = ids[start : start + window]
+                    whole = len(piece) == window
+                    rows.append((key, start, len(piece), crc32(piece) if whole else None, len(ids), full if whole else None, None if whole else int(mixed[piece].min()), None if whole else z.compress(piece), None))
+                    full += whole
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         if holding.any():
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:-1]), pa.array([z.compress(holding.tobytes())], pa.binary())], schema=schema)
 

@@ -94,3 +94,36 @@ def test_short_documents_meet_their_like(spark, docs, rng):
         whole.setdefault(r.sequence_id, []).append((r.doc_id < 300, r.length))
     pure = sum(max(sum(n for k, n in s if k == side) for side in (True, False)) for s in whole.values())
     assert pure / sum(n for s in whole.values() for _, n in s) > 0.9
+
+
+def test_cuts_ask_the_library_once_a_group_and_count_documents(spark, rng, monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    from cairn.llm.tokens import Encoder
+
+    class Table:
+        """Runs what is mapped over its batches here."""
+
+        def select(self, *_):
+            return self
+
+        withColumn = select
+
+        def mapInArrow(self, run, _):
+            self.out = [row for batch in run(iter(self.batches)) for row in batch.to_pylist()]
+            return self
+
+    e, calls = Encoder(PATH), []
+    asked = e.words.find_all
+    e.words.find_all = lambda new: calls.append(len(new)) or asked(new)
+    monkeypatch.setattr(packing, "encoder", lambda _: e)
+    texts = [f"{rng.random()} {rng.random()}x again again " * (1 + 150 * (i % 3)) for i in range(40)]
+    table = Table()
+    table.batches = [pa.record_batch({"id": pa.array(range(a, a + 20)), "text": pa.array(texts[a : a + 20])}) for a in (0, 20)]
+    out = packing.cut(table, PATH, 1, "id", "text").out
+    assert len(calls) == 1 and calls[0] > 80
+    ids = [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [(r["id"], r["start"], r["length"], r["total"]) for r in out[:-1]] == [(k, s, min(2048, len(x) - s), len(x)) for k, x in enumerate(ids) for s in range(0, len(x), 2048)]
+    holding = np.frombuffer(zstandard.ZstdDecompressor().decompress(out[-1]["counts"]), np.int64)
+    assert holding.tolist() == sum(np.bincount(list(set(x)), minlength=len(holding)) for x in ids).tolist()
