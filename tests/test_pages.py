@@ -197,3 +197,47 @@ def test_streamed_lines_are_written_by_many_tasks(spark, monkeypatch):
     sent, late = [path for name, path in paths if name == "lines"]
     parts = lambda path: sum(f.startswith("part-") for f in os.listdir(path))
     assert parts(sent) > 3 and parts(late) > 1
+
+
+def exchanged(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_records_of_a_batch_stay_where_they_are_read(spark, tmp_path):
+    """Places meet by key and arrival; their records do not."""
+    lines = [(n, line(f"D:{n}", [("axe", n)])) for n in range(1, 9)] + [(9, line("D:1", [("hat", 9)])), (10, line("D:10", [], seed=None)), (11, line("Temple", []))]
+    taken = ingest.intake(spark.createDataFrame(lines, "arrival long, value string").repartition(3), apart=True)
+    assert exchanged(taken.entries) == 0
+    assert sorted((r.place, r.name, r.quantity) for r in taken.entries.collect()) == [("D:1", "hat", 9)] + [(f"D:{n}", "axe", n) for n in range(2, 9)]
+    assert sorted((r.place, r.altar_mask) for r in taken.levels.collect()) == [(f"D:{n}", None) for n in range(1, 9)] + [("Temple", 0)]
+    assert [(r.reason, "D:10" in r.body) for r in taken.rejects.collect()] == [("no container", True)]
+    assert os.path.isdir(taken.folder)
+    taken.close()
+    assert not os.path.exists(taken.folder)
+
+
+def test_of_lines_that_arrived_together_the_greatest_text_counts(spark):
+    """Among places too many to be sent around, too."""
+    both = [line(f"D:{n}", [(name, 1)]) for n in range(20) for name in ("axe", "wand", "hat", "wand")]
+    for most in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            taken = ingest.intake(spark.createDataFrame([(x,) for x in both], "value string").repartition(4))
+            assert sorted((r.place, r.name) for r in taken.entries.collect()) == sorted((f"D:{n}", "wand") for n in range(20))
+            assert taken.levels.count() == 20
+            taken.close()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_streamed_lines_are_sent_compressed(spark, monkeypatch):
+    import __spark_entry__ as driver
+    from cairn.plans import intake
+
+    paths = []
+    monkeypatch.setattr(intake, "fresh_path", lambda s, name, real=intake.fresh_path: paths.append((name, real(s, name))) or paths[-1][1])
+    assert driver.queries()["T1_streamed_lines"](spark, "/root/testdata/sf0.001").count() > 0
+    for path in [path for name, path in paths if name == "lines"]:
+        text = spark.read.text(path).agg(F.sum(F.length("value"))).first()[0]
+        assert size(path) < text / 4
