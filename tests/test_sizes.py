@@ -82,3 +82,25 @@ def test_walks_find_each_answer_once(spark, tmp_path, monkeypatch):
     found = answers.audit_walks(rows, answers.read_index(spark, f"{tmp_path}/index"), {"item": [Term(Item("potion", "haste"))]}, limit=10, most_pages=3).collect()
     assert len(found) == 5 and all(r.ok for r in found)
     assert asked == [1] and scan.value == 40  # the scan's answer is asked for three times
+
+
+def walked(spark, tmp_path, monkeypatch, change, **how):
+    """Checks that fail where what the index finds of 60 containers, in pages of 7, is changed."""
+    rows = spark.range(60).selectExpr("'v' as version", "cast(id as string) as container_id", "concat('D:', cast(id % 9 + 1 as string)) as place", "'potion' as base_type", "'haste' as sub_type", "1 as quantity", "cast(null as double) as cost", "cast(null as string) as name", "cast(null as string) as ego", "false as artefact", "cast(array() as array<struct<prop:string,value:int>>) as props", "cast(array() as array<string>) as spells")
+    answers.write_index(rows, rows.selectExpr("version", "container_id", "1L as depth", "'fill' as origin"), f"{tmp_path}/index")
+    monkeypatch.setattr(answers, "answer", lambda *a, find=answers.answer, **k: (change(find(*a, **k)[0]), "postings"))
+    found = answers.audit_walks(rows, answers.read_index(spark, f"{tmp_path}/index"), {"item": [Term(Item("potion", "haste"))]}, limit=7, **how).collect()
+    return [r.check for r in found if not r.ok]
+
+
+def test_a_walk_is_held_against_the_scan_to_its_end(spark, tmp_path, monkeypatch):
+    """What is lost on the eighth page is seen, however few pages are asked for one by one."""
+    assert walked(spark, tmp_path, monkeypatch, lambda f: f.where("container_id <> '57'"), most_pages=2) == ["sets", "evidence", "reaches"]
+
+
+def test_a_container_that_comes_twice_late_in_a_walk_is_seen(spark, tmp_path, monkeypatch):
+    assert "repeats" in walked(spark, tmp_path, monkeypatch, lambda f: f.unionByName(f.where("container_id = '57'")), most_pages=1)
+
+
+def test_a_whole_walk_of_several_pages_is_alike(spark, tmp_path, monkeypatch):
+    assert walked(spark, tmp_path, monkeypatch, lambda f: f) == []
