@@ -241,3 +241,22 @@ def test_streamed_lines_are_sent_compressed(spark, monkeypatch):
     for path in [path for name, path in paths if name == "lines"]:
         text = spark.read.text(path).agg(F.sum(F.length("value"))).first()[0]
         assert size(path) < text / 4
+
+
+def test_a_base_is_read_as_it_was_written(spark, tmp_path):
+    """What is compacted has nothing to merge, so that neither levels nor entries meet again; later deltas are merged with it."""
+    store = CatalogStore(spark, str(tmp_path))
+    place = lambda rows: spark.createDataFrame(rows, "version string, container_id string, place string, name string")
+    store.append(None, place([("v", "1", "D:1", "a"), ("v", "2", "D:1", "b"), ("v", "3", "D:1", "c")]), "e", 0)
+    store.append(spark.createDataFrame([("v", "3", "D:1", True)], "version string, container_id string, place string, gone boolean"), place([("v", "1", "D:1", "d")]).limit(0), "e", 1)
+    store.append(None, place([("v", "1", "D:1", "d"), ("v", "1", "D:1", "d")]), "e", 2)
+    assert exchanged(store.tables()[0]) == 1
+    store.compact()
+    levels, entries = store.tables()
+    assert exchanged(levels) == exchanged(entries) == 0
+    names = lambda: sorted((r.container_id, r.name) for r in store.tables()[1].collect())
+    assert names() == [("1", "d"), ("1", "d"), ("2", "b")] and levels.count() == 2 and "_seq" not in levels.columns
+    store.append(None, place([("v", "2", "D:1", "e")]), "e", 3)
+    assert names() == [("1", "d"), ("1", "d"), ("2", "e")]
+    store.compact()
+    assert names() == [("1", "d"), ("1", "d"), ("2", "e")] and store.tables()[0].count() == 2
